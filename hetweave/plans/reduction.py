@@ -1 +1,266 @@
-"""Queries."""
+"""Queries of partitions, covers, quotients and their audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hetweave.operators import audit, channels, cover, partition, quotient
+from hetweave.plans.registry import query
+from hetweave.plans.similarity import ATTR, CLASSES, FEATS, SETS, SP, TERMS
+from hetweave.sources import tables as src
+
+TAU_TERM, TAU_ATTR = 0.4, 0.9999
+
+
+def _part_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Part nodes, and their links to brand and type as text ids."""
+    part = src.table(spark, sf_dir, "part")
+    nodes = part.select(F.lit("part").alias("ntype"), F.col("p_partkey").alias("nid"))
+    link = lambda c: part.select(F.lit(c).alias("ltype"), F.col("p_partkey").alias("src"), F.col(c).alias("dst"))
+    return nodes, link("p_brand").unionByName(link("p_type"))
+
+
+@query(f"with {CLASSES} select 'part' as ntype, nid, class_id from cls")
+def p1_entity_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that their brand and type can't tell apart."""
+    return partition.entity_partition(*_part_links(spark, sf_dir))
+
+
+@query(
+    f"""with {CLASSES}, s as (select class_id, count(*) as n from cls group by 1)
+select 'part' as ntype, cast(sum(n) as bigint) as nodes, count(*) as classes, count(*) filter (where n > 1) as merged_classes, max(n) as largest, 1 - count(*) / cast(sum(n) as double) as upper_bound from s"""
+)
+def p3_partition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the candidate classes."""
+    return partition.partition_summary(partition.entity_partition(*_part_links(spark, sf_dir)))
+
+
+@query(f"with {TERMS}, s as (select nid, list_sort(list(term)) as ts from terms group by 1) select 'part' as ntype, p_partkey as nid, min(p_partkey) over (partition by p_brand, p_type, ts) as class_id from part join s on s.nid = p_partkey")
+def p4_mixed_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single-layer control: brand, type and name words refine together."""
+    nodes, core = _part_links(spark, sf_dir)
+    words = src.part_tokens(spark, sf_dir).select(F.lit("word").alias("ltype"), F.col("nid").alias("src"), F.col("term").alias("dst"))
+    return partition.mixed_partition(nodes, core, words)
+
+
+@query(
+    """with n as (select n_nationkey as k, (select count(*) from customer where c_nationkey = n_nationkey) as nc, (select count(*) from supplier where s_nationkey = n_nationkey) as ns from nation),
+nc as (select k, min(k) over (partition by nc, ns) as cid from n)
+select 'nation' as ntype, 2000000000000 + k as nid, 2000000000000 + cid as class_id from nc
+union all select 'customer', 4000000000000 + c_custkey, 4000000000000 + min(c_custkey) over (partition by cid) from customer join nc on k = c_nationkey
+union all select 'supplier', s_suppkey, min(s_suppkey) over (partition by cid) from supplier join nc on k = s_nationkey"""
+)
+def p1b_counted_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted bisimulation of customers, suppliers and nations."""
+    c, s, n = (src.table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    node = lambda df, kind, k: df.select(F.lit(kind).alias("ntype"), (F.col(k).cast("long") + src.BASE[kind]).alias("nid"))
+    nodes = node(c, "customer", "c_custkey").unionByName(node(s, "supplier", "s_suppkey")).unionByName(node(n, "nation", "n_nationkey"))
+    end = lambda k, kind: F.col(k).cast("long") + src.BASE[kind]
+    buys = c.select(F.lit("buys").alias("ltype"), end("c_custkey", "customer").alias("src"), end("c_nationkey", "nation").alias("dst"))
+    sells = s.select(F.lit("sells").alias("ltype"), end("s_suppkey", "supplier").alias("src"), end("s_nationkey", "nation").alias("dst"))
+    back = lambda df, name: df.select(F.lit(name).alias("ltype"), F.col("dst").alias("src"), F.col("src").alias("dst"))
+    links = buys.unionByName(sells).unionByName(back(buys, "bought")).unionByName(back(sells, "sold"))
+    return partition.counted_partition(nodes, links)[0]
+
+
+@query(f"with {CLASSES} select 'part' as ntype, nid, class_id as cluster_id from cls")
+def c7_cover_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters with both guards off: the candidate classes."""
+    return cover.guarded_cover(src.part_classes(spark, sf_dir), None, None, TAU_TERM, TAU_ATTR)
+
+
+@query(f"with {CLASSES}, {TERMS}, {SETS} select 'part' as ntype, nid, min(nid) over (partition by class_id, ts) as cluster_id from sets")
+def c1_cover_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters at a term threshold of 1: equal sets of words."""
+    return cover.guarded_cover(src.part_classes(spark, sf_dir), src.part_tokens(spark, sf_dir), None, 1.0, TAU_ATTR)
+
+
+def _covers(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        terms = src.part_tokens(spark, sf_dir) if kind in ("term", "both") else None
+        feats = src.part_features(spark, sf_dir) if kind in ("attribute", "both") else None
+        return cover.guarded_cover(src.part_classes(spark, sf_dir), terms, feats, TAU_TERM, TAU_ATTR)
+
+    run.__name__ = {"term": "c1_cover_term", "attribute": "c1_cover_attribute", "both": "c1_cover_both"}[kind]
+    run.__doc__ = f"Clusters under the guards: {kind}."
+    # the greedy order as a recursion: of the free nodes of each class, the least that passes with all of the open cluster's members joins it, else the least opens one
+    guard = {
+        "term": "len(list_intersect(a.ts, b.ts)) / sqrt(len(a.ts) * len(b.ts)) >= 0.4 - 1e-8",
+        "attribute": ATTR.replace("a.", "f.").replace("b.", "g.") + " >= 0.9999 - 1e-10",
+    }
+    test = " and ".join(guard[g] for g in (("term", "attribute") if kind == "both" else (kind,)))
+    sql = f"""with recursive {CLASSES}, {TERMS}, {SETS}, {FEATS},
+ok as (select a.class_id, a.nid as i, list(b.nid) as near from sets a join sets b on a.class_id = b.class_id and a.nid <> b.nid join feats f on f.nid = a.nid join feats g on g.nid = b.nid where {test} group by 1, 2),
+members as (select c.class_id, c.nid, coalesce(o.near, []) as near from cls c left join ok o on o.i = c.nid),
+walk as (
+  select class_id, cast(null as bigint) as nid, cast(null as bigint) as seed, list_sort(list(nid)) as free, cast([] as bigint[]) as fit from members group by class_id
+  union all
+  select w.class_id, m.nid, case when len(w.fit) > 0 then w.seed else m.nid end,
+    list_filter(w.free, lambda x: x <> m.nid),
+    case when len(w.fit) > 0 then list_filter(w.fit, lambda x: x <> m.nid and list_contains(m.near, x)) else list_filter(w.free, lambda x: x <> m.nid and list_contains(m.near, x)) end
+  from walk w join members m on m.nid = case when len(w.fit) > 0 then w.fit[1] else w.free[1] end
+)
+select 'part' as ntype, nid, seed as cluster_id from walk where nid is not null"""
+    return query(sql)(run)
+
+
+c1_cover_term, c1_cover_attribute, c1_cover_both = (_covers(k) for k in ("term", "attribute", "both"))
+
+BRAND = "m as (select s_suppkey as nid, min(s_suppkey) over (partition by s_nationkey) as cid from supplier), p as (select p_partkey as nid, min(p_partkey) over (partition by p_brand) + 1000000000000 as cid from part)"
+
+
+def _supply_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = src.table(spark, sf_dir, "part").select((F.col("p_partkey") + src.BASE["part"]).alias("nid"), "p_brand")
+    least = part.groupBy("p_brand").agg(F.min("nid").alias("cluster_id"))
+    of_part = part.join(least, "p_brand").select(F.lit("part").alias("ntype"), "nid", "cluster_id")
+    return src.supplier_nation(spark, sf_dir).unionByName(of_part)
+
+
+def _supply_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = src.supplier_part(spark, sf_dir)
+    return rows.select(F.lit("supplies").alias("ltype"), "src", (F.col("dst") + src.BASE["part"]).alias("dst"), "w")
+
+
+@query(f"with {SP}, {BRAND} select 'supplies' as ltype, m.cid as src, p.cid as dst, sum(w) as w from sp join m on m.nid = sp.src join p on p.nid = sp.dst group by 2, 3")
+def g2_quotient_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplies between nations' suppliers and brands' parts."""
+    return quotient.quotient_links(_supply_links(spark, sf_dir), _supply_mapping(spark, sf_dir))
+
+
+@query(f"with {SP}, {BRAND}, q as (select m.cid as src, p.cid as dst, sum(w) as w from sp join m on m.nid = sp.src join p on p.nid = sp.dst group by 1, 2), b as (select distinct cid, 'x' as x from p) select q.src, p2.p_type as dst, sum(q.w * c.n) as w from q join (select p.cid, part.p_type, cast(count(*) as double) as n from p join part on part.p_partkey = p.nid group by 1, 2) c on c.cid = q.dst join (select distinct p_type from part) p2 on p2.p_type = c.p_type group by 1, 2")
+def g4_reduced_half_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers to part types by way of parts, each relation reduced before they are composed."""
+    part = src.table(spark, sf_dir, "part")
+    types = part.select("p_type").distinct().withColumn("tid", F.crc32(F.col("p_type").cast("binary")) + src.BASE["ptype"])
+    typed = part.join(types, "p_type").select(F.lit("typed").alias("ltype"), (F.col("p_partkey") + src.BASE["part"]).alias("src"), F.col("tid").alias("dst"), F.lit(1.0).alias("w"))
+    links = _supply_links(spark, sf_dir).unionByName(typed)
+    found = quotient.reduced_half_path(links, _supply_mapping(spark, sf_dir), ("supplies", "typed"))
+    return found.join(types, found.dst == types.tid).select("src", F.col("p_type").alias("dst"), "w")
+
+
+@query(
+    f"""with {SP}, {BRAND}, s as (select count(*) as a, count(distinct cid) as b from m), t as (select count(*) as a, count(distinct cid) as b from p), r as (select count(*) as n from (select distinct m.cid, p.cid as c from sp join m on m.nid = sp.src join p on p.nid = sp.dst)), o as (select count(*) as n from lineitem)
+select s.a + t.a as main_nodes, s.b + t.b as reduced_main_nodes, o.n as original_edges, r.n as reduced_edges, s.a + t.a + 25 as full_nodes, s.b + t.b + 25 as reduced_full_nodes,
+1 - (s.b + t.b) / cast(s.a + t.a as double) as main_reduction_ratio, 1 - (s.b + t.b + 25) / cast(s.a + t.a + 25 as double) as fullgraph_reduction_ratio, 1 - r.n / cast(o.n as double) as fullgraph_edge_reduction_ratio from s, t, r, o"""
+)
+def g6_reduction_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much smaller the quotient is, in nodes and links."""
+    raw = src.table(spark, sf_dir, "lineitem").select("l_suppkey")
+    nations = src.table(spark, sf_dir, "nation").count()
+    return quotient.reduction_ratios(_supply_mapping(spark, sf_dir), nations, raw, _supply_links(spark, sf_dir))
+
+
+@query(f"with {CLASSES}, {FEATS} select c.class_id as cluster_id, d.dim, round(avg(case when d.dim = 0 then f.x else f.y end), 6) as value from cls c join feats f on f.nid = c.nid, (values (0), (1)) d(dim) group by 1, 2")
+def g7_cluster_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vectors of the candidate classes."""
+    mapping = src.part_classes(spark, sf_dir).withColumnRenamed("class_id", "cluster_id")
+    return quotient.cluster_means(src.part_features(spark, sf_dir), mapping).withColumn("value", F.round("value", 6))
+
+
+PAIRS = f"""{CLASSES}, {TERMS}, {SETS}, {FEATS},
+pr as (select a.class_id, a.nid as i, b.nid as j, len(list_intersect(a.ts, b.ts)) / sqrt(len(a.ts) * len(b.ts)) as t, {ATTR.replace('a.', 'f.').replace('b.', 'g.')} as x
+  from sets a join sets b on a.class_id = b.class_id and a.nid < b.nid join feats f on f.nid = a.nid join feats g on g.nid = b.nid),
+jd as (select *, case when t >= 0.4 - 1e-8 and x >= 0.9999 - 1e-10 then 'accepted' when x >= 0.9999 - 1e-10 then 'term_only_reject' when t >= 0.4 - 1e-8 then 'attribute_only_reject' else 'both_reject' end as decision from pr)"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = channels.scored_pairs(src.part_classes(spark, sf_dir), src.part_tokens(spark, sf_dir), src.part_features(spark, sf_dir))
+    return audit.judged_pairs(scored, TAU_TERM, TAU_ATTR)
+
+
+@query(f"with {PAIRS} select 'part' as ntype, decision, count(*) as n from jd group by 2 union all select null, decision, count(*) from jd group by 2")
+def a6_pair_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the guards decide on all pairs of candidate classes."""
+    return audit.decision_counts(_judged(spark, sf_dir))
+
+
+@query(
+    f"""with {PAIRS}, c as (select *, round(case decision when 'accepted' then t + x when 'term_only_reject' then x - t when 'attribute_only_reject' then t - x else - t - x end, 9) as clear from jd)
+select i, j, decision from (select *, row_number() over (partition by decision order by clear desc, i, j) as k from c) where k = 1"""
+)
+def a7_representative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clearest pair of each decision."""
+    return audit.representative_pairs(_judged(spark, sf_dir)).select("i", "j", "decision")
+
+
+def _fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover.guarded_cover(src.part_classes(spark, sf_dir), src.part_tokens(spark, sf_dir), None, 1.0, TAU_ATTR)
+
+
+def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.part_classes(spark, sf_dir).withColumnRenamed("class_id", "cluster_id")
+
+
+FINE = f"{CLASSES}, {TERMS}, {SETS}, fine as (select nid, class_id, min(nid) over (partition by class_id, ts) as cid from sets)"
+
+
+@query(f"with {FINE} select cid as cluster_id, count(distinct class_id) as spans from fine group by 1 having count(distinct class_id) > 1")
+def a3_spanning_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the strict cover that reach beyond a candidate class: none."""
+    return audit.spanning_clusters(_fine(spark, sf_dir), _coarse(spark, sf_dir))
+
+
+@query(f"with {FINE} select cast((select sum(n * (n - 1) / 2) from (select count(*) as n from fine group by class_id)) - (select sum(n * (n - 1) / 2) from (select count(*) as n from fine group by cid)) as bigint) as split_pairs")
+def a4_split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that the strict cover takes apart."""
+    return audit.split_pairs(_fine(spark, sf_dir), _coarse(spark, sf_dir))
+
+
+@query(
+    f"""with {CLASSES}, {FEATS}, m as (select class_id, avg(x) as mx, avg(y) as my, count(*) as n from cls join feats using (nid) group by 1),
+c as (select (f.x * m.mx + f.y * m.my) / (sqrt(f.x * f.x + f.y * f.y) * sqrt(m.mx * m.mx + m.my * m.my)) as cos from cls join feats f using (nid) join m using (class_id) where m.n > 1)
+select count(*) as members, cast(0 as bigint) as zero_members, round(avg(cos), 8) as mean_cosine, round(quantile_cont(cos, 0.05), 8) as p05_cosine, round(min(cos), 8) as least_cosine from c"""
+)
+def a2_cluster_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well classes' mean vectors stand for their members."""
+    found = audit.cluster_fidelity(_coarse(spark, sf_dir), src.part_features(spark, sf_dir))
+    return found.select("members", "zero_members", *[F.round(c, 8).alias(c) for c in ("mean_cosine", "p05_cosine", "least_cosine")])
+
+
+@query(f"with {PAIRS} select count(*) as pairs, cast(0 as bigint) as zero_pairs, count(*) filter (where x < 0.1) as under_0, count(*) filter (where x < 0.5) as under_1, count(*) filter (where x < 0.999999) as under_2 from pr")
+def a2_within_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs inside classes by the cosine of their vectors."""
+    return audit.within_cluster_pairs(_coarse(spark, sf_dir), src.part_features(spark, sf_dir))
+
+
+@query(
+    """with c as (select p_brand, p_type as y, count(*) as n from part group by 1, 2), e as (select count(*) as kinds, sum(n) as n, sum(n * n) as same from c group by p_brand)
+select count(*) filter (where kinds > 1) as mixed_clusters, cast(sum(n) filter (where kinds > 1) as bigint) as mixed_nodes, cast(sum(n * n - same) / 2 as bigint) as disagreeing_pairs from e"""
+)
+def a2_label_impurity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as clusters, types as labels: how mixed they are."""
+    part = src.table(spark, sf_dir, "part")
+    least = part.groupBy("p_brand").agg(F.min("p_partkey").alias("cluster_id"))
+    mapping = part.join(least, "p_brand").select(F.col("p_partkey").alias("nid"), "cluster_id")
+    return audit.label_impurity(mapping, part.select(F.col("p_partkey").alias("nid"), F.col("p_type").alias("y")))
+
+
+@query(
+    f"""with {FINE}, slots as (select class_id, row_number() over (partition by class_id order by cid, nid) as k, cid from fine),
+dealt as (select r.run, f.nid, f.class_id, row_number() over (partition by r.run, f.class_id order by md5('7:' || cast(r.run as varchar) || ':' || cast(f.nid as varchar)), f.nid) as k from fine f, (select unnest(range(1, 6)) as run) r)
+select cast(d.run as integer) as run, d.nid, s.cid as cluster_id from dealt d join slots s on s.class_id = d.class_id and s.k = d.k"""
+)
+def a5_random_refinements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five random covers with the strict cover's split sizes."""
+    return audit.random_refinements(_fine(spark, sf_dir), _coarse(spark, sf_dir), 5, seed=7)
+
+
+@query(
+    f"""with {FINE}, slots as (select class_id, row_number() over (partition by class_id order by cid, nid) as k, cid from fine),
+dealt as (select r.run, f.nid, f.class_id, row_number() over (partition by r.run, f.class_id order by md5('7:' || cast(r.run as varchar) || ':' || cast(f.nid as varchar)), f.nid) as k from fine f, (select unnest(range(1, 21)) as run) r),
+c as (select d.run, s.cid, p.p_size, count(*) as n from dealt d join slots s on s.class_id = d.class_id and s.k = d.k join part p on p.p_partkey = d.nid group by 1, 2, 3),
+runs as (select run, cast(sum(n * (n - 1) / 2) as double) as same from c group by 1),
+o as (select cast(sum(n * (n - 1) / 2) as double) as same from (select cid, p_size, count(*) as n from fine join part on p_partkey = nid group by 1, 2))
+select count(*) as runs, round(avg(runs.same), 6) as mean, round(stddev_samp(runs.same), 6) as std, (1 + count(*) filter (where runs.same >= o.same)) / cast(1 + count(*) as double) as p from runs, o"""
+)
+def a5_empirical_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one size that the strict cover keeps together, against twenty random ones."""
+    size = src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("nid"), "p_size")
+    pairs = F.sum(F.col("n") * (F.col("n") - 1) / 2)
+    fine = _fine(spark, sf_dir)
+    observed = fine.join(size, "nid").groupBy("cluster_id", "p_size").agg(F.count("*").alias("n")).agg(pairs).first()[0]
+    drawn = audit.random_refinements(fine, _coarse(spark, sf_dir), 20, seed=7).join(size, "nid")
+    control = drawn.groupBy("run", "cluster_id", "p_size").agg(F.count("*").alias("n")).groupBy("run").agg(pairs.alias("same"))
+    found = audit.empirical_p(observed, control, "same")
+    return found.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))

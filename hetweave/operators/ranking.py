@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hetweave.lineage import cut
+
 DIGITS = 9
 
 
@@ -194,7 +196,7 @@ def paired_t(pairs: DataFrame, queries: DataFrame, n_targets: int, *, keep_self:
 def preservation(original: DataFrame, reduced: DataFrame, queries: DataFrame, targets: DataFrame, *, k: int = 10, keep_self: bool = False) -> DataFrame:
     """All measures of each query, one row each: errors, overlaps, nDCG and the t-test."""
     n = targets.count()
-    pairs = paired(original, reduced)
+    pairs = cut(paired(original, reduced))  # five measures read it
     out = error_metrics(pairs, queries, n, keep_self=keep_self)
     for more in (overlap_at_k(pairs, queries, targets, n, k), tie_overlap_at_k(pairs, queries, n, k), ndcg_at_k(pairs, queries, n, k), paired_t(pairs, queries, n, keep_self=keep_self)):
         out = out.join(more, "i")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from hetweave.llm.common import cut, small_batches
 
 CHUNK = 4096
-KEEP, MERGE, RELABEL, INSERT = 0, 2, 3, 5
+KEEP, MERGE, RELABEL, INSERT = 0, 1, 6, 4
 STATES = 4
 _ROLE_OF_STATE = ("", "system", "user", "assistant")
 #: Legal next states. Ends: in state 3, or 0 for no turns at all.
@@ -125,8 +125,8 @@ def repair_roles(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
     Fragments in order of (span, k, sub) make up the rendered conversation: a turn opens with
     <|role|> and a line end, merged turns go on after a blank line, and <|end|> closes a turn.
     action is keep, relabel, merge, relabel_merge or insert; inserted turns have no text and a
-    null turn number. Costs: merge 2, relabel 3, both 5, insert 5; of equally cheap ways the one
-    with the lowest earlier states is taken, so reruns agree.
+    null turn number. Costs: merge 1, insert 4, relabel 6, relabel and merge 7; of equally cheap
+    ways the one with the lowest earlier states is taken, so reruns agree.
 
     Turns are ordered by number, nulls first, then role and text; repeated rows are turns of
     their own. Null texts are empty; unknown and null roles are relabelled or merged. Rows with

@@ -123,8 +123,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, url: str = "url", fe
         return out.drop(*found), name
     u, t = free_name(captures, "u"), free_name(captures, "t")
     pairs = captures.select(F.col(url).alias(u), F.col(fetched).alias(t)).where(F.col(u).isNotNull() & F.col(t).isNotNull()).distinct()
-    each = [F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k, f=f: f(F.col(u), k)) for n, f in ((labels, _suffix), (steps, _prefix)) if n]
-    keyed = pairs.withColumn("key", F.explode(F.array_distinct(F.concat(*each)))).where("key is not null")
+    keys = F.array(*[_suffix(F.col(u), F.lit(k)) for k in range(1, labels + 1)], *[_prefix(F.col(u), F.lit(k)) for k in range(1, steps + 1)])
+    keyed = pairs.withColumn("key", F.explode(F.array_distinct(keys))).where("key is not null")
     met = keyed.join(spans, "key").where(active(F.col(t))(F.struct("valid_from", "valid_to")))
     met = met.groupBy(u, t).agg(F.array_sort(F.collect_set(entry)).alias(name)).toDF(f"{u}_of", f"{t}_of", name)
     out = captures.join(met, (captures[url] == met[f"{u}_of"]) & (captures[fetched] == met[f"{t}_of"]), "left").drop(f"{u}_of", f"{t}_of")

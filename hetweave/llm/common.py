@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from hetweave.lineage import cut
+from hetweave.operators.graph import connected_components
+
+__all__ = ["add_column", "connected_components", "cut", "free_name", "pieces", "small_batches", "table", "text_buffer"]
 
 ARROW_ROWS = "512"
 
@@ -25,29 +27,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_ROWS)
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; a local session without one gets its own.
-
-    On a cluster a folder of one machine would not be seen by the others, so there the
-    setting is required.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    context.setCheckpointDir(folder)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without a copy, and where each value starts.
 
@@ -87,32 +66,3 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in used:
         name += "_"
     return name
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node in edges; component is the least node reachable.
-
-    Alternating large-star and small-star steps: each step is an aggregation and a join on
-    the edge list, and no node's neighbours are ever gathered. Every round is written to the
-    checkpoint folder. Rounds grow with the logarithm of the longest chain. Edges with a null
-    end are ignored; an empty edge list gives no rows.
-    """
-    rows = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    rows = cut(rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(max_rounds):
-        n, nodes = rows.agg(F.count("*"), F.count_distinct("u")).first()
-        if n == nodes and rows.join(rows.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
-            break  # every node hangs on a root, and steps keep each root the least of its component
-        both = rows.unionAll(rows.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionAll(least.select("u", F.col("m").alias("v")))
-        rows = cut(small.where("u <> v").distinct())
-    else:
-        raise RuntimeError(f"components not found in {max_rounds} rounds")
-    return rows.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-        rows.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )

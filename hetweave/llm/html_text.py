@@ -32,7 +32,7 @@ from hetweave.llm.common import add_column, free_name, small_batches
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 _INSIDE = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
-_SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
+_SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is text, not markup; none of it is ever content.
@@ -95,7 +95,7 @@ def parse(page: str) -> list[Node]:
 
     def flush() -> None:
         nonlocal runs
-        text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip(" ") if buffer else ""
+        text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip() if buffer else ""
         buffer.clear()
         if text:
             nodes[stack[-1]].runs.append((runs, text))

@@ -92,6 +92,62 @@ def predict_preservation(scores: dict[str, DataFrame], own: DataFrame, ks: Itera
     return raw.join(base, "k").withColumns({f"delta_{m}": F.col(m) - F.col(f"original_{m}") for m in measures})
 
 
+def select_over_grid(prepared: Prepared, pairs: Iterable[tuple[float, float]], *, dataset: str, scale: float = 1.0, fallback: str = "best_effort", **options) -> tuple[DataFrame, DataFrame]:
+    """The evaluated grid with its risks, and the settings chosen from it."""
+    from hetweave.operators.selection import normalized_risk, row_score, select_normalized
+
+    risked = normalized_risk(row_score(evaluate_grid(prepared, pairs, dataset=dataset, **options)), scale)
+    return risked, select_normalized(risked, fallback=fallback)
+
+
+def retrieval_at(original: DataFrame, reduced: DataFrame, targets: DataFrame, ks: Iterable[int]) -> DataFrame:
+    """(k, mae, p95, overlap, tie_overlap, ndcg, ...) averaged over all targets as queries, self left out."""
+    q = targets.toDF("q")
+    rows = [cut(ranking.average(ranking.preservation(original, reduced, q, targets, k=k).withColumn("k", F.lit(k)), "k")) for k in ks]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def attribute_ladder(prepared: Prepared, tau_term: float, rungs: Iterable[float] = (0.1, 0.5, 1.0)) -> dict[str, DataFrame]:
+    """Mappings with all types under the term guard alone, and the target's attribute guard raised in steps."""
+    c = prepared.net.config
+    terms_only = {t: cover.guarded_cover(prepared.partition.where(F.col("ntype") == t), prepared.terms.get(t), None, tau_term, 0.0) for t in c.main_types}
+    rest = [m for t, m in terms_only.items() if t != c.target]
+    own = prepared.partition.where(F.col("ntype") == c.target)
+    out = {"term_only": reduce(DataFrame.unionByName, rest, terms_only[c.target])}
+    for tau in rungs:
+        out[f"attribute_{tau:g}"] = reduce(DataFrame.unionByName, rest, cover.guarded_cover(own, prepared.terms.get(c.target), prepared.features(c.target), tau_term, tau))
+    return out
+
+
+def cluster_settings(points: dict[str, DataFrame], own: DataFrame, k: int, algorithms: Iterable[str], seeds: Iterable[int]) -> DataFrame:
+    """(setting, algorithm, seed, nmi, acc, macro_precision) of clusterings of each setting's points.
+
+    Points (nid, vec) are standardised by the setting named original. A row each; summaries and
+    deltas are preservation_summary()'s.
+    """
+    from hetweave.operators import clustering
+
+    spark = own.sparkSession
+    names = sorted(points)
+    scaled = dict(zip(names, clustering.standardize(points["original"], *[points[n] for n in names]), strict=True))
+    rows = []
+    for name in names:
+        for algorithm in algorithms:
+            for seed in seeds:
+                found = clustering.cluster(algorithm, scaled[name], k, seed=seed).join(own.select("nid", "y"), "nid")
+                cells = cut(clustering.contingency(found))
+                rows.append((name, algorithm, seed, clustering.nmi(cells).first()[0], clustering.accuracy(cells), clustering.macro_precision(cells).first()[0]))
+    return spark.createDataFrame(rows, "setting string, algorithm string, seed int, nmi double, acc double, macro_precision double")
+
+
+def typical_seed(raw: DataFrame, keys: tuple[str, ...], measures: tuple[str, ...]) -> DataFrame:
+    """(keys, seed) of the run whose measures lie nearest their means; ties to the least seed."""
+    w = Window.partitionBy(*keys)
+    far = reduce(lambda a, b: a + b, [F.abs(F.col(m) - F.avg(m).over(w)) for m in measures])
+    ranked = raw.withColumn("far", F.round(far, 12)).withColumn("k", F.row_number().over(w.orderBy("far", "seed")))
+    return ranked.where("k = 1").select(*keys, "seed")
+
+
 def training_views(prepared: Prepared, mapping: DataFrame, own: DataFrame, test: DataFrame) -> dict[str, DataFrame]:
     """Tables a graph model trains on, original and reduced.
 

@@ -1,11 +1,11 @@
 """Main text of web pages by a tree-structured graphical model.
 
-The nodes of a page's tree are its block elements; each is content or not. A node's features (tag,
-words in its class and id, links, length, kind of parent) have a likelihood under either label,
-and a child's label depends on its parent's through a potential for each pair of kinds of
-element. On a tree the sum-product
-algorithm is exact: messages go up from the leaves, then down from the root, and their product
-is each node's marginal. Text of nodes with a marginal of 0.5 or more is kept.
+The nodes of a page's tree are its block elements; each is content or not. A node's features
+(tag, words in its class and id, links, length, kind of parent, the nearest telling holder) have
+a likelihood under either label, and a child's label depends on its parent's through a potential
+for each pair of kinds of element. On a tree the sum-product algorithm is exact: messages go up
+from the leaves, then down from the root, and their product is each node's marginal. Text of
+nodes with a marginal of 0.5 or more is kept.
 
 Likelihoods and potentials are counted on labelled pages. Pages with known labels are not at
 hand in the tables, so labelled_pages() makes them from layouts that use both the semantic tags
@@ -210,14 +210,17 @@ def _kind(node: Node) -> str:
 
 
 def _features(nodes: list[Node]) -> list[tuple[str, ...]]:
-    out = []
+    out, within = [], []
     for node in nodes:
         family = _FAMILY.get(node.tag, "other")
+        told = node.tells or (family if family in ("nav", "header", "footer", "aside", "form", "article", "main") else "")
+        around = within[node.parent] if node.parent >= 0 else ""
+        within.append(told or around)
         share = node.linked / node.size if node.size else 0
         links = "none" if not node.size else "few" if share < 0.3 else "some" if share < 0.8 else "all"
         size = "0" if not node.size else "s" if node.size < 25 else "m" if node.size < 100 else "l"
         parent = nodes[node.parent] if node.parent >= 0 else None
-        out.append((f"tag {family}", f"tells {node.tells}", f"links {links} {size}", f"under {_FAMILY.get(parent.tag, 'other') if parent else ''}"))
+        out.append((f"tag {family}", f"tells {node.tells}", f"links {links} {size}", f"under {_FAMILY.get(parent.tag, 'other') if parent else ''}", f"within {around}"))
     return out
 
 
@@ -322,8 +325,8 @@ def labelled_pages(n: int = 800, seed: int = 11) -> list[list[Node]]:
             "advert": f"<div {part('advert')}>{rng.choice(['{}', '<p>{}</p>', '<div><p>{}</p></div>', '<span>{}</span>']).format(text)}</div>",
             "notice": f"<div {part('notice')}>{rng.choice(['{}', '<p>{}</p><button>OK</button>']).format(text)}</div>",
             "aside": f"<aside><h3>{words(1, 3)}</h3>{rng.choice(['<p>' + text + '</p>', '<ul>' + links('li', 4) + '</ul>'])}</aside>",
-            "social": f"<div {part('social')}>{links('p', 3)}</div>",
-            "comment": f"<section {part('comment')}><h3>{words(1, 2)}</h3><div><p>{text}</p></div><div><p>{words(4, 30)}</p></div></section>",
+            "social": rng.choice(["<div {0}>{1}</div>", "<div {0}><h3>{2}</h3><ul>{3}</ul></div>", "<section {0}><h3>{2}</h3>{1}</section>"]).format(part("social"), links("p", 3), words(1, 3), links("li", 3)),
+            "comment": rng.choice(["<section {0}><h3>{3}</h3><div><p>{1}</p></div><div><p>{2}</p></div></section>", "<section {0}><p>{1}</p><p>{2}</p></section>", "<section {0}><h2>{3}</h2><p>{1}</p></section>"]).format(part("comment"), text, words(4, 30), words(1, 2)),
             "comments": rng.choice(["<div {0}><ul><li>{1}</li><li><p>{2}</p></li></ul></div>", "<div {0}><p>{1}</p><p>{2}</p></div>", "<div {0}><div class='comment'><p>{1}</p></div><div><p>{2}</p></div></div>", "<div {0}><h3>{2}</h3>{1}</div>"]).format(part("comment"), text, words(4, 30)),
             "form": f"<form><p>{text}</p><input><button>{words(1, 1)}</button></form>",
             "header": f"<header><h1>{words(1, 3)}</h1><p>{words(1, 6)}</p></header>",
@@ -334,7 +337,7 @@ def labelled_pages(n: int = 800, seed: int = 11) -> list[list[Node]]:
     pages = []
     for _ in range(n):
         # marks in attributes the parser doesn't read tell which subtrees are content
-        body = wrapped(content() + (junk() + content() if rng.random() < 0.2 else "") + (junk() if rng.random() < 0.3 else ""))
+        body = wrapped(content() + (junk() + content() if rng.random() < 0.3 else "") + (junk() if rng.random() < 0.4 else ""))
         before, after = ("".join(junk() for _ in range(rng.randint(0, 3))) for _ in range(2))
         outer = rng.choice(["{}", "<div id='page'>{}</div>", "<div class='wrap'>{}</div>", "<div>{}</div>"])
         page = f"<html><head><title>x</title></head><body>{outer.format(before + '<hr>' + body + '<hr>' + after)}</body></html>"

@@ -60,12 +60,16 @@ def load_archive(spark: SparkSession, path: str, **layers) -> Network:
 
     Nodes: id, name, type and, of strong types, comma-separated features. Links: ends, type and
     weight (1 if absent). Labels: type and label in the last two fields. Types go by the names
-    in info.dat, links by its numbers.
+    in info.dat, which layers may also give by number; links go by their numbers.
     """
     lines = member_lines(spark, path)
     info = json.loads(lines.where("member = 'info.dat'").first().line)  # the archive's schema
     types = {str(k): v for k, v in info["node.dat"]["node type"].items()}
     links = tuple(LinkType(str(k), types[str(v["start"])], types[str(v["end"])]) for k, v in sorted(info["link.dat"]["link type"].items(), key=lambda x: int(x[0])))
+    named = lambda t: types.get(str(t), t)  # noqa: E731  types by number or by name
+    for key in ("main_types", "semantic_types", "strong_types"):
+        layers[key] = tuple(named(t) for t in layers.get(key, ()))
+    layers |= {"target": named(layers["target"]), "term_paths": {named(t): tuple(p) for t, p in layers.get("term_paths", {}).items()}}
     config = NetworkConfig(link_types=links, **layers)
     config.check()
     name_of = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])

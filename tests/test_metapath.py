@@ -117,7 +117,7 @@ def test_quotient(net):
 
 
 def test_grid(net):
-    rows = {(r.semantic_threshold, r.attribute_threshold): r for r in evaluate_grid(Prepared(net), [(0.4, 1.0), (1.0, 1.0)], dataset="tiny").collect()}
+    rows = {(r.semantic_threshold, r.attribute_threshold): r for r in evaluate_grid(Prepared(net), [(0.4, 1.0)], dataset="tiny").collect()}
     r = rows[0.4, 1.0]
     assert (r.main_nodes, r.reduced_main_nodes, r.full_nodes) == (12, 11, 15)
     assert 0 < r.avg_pathsim_mae < 0.1 and r.avg_pathsim_ndcg10 > 0.9
@@ -163,3 +163,25 @@ def test_config():
     for bad in ({"half_paths": {"x": ("ab", "ab")}}, {"half_paths": {"x": ("zz",)}}, {"term_paths": {"b": ("ab",)}}):
         with pytest.raises(ValueError):
             NetworkConfig("a", ("a",), links, ("ab",), **bad).check()
+
+
+def test_tasks(spark, net, tmp_path, tmp_path_factory):
+    """Every task of the command line, on the same archive; types go by number."""
+    from hetweave.__main__ import main
+
+    path = next(tmp_path_factory.getbasetemp().glob("archive*/tiny.zip"))
+    layers = LAYERS | {"target": "0", "main_types": ["0", "1", "2"], "semantic_types": ["3"], "strong_types": ["0"], "term_paths": {"0": ["0", "4"], "1": ["4"], "2": ["3", "4"]}}
+    (tmp_path / "layers.json").write_text(json.dumps(layers))
+    common = ["--archive", str(path), "--layers", str(tmp_path / "layers.json"), "--out", str(tmp_path / "out"), "-k", "2"]
+    read = lambda folder, name: spark.read.csv(f"{folder}/{name}", header=True, inferSchema=True)
+    out = main(["reduce", *common])
+    assert {r.ntype: r.clusters for r in read(out, "by_type").collect()} == {"A": 4, "P": 5, "V": 2}
+    assert read(main(["topk", *common]), "topk").where("i = 0 and path = 'APA' and method = 'pathsim'").count() == 2
+    out = main(["pairs", *common])
+    assert {(r.ntype, r.decision): r.n for r in read(out, "counts").collect()}["A", "accepted"] == 1
+    assert read(main(["predict", *common]), "votes").count() == 2
+    assert read(main(["matrices", *common]), "manifest").count() == 12
+    out = main(["select", *common, "--term-taus", "0.4", "--attr-taus", "1.0"])
+    assert read(out, "selected").first().semantic_threshold == 0.4
+    again = main(["reselect", "--results", f"{out}/grid", "--out", str(tmp_path / "out"), "--budget-scales", "0.5,2"])
+    assert read(again, "sensitivity").count() == 2

@@ -129,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
     labels has (doc_id, label). Null ids and labels are ignored; of several labels of an id the
     least counts. The ids are few enough to broadcast by their bound; the features are made on
-    the executors, and a row of them is N_FEATURES floats at most.
+    the executors, and a row of them is N_FEATURES pairs at most, so what the driver gathers
+    has a bound that max_rows sets.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -144,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
                 yield add_column(batch.select(["i", "y"]), "x", pa.array(full, pa.binary()))
 
     kind = T.StructType([*rows.select("i", "y").schema.fields, T.StructField("x", T.BinaryType())])
-    got = sorted(((str(r.i), r.y, bytes(r.x)) for r in rows.mapInArrow(run, kind).toLocalIterator()), key=lambda r: r[0])
+    got = sorted(((str(r.i), r.y, bytes(r.x)) for r in rows.mapInArrow(run, kind).collect()), key=lambda r: r[0])
     got = list({r[0]: r for r in got}.values())  # repeated rows of an id count once
     x, y = np.zeros((len(got), N_FEATURES), np.float32), np.array([r[1] for r in got], np.float32)
     for k, (_, _, packed) in enumerate(got):

@@ -109,6 +109,18 @@ def near_links(points: DataFrame, radius: int = 2, bucket: int = 64, column: str
     return pairs.unionAll(through).distinct()
 
 
+def _classes(docs: DataFrame, doc_id: str, text: str, words: int, radius: int) -> DataFrame:
+    """(doc_id, simhash, root, component_id) of each row; root names the component in any case."""
+    prints, name = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words)
+    prints = cut(prints.select("doc_id", F.col(name).alias("simhash")))
+    points = cut(prints.groupBy("simhash").agg(F.min("doc_id").alias("rep")))
+    found = connected_components(near_links(points, radius))
+    joined = points.join(found, F.col("simhash") == F.col("node"), "left").select("simhash", "rep", F.coalesce("component", "simhash").alias("root"))
+    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+    of_point = joined.join(least, "root").select("simhash", "root", "component_id")
+    return prints.join(of_point, "simhash").select("doc_id", "simhash", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, simhash, component_id) of each row; component_id is the least id reachable by links.
 
@@ -116,25 +128,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     all texts without words are linked to each other. Rows with a null id have a component but
     never name one; a component of null ids only is null. Repeated rows are each returned.
     """
-    prints, name = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words)
-    prints = cut(prints.select("doc_id", F.col(name).alias("simhash")))
-    points = cut(prints.groupBy("simhash").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(near_links(points, radius))
-    joined = points.join(found, F.col("simhash") == F.col("node"), "left").select("simhash", "rep", F.coalesce("component", "simhash").alias("root"))
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_point = joined.join(least, "root").select("simhash", "component_id")
-    return prints.join(of_point, "simhash").select("doc_id", "simhash", "component_id")
+    return _classes(docs, doc_id, text, words, radius).drop("root")
 
 
-def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """One row for each component, that of its least id, with the columns of docs.
 
-    Of repeated rows with one id, one stays. Rows with a null id stay only if their component
-    holds null ids alone, and then one of them.
+    Of repeated rows with one id, one stays. Of a component of null ids only, one row stays;
+    other rows with a null id go. Texts move once: the join by id and the choice among rows of
+    an id share it.
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
+    found = cut(_classes(docs, doc_id, text, words, radius))
     mark = free_name(docs, "kept_id")
-    # null-safe: a component of null ids keeps the null
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(mark)).distinct()
-    same = docs[doc_id].eqNullSafe(kept[mark])
-    return docs.join(kept, same, "left_semi").dropDuplicates([doc_id])
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    named = docs.join(kept, docs[doc_id] == kept[mark], "left_semi").dropDuplicates([doc_id])
+    # rows without an id are told apart by their fingerprints
+    alone = found.where("component_id is null").groupBy("root").agg(F.min("simhash").alias(mark)).select(mark)
+    prints, name = with_fingerprints(docs.where(F.col(doc_id).isNull()), text, words)
+    unnamed = prints.join(alone, prints[name] == alone[mark], "left_semi").dropDuplicates([name]).drop(name)
+    return named.unionAll(unnamed)

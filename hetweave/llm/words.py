@@ -74,5 +74,5 @@ def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros(len(words), np.uint64)
         for k in range(n):
             out *= _MIX
-            out[: len(words) - k] += words[k:]
+            out[: max(0, len(words) - k)] += words[k:]
         return out ^ (out >> np.uint64(31))

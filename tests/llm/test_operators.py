@@ -52,6 +52,16 @@ def test_contamination(spark, docs, wide, rows, items, block):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(w[0] for w in want if not w[-1])
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 10])
+def test_fewer_words_than_a_window(n):
+    """A batch may hold fewer words than the window looked for."""
+    block = decontaminate.Suffixes([("1", " ".join("abcdefghijkl"))], 10)
+    raw = np.frombuffer(" ".join("abcdefghij"[:n]).encode(), np.uint8)
+    counts, found = decontaminate._look_up(raw, np.array([0, len(raw)]), block, True)
+    assert counts.tolist() == [n]
+    assert found == ({0: ([(0, 10)], ["1"], [{"item_id": "1", "item_word": 0, "doc_word": 0, "n_words": 10}])} if n == 10 else {})
+
+
 def test_contamination_empty(spark, docs, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     found, name = decontaminate.find_contamination(docs, bench)

@@ -47,6 +47,27 @@ def passing_pairs(members: DataFrame, terms: DataFrame | None, features: DataFra
     return scored.where(term_passes(F.col("term_score"), tau_term) & attr_passes(F.col("attr_score"), tau_attr)).select("ntype", "class_id", "i", "j")
 
 
+def strict(tau_term: float, measure: str = "cosine") -> bool:
+    """Whether the term guard asks for equal term sets."""
+    return measure == "cosine" and tau_term >= 1 - STRICT
+
+
+def count_passing(part: DataFrame, terms: DataFrame | None, features: DataFrame | None, cells: list[tuple[float, float]], measure: str = "cosine") -> list[int]:
+    """How many pairs pass both guards at each (tau_term, tau_attr), in one pass over the pairs."""
+    members = part.select("ntype", "class_id", "nid")
+    if terms is not None and measure == "cosine" and min(t for t, _ in cells) > TERM_SLACK:
+        pairs = term_scores(members, terms, measure).withColumnRenamed("score", "term_score")
+        attr = F.lit(None).cast("double")
+        if features is not None:
+            f = features.select("nid", "feat")
+            pairs = pairs.join(f.toDF("i", "fi"), "i", "left").join(f.toDF("j", "fj"), "j", "left")
+            attr = cosine(F.col("fi"), F.col("fj"))
+        pairs = pairs.select("term_score", attr.alias("attr_score"))
+    else:
+        pairs = scored_pairs(members, terms, features, measure)
+    return list(pairs.agg(*[F.count_if(term_passes(F.col("term_score"), t) & attr_passes(F.col("attr_score"), a)) for t, a in cells]).first())
+
+
 def greedy(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
     """Seed of each node, over passing pairs of one component."""
     near: dict[int, set[int]] = {}
@@ -75,8 +96,7 @@ def guarded_cover(part: DataFrame, terms: DataFrame | None, features: DataFrame
     is done with. Where both channels are off, classes are clusters.
     """
     members = part.select("ntype", "class_id", "nid")
-    strict = terms is not None and measure == "cosine" and tau_term >= 1 - STRICT
-    if strict:
+    if terms is not None and strict(tau_term, measure):
         members = exact_groups(members, terms).select("ntype", F.col("group_id").alias("class_id"), "nid")
         terms = None
     if terms is None and features is None:

@@ -38,6 +38,22 @@ class Prepared:
         parts = [cover.cover_for_mode(mode, self.partition.where(F.col("ntype") == t), self.terms.get(t), self.features(t), tau_term, tau_attr, measure) for t in self.net.config.main_types]
         return cut(reduce(DataFrame.unionByName, parts))
 
+    def alike(self, pairs: list[tuple[float, float]], mode: str = "layered_semantic_attribute", measure: str = "cosine") -> list[int]:
+        """For each cell the first one that the same pairs of nodes pass, which thus has its mapping.
+
+        What passes only shrinks as a threshold rises. So two cells are passed by the same pairs
+        if both, and the cell of their higher thresholds, are passed by as many.
+        """
+        if mode != "layered_semantic_attribute":
+            return list(range(len(pairs)))
+        corners = sorted({(t, a) for t, _ in pairs for _, a in pairs})
+        counts = [dict(zip(corners, cover.count_passing(self.partition.where(F.col("ntype") == t), self.terms.get(t), self.features(t), corners, measure), strict=True)) for t in self.net.config.main_types]
+        out: list[int] = []
+        for k, (t, a) in enumerate(pairs):
+            same = [j for j in sorted(set(out)) if cover.strict(t, measure) == cover.strict(pairs[j][0], measure) and all(c[t, a] == c[pairs[j]] == c[max(t, pairs[j][0]), max(a, pairs[j][1])] for c in counts)]
+            out.append(same[0] if same else k)
+        return out
+
 
 def evaluate_mapping(prepared: Prepared, mapping: DataFrame, queries: DataFrame | None = None, *, k: int = 10, keep_self: bool = True) -> tuple[DataFrame, DataFrame]:
     """Measures by path and method, averaged over queries; and one row of them averaged over paths.
@@ -64,19 +80,24 @@ def evaluate_mapping(prepared: Prepared, mapping: DataFrame, queries: DataFrame
 def evaluate_grid(prepared: Prepared, pairs: Iterable[tuple[float, float]], *, dataset: str = "", setting: str = "layered_semantic_attribute", queries: DataFrame | None = None, measure: str = "cosine") -> DataFrame:
     """A row for each pair of thresholds: reduction figures and measures, ready for selection.
 
-    Cells are independent jobs over shared, written tables; each cell's row is written before
-    the next, so a lost executor costs one cell.
+    Cells are independent jobs over shared, written tables; each mapping's row is written before
+    the next, so a lost executor costs one cell. Cells that the same pairs pass share a mapping
+    and its row.
     """
     net = prepared.net
     semantic = net.nodes.where(~F.col("ntype").isin(*net.config.main_types)).count()
-    out = []
-    for tau_term, tau_attr in pairs:
-        mapping = prepared.cover(tau_term, tau_attr, setting, measure)
+    pairs = list(pairs)
+    first = prepared.alike(pairs, setting, measure)
+    rows = []
+    for k in sorted(set(first)):
+        mapping = prepared.cover(*pairs[k], setting, measure)
         sizes = quotient.reduction_ratios(mapping, semantic, net.links, prepared.matrices)
         _, measured = evaluate_mapping(prepared, mapping, queries)
-        row = sizes.join(measured)  # single rows
-        out.append(cut(row.withColumns({"dataset": F.lit(dataset), "reduction_setting": F.lit(setting), "semantic_threshold": F.lit(tau_term), "attribute_threshold": F.lit(tau_attr)})))
-    return reduce(DataFrame.unionByName, out)
+        rows.append(cut(sizes.join(measured).withColumn("cell", F.lit(k))))  # single rows
+    found = reduce(DataFrame.unionByName, rows)
+    measures = [c for c in found.columns if c != "cell"]
+    cells = net.nodes.sparkSession.createDataFrame([(k, dataset, setting, *pair) for k, pair in zip(first, pairs, strict=True)], "cell int, dataset string, reduction_setting string, semantic_threshold double, attribute_threshold double")
+    return cut(found.join(F.broadcast(cells), "cell").select(*measures, *cells.columns[1:]))  # a row for each cell
 
 
 def predict_preservation(scores: dict[str, DataFrame], own: DataFrame, ks: Iterable[int]) -> DataFrame:

@@ -123,6 +123,63 @@ def test_grid(net):
     assert 0 < r.avg_pathsim_mae < 0.1 and r.avg_pathsim_ndcg10 > 0.9
 
 
+def test_whole_grid(spark, tmp_path, monkeypatch):
+    """t1_evaluated_grid asks for every pair of thresholds and every part; cells against loops over more than fifty parts."""
+    from hetweave.plans import evaluation
+
+    rng = np.random.default_rng(3)
+    vectors, parts = [(0, 1.0), (1, 1.0), (2, 0.0)], []
+    for i in range(60):
+        size, price = vectors[rng.integers(3)]
+        parts.append((i, f"w{rng.integers(4)}", f"b{rng.integers(2)}", f"t{rng.integers(2)}", size, price))
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    asked = {}
+
+    def stop(prepared, pairs, **options):
+        asked.update(prepared=prepared, pairs=pairs, options=options)
+        raise InterruptedError
+
+    monkeypatch.setattr(evaluation.evaluate, "select_over_grid", stop)
+    with pytest.raises(InterruptedError):
+        evaluation.t1_evaluated_grid(spark, str(tmp_path))
+    taus = [round(0.1 * k, 6) for k in range(1, 11)]
+    assert sorted(asked["pairs"]) == [(t, a) for t in taus for a in taus] and asked["options"].get("queries") is None
+    # terms are equal or not, cosines of vectors 0, 0.707 or 1; equal term sets are a rule of their own
+    first = asked["prepared"].alike(asked["pairs"])
+    groups = {}
+    for (t, a), k in zip(asked["pairs"], first, strict=True):
+        groups.setdefault((t == 1.0, a > 0.75), set()).add(k)
+    assert all(len(g) == 1 for g in groups.values()) and len(set(first)) == 4
+    got = {(r.semantic_threshold, r.attribute_threshold): r for r in evaluate_grid(asked["prepared"], [(0.3, 0.2), (0.7, 0.5)]).collect()}
+    assert len(got) == 2
+
+    def passes(i, j, a):
+        x, y = (np.array(parts[k][4:], float) for k in (i, j))
+        return parts[i][1] == parts[j][1] and x @ y / np.sqrt((x @ x) * (y @ y)) >= a - 1e-10
+
+    def pathsim(half):
+        m = half @ half.T
+        return 2 * m / (m.diagonal()[:, None] + m.diagonal())
+
+    for (_, a), r in got.items():
+        seed = {}
+        for i in range(60):
+            if i not in seed:
+                own = [i]
+                own += [j for j in range(i + 1, 60) if j not in seed and parts[i][2:4] == parts[j][2:4] and all(passes(x, j, a) for x in own) and not own.append(j)]
+                seed |= dict.fromkeys(own, i)
+        names, mae = sorted(set(seed.values())), []
+        at = [names.index(seed[i]) for i in range(60)]
+        for column in (1, 3):
+            kinds = sorted({p[column] for p in parts})
+            half = np.array([[float(p[column] == k) for k in kinds] for p in parts])
+            small = np.array([sum(half[i] for i in range(60) if at[i] == c) for c in range(len(names))])
+            off = np.abs(pathsim(half) - pathsim(small)[np.ix_(at, at)])
+            np.fill_diagonal(off, 0)
+            mae.append(off.mean())
+        assert r.reduced_main_nodes == len(names) and r.avg_pathsim_mae == pytest.approx(np.mean(mae), abs=1e-7)
+
+
 def test_training_views(net):
     prepared = Prepared(net)
     own = net.labels.where("split = 'train'").selectExpr("nid", "split(y, ',')[0] as y")

@@ -7,6 +7,7 @@ points stay distributed: assignment is an expression over each point, updates ar
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -71,7 +72,10 @@ def _spread_out(points: DataFrame, k: int, seed: int) -> list[list[float]]:
 
 
 def kmeans(points: DataFrame, k: int, *, seeds: int = 3, rounds: int = 30, seed: int = 42) -> tuple[DataFrame, list[list[float]], float]:
-    """(nid, cluster), centres and cost of the best of several starts, by Lloyd's steps."""
+    """(nid, cluster), centres and cost of the best of several starts, by Lloyd's steps.
+
+    A start that still lowers its cost after the last round is warned of.
+    """
     points = cut(points.select("nid", "vec"))
     best: tuple[float, list[list[float]]] | None = None
     for s in range(seeds):
@@ -83,6 +87,8 @@ def kmeans(points: DataFrame, k: int, *, seeds: int = 3, rounds: int = 30, seed:
                 break
             last, new = cost, _means(found, len(centres))
             centres = [new.get(c, old) for c, old in enumerate(centres)]
+        else:
+            warnings.warn(f"k-means: start {s} has not converged in {rounds} rounds", RuntimeWarning, stacklevel=2)
         if best is None or last < best[0]:
             best = (last, centres)
     return nearest(points, best[1]).select("nid", "cluster"), best[1], best[0]
@@ -91,7 +97,7 @@ def kmeans(points: DataFrame, k: int, *, seeds: int = 3, rounds: int = 30, seed:
 def fuzzy_cmeans(points: DataFrame, k: int, *, m: float = 2.0, rounds: int = 50, tolerance: float = 1e-4, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
     """(nid, cluster): hard labels of fuzzy memberships u = d^(-2/(m-1)) normalised, and centres.
 
-    Ends when the centres move less than the tolerance.
+    Ends when the centres move less than the tolerance; warns if they still move after the last round.
     """
     points = cut(points.select("nid", "vec"))
     centres = _spread_out(points, k, seed)
@@ -104,6 +110,8 @@ def fuzzy_cmeans(points: DataFrame, k: int, *, m: float = 2.0, rounds: int = 50,
         centres = [new[c] for c in range(len(centres))]
         if moved < tolerance:
             break
+    else:
+        warnings.warn(f"fuzzy c-means has not converged in {rounds} rounds", RuntimeWarning, stacklevel=2)
     return nearest(points, centres).select("nid", "cluster"), centres
 
 
@@ -188,7 +196,7 @@ def xmeans(points: DataFrame, k: int, *, seed: int = 42) -> DataFrame:
         if n < 4:
             done.append(centre)
             continue
-        _, halves, _ = kmeans(own.select("nid", "vec"), 2, seeds=1, rounds=10, seed=seed)
+        _, halves, _ = kmeans(own.select("nid", "vec"), 2, seeds=5, rounds=300, seed=seed)
         sizes = [(r[1], r[2]) for r in nearest(own.select("nid", "vec"), halves).groupBy("cluster").agg(F.count("*"), F.sum("d2")).collect()]
         if len(sizes) == 2 and bic(n, dim, sizes) > bic(n, dim, [(n, cost)]):
             front += halves

@@ -173,7 +173,7 @@ def _clusters(algorithm: str, **options):
     return query()(run)
 
 
-l9_kmeans, l10_fuzzy_cmeans = _clusters("kmeans", seeds=1, rounds=10), _clusters("fcm", rounds=10)
+l9_kmeans, l10_fuzzy_cmeans = _clusters("kmeans", seeds=10, rounds=300), _clusters("fcm", rounds=150)
 l11_sequential_scheme, l12_xmeans = _clusters("bsas"), _clusters("xmeans")
 
 

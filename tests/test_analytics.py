@@ -157,3 +157,23 @@ def test_sinks(spark, tmp_path):
     s = spark.createDataFrame([("d", "p", "original", 1, 2, 0.5)], "dataset string, path string, matrix_type string, i long, j long, score double")
     assert archive.write_similarities(s, str(tmp_path / "s")).first().pairs == 1
     assert archive.content_hashes(spark, str(tmp_path / "r/*.csv")).where("length(sha256) = 64").count() >= 1
+
+
+def test_clusterings_run_to_their_end(spark, monkeypatch):
+    """Registered clusterings have the reference's starts and rounds; a limit that ends a run is told."""
+    from hetweave.plans import analytics
+
+    rng = np.random.default_rng(4)
+    points = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 2)))], "nid long, y int, vec array<double>")
+    for run in (lambda: clustering.kmeans(points, 4, seeds=1, rounds=1), lambda: clustering.fuzzy_cmeans(points, 3, rounds=1)):
+        with pytest.warns(RuntimeWarning, match="not converged"):
+            run()
+    asked, kmeans = [], clustering.kmeans
+    monkeypatch.setattr(clustering, "kmeans", lambda p, k, **o: asked.append((o["seeds"], o["rounds"])) or kmeans(p, k, **o | {"seeds": 1}))
+    clustering.xmeans(points, 2)
+    assert asked == [(5, 300)]
+    monkeypatch.setattr(analytics.src, "vectors", lambda *_: points)
+    monkeypatch.setattr(clustering, "cluster", lambda name, p, k, **o: asked.append((name, k, o)) or p.select("nid"))
+    analytics.l9_kmeans(spark, "")
+    analytics.l10_fuzzy_cmeans(spark, "")
+    assert asked[1:] == [("kmeans", 10, {"seeds": 10, "rounds": 300}), ("fcm", 10, {"rounds": 150})]

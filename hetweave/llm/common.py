@@ -6,11 +6,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hetweave.lineage import cut
 from hetweave.operators.graph import connected_components
 
-__all__ = ["add_column", "connected_components", "cut", "free_name", "pieces", "small_batches", "table", "text_buffer"]
+__all__ = ["add_column", "connected_components", "cut", "free_name", "numbered_copies", "pieces", "small_batches", "table", "text_buffer"]
 
 ARROW_ROWS = "512"
 
@@ -66,3 +67,17 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in used:
         name += "_"
     return name
+
+
+def numbered_copies(counted: DataFrame, copies: str, number: str, step: int = 4096) -> DataFrame:
+    """Each row of a counted table as many times as `copies` says, numbered from 0.
+
+    Rows with more than `step` copies are cut into runs of that many, which are spread over the
+    tasks before they are written out, so no task makes all the copies of one row.
+    """
+    few = counted.where(F.col(copies) <= step).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1)))
+    many = counted.where(F.col(copies) > step).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / step).cast("long"))))
+    many = many.repartition(*[F.col(c) for c in counted.columns], F.col(number))
+    last = F.least(F.col(copies), (F.col(number) + 1) * step) - 1
+    many = many.withColumn(number, F.explode(F.sequence(F.col(number) * step, last)))
+    return few.unionByName(many).drop(copies)

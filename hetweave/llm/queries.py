@@ -88,7 +88,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_table(docs: DataFrame) -> DataFrame:
-    placed, plan = sharding.assign_shards(docs, 8)
+    """Shard of each row by the law of bytes; the map that placed it is written and read back."""
+    placed, plan = sharding.assign_shards(docs, 8, store=sharding.new_store(docs.sparkSession))
     return placed.select(
         "doc_id",
         "size",
@@ -189,14 +190,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mixture takes of each document."""
+    """Documents in training order: words that the mixture takes of each, and when it comes up."""
     plan = mixing.plan_mixture(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), "passes")
 
 
 OP10_SQL = f"""
 with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size, coalesce(md5(cast(doc_id as varchar)), '') as key from documents
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size, md5(concat(coalesce(cast(doc_id as varchar), ''), ':', md5(coalesce(text, '')))) as key from documents
 ),
 s as (
   select source, sum(size)::bigint as source_size, [3, 1, 2][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight,
@@ -209,16 +210,24 @@ l as (
 ),
 f as (select arg_min(level, (2 * source_size / weight::double, rank)) as level from l where level <= 2 * source_size / weight::double),
 t as (
-  select l.source, l.source_size, least(2.0::double * l.source_size, coalesce(l.weight * f.level, 2.0::double * l.source_size)) as target from l, f
+  select l.source, l.source_size, l.rank, least(2.0::double * l.source_size, coalesce(l.weight * f.level, 2.0::double * l.source_size)) as target from l, f
 ),
 r as (
-  select d.doc_id, d.size, t.source_size, t.target, floor(t.target)::bigint as demand,
+  select d.doc_id, d.size, t.source_size, t.target, t.rank, floor(t.target)::bigint as demand,
     (sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows between unbounded preceding and current row) - d.size)::bigint as first
   from d join t on d.source is not distinct from t.source
+),
+p as (
+  select *, case when first < demand then first / target end as share,
+    case (rank - 1) % 3 when 0 then 1.0::double when 1 then 0.5::double else 1.5::double end as w,
+    case (rank - 1) % 3 when 0 then 0.0::double when 1 then 1.0::double else -1.0::double end as slope
+  from r
 )
 select doc_id, size::bigint as size, source_size, target,
-  (least(size, greatest(demand - first, 0)) + least(size, greatest(demand - source_size - first, 0)))::bigint as taken
-from r
+  (least(size, greatest(demand - first, 0)) + least(size, greatest(demand - source_size - first, 0)))::bigint as taken,
+  round(least(case when share > 0 then 2 * share / (w + sqrt(greatest(w * w + 2 * slope * share, 0))) else coalesce(share, 1.0::double) end, 1.0::double), 9) as position,
+  ((size > 0 and first < demand)::int + (size > 0 and first + source_size < demand)::int)::int as passes
+from p
 """
 
 QUERIES = {

@@ -1,19 +1,23 @@
 """Sharding by fixed virtual slots.
 
 Records hash into thousands of virtual slots, which never change. A small table maps slots to
-shards; it has versions, and balancing or growing writes a new version in which as few slots as
-needed have moved. What is planned on the driver is that table: its size is the number of slots,
-a parameter, whatever the number of records.
+shards; it has versions, kept in a folder, and balancing or growing writes a new version in which
+as few slots as needed have moved, with the edits as rows beside it. A later load takes up the
+last version, so records stay where they are unless their slot is moved. What is planned on the
+driver is that table: its size is the number of slots, a parameter, whatever the number of records.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hetweave.llm.common import cut
+from hetweave.lineage import use_checkpoint_dir
+from hetweave.llm.common import cut, numbered_copies
 
 SLOTS = 4096
 
@@ -87,8 +91,37 @@ class SlotMap:
         return self._edited(shards, n)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """(version, virtual_slot, shard): the map as a table, to be stored beside the data."""
-        return spark.createDataFrame([(self.version, s, x) for s, x in enumerate(self.shards)], "version int, virtual_slot int, shard int")
+        """(version, n_shards, virtual_slot, shard): the map as a table."""
+        return spark.createDataFrame([(self.version, self.n_shards, s, x) for s, x in enumerate(self.shards)], "version int, n_shards int, virtual_slot int, shard int")
+
+    def save(self, spark: SparkSession, store: str) -> None:
+        """Add this version to the store; a version that is there already is an error."""
+        folder = f"version={self.version}"
+        self.frame(spark).drop("version").coalesce(1).write.parquet(f"{store}/slots/{folder}")
+        edits = spark.createDataFrame(list(self.edits), "virtual_slot int, from_shard int, to_shard int")
+        edits.coalesce(1).write.parquet(f"{store}/edits/{folder}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, store: str, version: int | None = None) -> SlotMap | None:
+        """The given or the last version in the store; None if there is none."""
+        try:
+            slots, edits = spark.read.parquet(f"{store}/slots"), spark.read.parquet(f"{store}/edits")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        last = slots.agg(F.max("version")).first()[0] if version is None else version
+        found = slots.where(F.col("version") == last).orderBy("virtual_slot").collect()  # n_slots rows
+        if not found:
+            return None
+        moved = edits.where(F.col("version") == last).orderBy("virtual_slot").collect()  # n_slots rows at most
+        return cls(last, found[0].n_shards, tuple(r.shard for r in found), tuple((r.virtual_slot, r.from_shard, r.to_shard) for r in moved))
+
+
+def new_store(spark: SparkSession) -> str:
+    """A folder of its own below the shared checkpoint folder, for a map that one run needs."""
+    use_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/slot-map-{uuid4().hex}"
 
 
 def _near(keys: list[int], wanted: float) -> int | None:
@@ -115,30 +148,59 @@ def slot_sizes(records: DataFrame, n_slots: int = SLOTS) -> list[int]:
     return [found.get(s, 0) for s in range(n_slots)]
 
 
-def plan_shards(records: DataFrame, n_shards: int, n_slots: int = SLOTS, start: SlotMap | None = None) -> SlotMap:
-    """Version 0 (or the map in use) balanced by the bytes that its slots hold now."""
-    return (start or SlotMap.start(n_shards, n_slots)).balance(slot_sizes(records, n_slots))
+def plan_shards(sizes: list[int], n_shards: int, start: SlotMap | None = None) -> list[SlotMap]:
+    """The versions that lead from the map in use, or from slots dealt in turn, to even shards.
 
-
-def assign_shards(docs: DataFrame, n_shards: int = 8, *, doc_id: str = "doc_id", text: str = "text", n_slots: int = SLOTS, start: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
+    Missing shards are added one at a time, each a version; the last version is balanced by the
+    bytes that the slots hold now. A map that nothing needs to move is its own only version.
+    """
+    now = start or SlotMap.start(n_shards, len(sizes))
+    if len(now.shards) != len(sizes):
+        raise ValueError(f"the map in use has {len(now.shards)} slots")
+    if now.n_shards > n_shards:
+        raise ValueError(f"the map in use has {now.n_shards} shards; taking shards away is not supported")
+    versions = [now]
+    while versions[-1].n_shards < n_shards:
+        versions.append(versions[-1].grow(sizes))
+    even = versions[-1].balance(sizes)
+    return [*versions, even] if even.edits or start is None else versions
+
+
+def assign_shards(
+    docs: DataFrame, n_shards: int = 8, *, doc_id: str = "doc_id", text: str = "text", n_slots: int = SLOTS, start: SlotMap | None = None, store: str | None = None
+) -> tuple[DataFrame, SlotMap]:
     """(doc_id, size, text_crc32, virtual_slot, shard, position) of each row, and the map used.
 
-    The slot of a record comes from its id and its text's checksum, so rows that share an id
-    alone still spread. shard sizes in bytes are nearly equal; only rows that repeat each other
-    in full stay together, as one slot. position counts the rows of a shard from 0 without
-    gaps, in order of slot, id and checksum: counts of the slots are summed first, so no task
-    sorts more than its share of slots. A null text has size 1 and checksum null; null ids are
-    ids like others; an empty table gives no rows and version 0 of the map edited by nothing.
+    store is a folder of map versions: the last one there is the map in use, new versions are
+    added, and the records are placed by the stored table. Without a store the map lives for this
+    call only, from `start` or from slots dealt in turn.
+
+    The slot of a record comes from its id, its text's checksum and, for rows that repeat each
+    other in full, their number among the repeats: so rows that share an id, equal texts and full
+    repeats all spread, and shard sizes in bytes are nearly equal whatever repeats. Groups of
+    equal texts are not kept together. position counts the rows of a shard from 0 without gaps,
+    in order of slot, id and checksum: counts of the slots are summed first, so no task sorts more
+    than its share of slots. A null text has size 1 and checksum null; null ids are ids like
+    others; an empty table gives no rows and a map edited by nothing.
     """
     spark = docs.sparkSession
     body = F.col(text).cast("binary")
     records = docs.select(F.col(doc_id).alias("doc_id"), size_of(F.col(text)).alias("size"), F.crc32(body).alias("text_crc32"))
-    records = cut(records.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), n_slots=n_slots)))
-    plan = plan_shards(records, n_shards, n_slots, start)
-    slots = F.broadcast(plan.frame(spark).drop("version"))  # n_slots rows
+    records = numbered_copies(records.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")), "copies", "copy")
+    records = cut(records.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), F.col("copy"), n_slots=n_slots)))
+    used = SlotMap.load(spark, store) if store else None
+    versions = plan_shards(slot_sizes(records, n_slots), n_shards, used or start)
+    plan = versions[-1]
+    if store:
+        for m in versions[1:] if used else versions:
+            m.save(spark, store)
+        table = spark.read.parquet(f"{store}/slots").where(F.col("version") == plan.version)
+    else:
+        table = plan.frame(spark)
+    slots = F.broadcast(table.select("virtual_slot", "shard"))  # n_slots rows
     counts = records.groupBy("virtual_slot").agg(F.count("*").alias("n")).join(slots, "virtual_slot")
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot")) - F.col("n")
     offsets = F.broadcast(counts.select("virtual_slot", "shard", before.alias("first")))  # n_slots rows
-    inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
+    inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "copy"))
     placed = records.withColumn("inside", inside.cast("long")).join(offsets, "virtual_slot")
     return placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("first") + F.col("inside") - 1).alias("position")), plan

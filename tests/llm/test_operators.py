@@ -220,6 +220,45 @@ def test_slot_map_versions():
     assert sharding.SlotMap.start(3, 8).balance([0] * 8).shards == sharding.SlotMap.start(3, 8).shards
 
 
+def test_shards_of_repeated_rows(spark, wide):
+    """Rows that repeat each other in full are spread, so sizes stay near equal; own columns may clash."""
+    rows = [(1, "same text", "en", "s", 1)] * 9000 + [(k, "x" * (k % 50), "en", "s", 1) for k in range(2000)]
+    placed, _ = sharding.assign_shards(spark.createDataFrame(rows, SCHEMA))
+    loads = [r[1] for r in placed.groupBy("shard").agg(F.sum("size")).collect()]
+    assert placed.count() == len(rows) and max(loads) - min(loads) <= 0.01 * sum(loads) / 8
+    clash = wide.withColumns({c: F.lit("mine") for c in ("size", "shard", "copies", "copy", "virtual_slot", "n")})
+    assert sharding.assign_shards(clash)[0].count() == wide.count()
+
+
+def test_map_is_taken_up_again(spark, tmp_path):
+    """Two loads and a new shard over one store: few records move, and all versions can be read."""
+    rng = random.Random(12)
+    store = str(tmp_path / "map")
+    assert sharding.SlotMap.load(spark, store) is None
+    rows = [(k, "x" * rng.choice([5, 50, 500]), "en", "s", 1) for k in range(3000)]
+    first, m1 = sharding.assign_shards(spark.createDataFrame(rows, SCHEMA), n_slots=512, store=store)
+    was = {r.doc_id: r.shard for r in first.collect()}
+    more = rows + [(3000 + k, "y" * rng.choice([5, 50, 900]), "en", "s", 1) for k in range(600)]
+    second, m2 = sharding.assign_shards(spark.createDataFrame(more, SCHEMA), n_slots=512, store=store)
+    now = {r.doc_id: r.shard for r in second.collect()}
+    loads = Counter()
+    for r in second.collect():
+        loads[r.shard] += r["size"]
+    assert max(loads.values()) - min(loads.values()) <= 0.01 * sum(loads.values()) / 8
+    moved = sum(was[k] != now[k] for k in was)
+    slots = {s for s, _, _ in m2.edits}
+    assert m2.version == m1.version + 1 and 0 < moved < 0.1 * len(was) and len(slots) < 51
+    again = sharding.SlotMap.load(spark, store)
+    assert again == m2 and sharding.SlotMap.load(spark, store, m1.version) == m1
+    _, m3 = sharding.assign_shards(spark.createDataFrame(more, SCHEMA), n_slots=512, store=store)
+    assert m3 == m2  # nothing to move: no new version
+    third, m4 = sharding.assign_shards(spark.createDataFrame(more, SCHEMA), 9, n_slots=512, store=store)
+    grown = {r.doc_id: r.shard for r in third.collect()}
+    assert m4.n_shards == 9 and sum(now[k] != grown[k] for k in now) < 0.25 * len(now)
+    with pytest.raises(ValueError):
+        sharding.assign_shards(spark.createDataFrame(more, SCHEMA), 8, n_slots=512, store=store)
+
+
 def test_sharding_empty(none):
     placed, plan = sharding.assign_shards(none)
     assert placed.count() == 0 and plan.edits == ()
@@ -546,3 +585,50 @@ def test_positions_follow_the_schedule(spark):
     plan = mixing.plan_mixture(spark.createDataFrame(rows, SCHEMA)).collect()
     share = {s: np.mean([r.position < 0.5 for r in plan if r.source == s and r.taken]) for s in ("s0", "s1", "s2")}
     assert share["s1"] < share["s0"] < share["s2"] or share["s1"] < share["s2"]
+
+
+def integral(schedule, t):
+    """The area under a schedule up to t, by a fine sum."""
+    xs = np.linspace(0, t, 20_001)
+    return np.trapezoid(np.interp(xs, *zip(*schedule, strict=True)), xs)
+
+
+@pytest.mark.parametrize("schedules", [mixing.SCHEDULES, (((0.0, 0.0), (0.2, 2.0), (0.6, 0.0), (0.8, 0.0), (1.0, 1.0)), ((0.0, 1.0), (0.5, 3.0), (1.0, 3.0)))])
+def test_positions_invert_the_integrals(spark, schedules):
+    """Against numerical integration: at its position a row's first word is due, and rows come in that order."""
+    rows = [(k, "w " * (1 + k % 7), "en", f"s{k % 4}", 1) for k in range(600)]
+    out = mixing.plan_mixture(spark.createDataFrame(rows, SCHEMA), schedules=schedules)
+    plan = out.collect()
+    assert [r.position for r in plan] == sorted(r.position for r in plan)
+    for k in range(4):
+        own = [r for r in plan if r.source == f"s{k}"]
+        schedule = schedules[k % len(schedules)]
+        whole, due = integral(schedule, 1.0), 0
+        for r in own:
+            if r.passes:
+                assert integral(schedule, r.position) / whole * r.target == pytest.approx(due, abs=1e-4 * r.target + 0.01)
+            due += r["size"]
+        assert sum(r.taken for r in own) == int(own[0].target)
+        assert all((r.passes == 0) == (r.taken == 0) and r.taken <= r.passes * r["size"] for r in own)
+
+
+def test_mixing_query_goes_by_the_schedule(spark, sf):
+    """The plan of the query holds the inverse of the integrals and a range exchange."""
+    plan = queries.op10_mixing(spark, sf)._jdf.queryExecution().toString()
+    assert "SQRT" in plan.upper() and "rangepartitioning(" in plan
+
+
+def test_wrong_schedules():
+    for wrong in ([(0.0, 1.0)], [(0.0, 1.0), (0.5, 1.0)], [(0.0, 1.0), (0.0, 2.0), (1.0, 1.0)], [(0.0, -1.0), (1.0, 1.0)], [(0.0, 0.0), (1.0, 0.0)]):
+        with pytest.raises(ValueError):
+            mixing._pieces(wrong)
+
+
+def test_repeated_rows_in_the_mixture(spark):
+    """A source that is one row many times over, and rows without ids: targets are met all the same."""
+    rows = [(7, "a b c", "en", "s0", 1)] * 9000 + [(None, f"x{k % 5} y", "en", "s1", 1) for k in range(500)] + [(k, "p q", "en", None, 1) for k in range(50)]
+    plan = mixing.plan_mixture(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(plan) == len(rows)
+    for s in ("s0", "s1", None):
+        own = [r for r in plan if r.source == s]
+        assert sum(r.taken for r in own) == int(own[0].target) and all(r.taken <= 2 * r["size"] for r in own)

@@ -15,6 +15,7 @@ however many documents there are; every document is in the counts.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,25 +53,66 @@ CUES = {
     "secret": r"(?i)(?:token|secret|passwo?r?d|api_?key)\s?[=:]\s?[\"']?$",
 }
 VOTES = ("strict", "gazetteer", "context", "around", "form")
-_SPAN = "array<struct<start:int,end:int,value:string>>"
+_SPAN = "struct<start:int,end:int,value:string,before:string,around:string>"
+_PLACE = "struct<k:int,start:int,end:int>"
+#: Code points of text before a span that labelers look at.
+BEFORE = 24
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scan(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str) -> Column:
+    """A fold over an array that writes as it goes: step gives the next state and an array of output.
+
+    Growing one array item by item would copy it each time. So blocks of about the square root
+    of the items write arrays of their own, which are put together at the end.
+    """
+    empty = F.array().cast(f"array<{out}>")
+
+    def one(a: Column, x: Column) -> Column:
+        state, more = step(a["state"], x)
+        return F.struct(state.alias("state"), F.concat(a["out"], more).alias("out"))
+
+    def block(done: Column, xs: Column) -> Column:
+        return F.concat(done, F.array(F.aggregate(xs, F.struct(F.element_at(done, -1)["state"].alias("state"), empty.alias("out")), one)))
+
+    def whole(xs: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(16))
+        blocks = _let(size, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / n).cast("int")), lambda k: F.slice(xs, k * n + 1, n)))
+        done = F.aggregate(blocks, F.array(F.struct(start.alias("state"), empty.alias("out"))), block)
+        return F.flatten(F.transform(done, lambda d: d["out"]))
+
+    return _let(items, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(empty))
 
 
 def spans_of(text: Column, pattern: str, gate: Column) -> Column:
-    """Leftmost non-overlapping matches with code-point places, as (start, end, value) structs.
+    """Leftmost non-overlapping matches with code-point places and their surroundings.
 
-    Matches and the gaps between them add up to the text, so the places are running sums.
+    Matches and the gaps between them add up to the text, so the places are running sums and the
+    text is cut only once. before is what stands in the text just ahead of a match, around the
+    characters next to it on both sides.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["value"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value")))).alias("out"))
+    def pieces(found: Column, gaps: Column) -> Column:
+        after = lambda i: F.when(F.get(gaps, i + 1) != "", F.substring(F.get(gaps, i + 1), 1, 1)).otherwise(F.substring(F.coalesce(F.get(found, i + 1), F.lit("")), 1, 1))
+        return F.transform(found, lambda v, i: F.struct(F.get(gaps, i).alias("gap"), v.alias("value"), after(i).alias("after")))
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        last = lambda c: F.substring(c, -BEFORE, BEFORE)
+        begin = state["at"] + F.length(x["gap"])
+        end = begin + F.length(x["value"])
+        before = last(F.concat(state["tail"], last(x["gap"])))
+        tail = last(F.concat(before, last(x["value"])))
+        around = F.concat(F.substring(before, -1, 1), x["after"])
+        span = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), before.alias("before"), around.alias("around"))
+        return F.struct(end.alias("at"), tail.alias("tail")), F.array(span)
 
-    both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.when(gate, F.aggregate(both, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    items = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _let(F.split(text, pattern, -1), lambda gaps: pieces(found, gaps)))
+    return F.when(gate, scan(items, start, step, _SPAN)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _digits(value: Column) -> Column:
@@ -139,10 +181,7 @@ def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     def judged(kind: str, column: str, is_base: bool) -> Column:
         def one(s: Column) -> Column:
             ok = valid(kind, s["value"]) if is_base else F.lit(False)
-            low = F.greatest(s["start"] - 24, F.lit(0))
-            before = F.substring(t, low + 1, s["start"] - low)
-            around = F.concat(F.substring(t, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.substring(t, s["end"] + 1, F.lit(1)))
-            votes = F.array(*_votes(kind, s["value"], ok, before, around))
+            votes = F.array(*_votes(kind, s["value"], ok, s["before"], s["around"]))
             return F.struct(F.lit(KINDS.index(kind)).alias("k"), s["start"].alias("start"), s["end"].alias("end"), ok.alias("base"), votes.alias("votes"))
 
         return F.transform(column, one)
@@ -208,26 +247,48 @@ def classifier_score(span: Column, weights: dict[tuple, float]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def _apart(base: Column, more: Column) -> Column:
+    """Spans of more that meet no span of base and none of more that stays before them, from the left.
+
+    One scan from the right knows the next base span, one from the left the ends behind it, so
+    the work grows with the spans and not with their pairs.
+    """
+    kind = "struct<start:int,added:boolean,end:int,k:int>"
+    mark = lambda added: lambda s: F.struct(s["start"].alias("start"), F.lit(added).alias("added"), s["end"].alias("end"), s["k"].alias("k"))
+    every = F.array_sort(F.concat(F.transform(base, mark(False)), F.transform(more, mark(True))))
+
+    def from_right(following: Column, x: Column) -> tuple[Column, Column]:
+        stays = ~x["added"] | (x["end"] <= following)
+        return F.when(x["added"], following).otherwise(x["start"]), F.when(stays, F.array(x)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    def from_left(behind: Column, x: Column) -> tuple[Column, Column]:
+        stays = x["added"] & (x["start"] >= behind)
+        place = F.array(F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end")))
+        return F.when(stays | ~x["added"], F.greatest(behind, x["end"])).otherwise(behind), F.when(stays, place).otherwise(F.array().cast(f"array<{_PLACE}>"))
+
+    clear = scan(F.reverse(every), F.lit(2**31 - 1), from_right, kind)
+    return F.when(F.size(more) > 0, scan(F.reverse(clear), F.lit(0), from_left, _PLACE)).otherwise(F.array().cast(f"array<{_PLACE}>"))
+
+
 def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """(doc_id, spans, base) of each row: arrays of (k, start, end), sorted; k indexes KINDS.
 
-    base has the spans of the base patterns, spans those and the ones added: proposals with a
-    score of at least `least` that overlap no base span and no added span before them in order.
-    Null and empty texts have none; repeated rows each keep their own. Kinds may overlap each
-    other in base, as a phone number may hold a card number.
+    base has the spans of the base patterns, spans those and the ones added: from the left, the
+    proposals with a score of at least `least` that overlap no base span and no span added
+    before. Null and empty texts have none; repeated rows each keep their own. Kinds may overlap
+    each other in base, as a phone number may hold a card number. Work grows in proportion to a
+    text and, but for the putting together of arrays, to its matches.
     """
     found = cut(find_spans(docs, doc_id=doc_id, text=text))
     votes = found.select(F.explode("spans").alias("s")).groupBy("s.k", "s.votes").agg(F.count("*").alias("n"))
     counts = {(r.k, tuple(r.votes)): r.n for r in votes.collect()}  # at most 3 ** len(VOTES) rows a kind
     weights = train_classifier(counts, label_model(counts))
     place = lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"))
-    base = F.transform(F.filter("spans", lambda s: s["base"]), place)
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    found = found.withColumn("base", F.array_sort(base))
-    more = F.filter("spans", lambda s: ~s["base"] & (classifier_score(s, weights) >= least) & ~F.exists("base", lambda b: meets(s, b)))
-    found = found.withColumn("more", F.array_sort(F.transform(more, place)))
-    keep = F.aggregate("more", F.array().cast("array<struct<k:int,start:int,end:int>>"), lambda acc, s: F.when(F.exists(acc, lambda b: meets(s, b)), acc).otherwise(F.concat(acc, F.array(s))))
-    return found.select("doc_id", F.array_sort(F.concat("base", keep)).alias("spans"), "base")
+    base = F.array_sort(F.transform(F.filter("spans", lambda s: s["base"]), place))
+    more = F.transform(F.filter("spans", lambda s: ~s["base"] & (classifier_score(s, weights) >= least)), place)
+    both = F.struct(base.alias("base"), more.alias("more"))
+    out = _let(both, lambda x: F.struct(F.array_sort(F.concat(x["base"], _apart(x["base"], x["more"]))).alias("spans"), x["base"].alias("base")))
+    return found.select("doc_id", out.alias("out")).select("doc_id", "out.spans", "out.base")
 
 
 def written(spans: Column) -> Column:

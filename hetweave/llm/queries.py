@@ -186,6 +186,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         pii.written(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

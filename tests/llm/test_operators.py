@@ -632,3 +632,35 @@ def test_repeated_rows_in_the_mixture(spark):
     for s in ("s0", "s1", None):
         own = [r for r in plan if r.source == s]
         assert sum(r.taken for r in own) == int(own[0].target) and all(r.taken <= 2 * r["size"] for r in own)
+
+
+def test_pii_of_many_matches(spark):
+    """One text of very many matches of several kinds: same spans as the plain version, in moderate time."""
+    import time
+
+    one = "é a@b.cc, 1.2.3.4 4111111111111111 +1 (017) 555-7713 password: abcd1234abcd1234abcd " * 4000
+    df = spark.createDataFrame([(1, one), (2, "a@b.cc " * 64_000)], "doc_id long, text string")
+    began = time.monotonic()
+    out = {r.doc_id: r for r in pii.find_pii(df).select("doc_id", pii.written(F.col("base")).alias("base"), "spans").collect()}
+    assert time.monotonic() - began < 90
+    assert out[1].base == ",".join(brute.pii(one)) and out[2].base == ",".join(brute.pii("a@b.cc " * 64_000))
+    secrets = [(s.start, s.end) for s in out[1].spans if s.k == pii.KINDS.index("secret")]
+    assert len(secrets) == 4000 and all(one[a:b] == "abcd1234abcd1234abcd" for a, b in secrets)
+
+
+def test_added_spans_stay_apart(spark):
+    """From the left: proposals that meet no base span and no proposal kept before, against all pairs."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(200):
+        spans = lambda n: [(rng.randrange(5), a, a + rng.randint(1, 6)) for a in (rng.randrange(60) for _ in range(n))]
+        base, more = spans(rng.randint(0, 5)), spans(rng.randint(0, 8))
+        kept = []
+        for s in sorted(more, key=lambda s: (s[1], s[2], s[0])):
+            if all(s[2] <= o[1] or o[2] <= s[1] for o in base + kept):
+                kept.append(s)
+        want[k] = kept
+        rows.append((k, base, more))
+    place = "array<struct<k:int,start:int,end:int>>"
+    out = spark.createDataFrame(rows, f"id long, base {place}, more {place}").select("id", pii._apart(F.col("base"), F.col("more")).alias("kept")).collect()
+    assert {r.id: [tuple(s) for s in r.kept] for r in out} == want

@@ -664,3 +664,68 @@ def test_added_spans_stay_apart(spark):
     place = "array<struct<k:int,start:int,end:int>>"
     out = spark.createDataFrame(rows, f"id long, base {place}, more {place}").select("id", pii._apart(F.col("base"), F.col("more")).alias("kept")).collect()
     assert {r.id: [tuple(s) for s in r.kept] for r in out} == want
+
+
+@pytest.mark.parametrize("dim", [1, 3, 16, 64, 100])
+def test_stored_records_estimate(dim):
+    """The packed form agrees with the plain one up to the four bits, and holds its bound at the threshold."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(200, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    q = x if dim == 1 else 0.93 * x + (1 - 0.93**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    a, b = embeddings.records(q), embeddings.records(x)
+    guess = embeddings.estimate_records(a, b, dim)
+    off = np.diag(guess) - (q * x).sum(axis=1)
+    assert (np.diag(guess) >= 0.93 - np.diag(embeddings.reach(a, b, dim, 0.93))).all()
+    if dim >= 16:
+        assert abs(off.mean()) < 0.01 and abs((guess - q @ x.T).mean()) < 0.01
+
+
+def clustered(n, dim=32, seed=4):
+    """Vectors of one label in crowds that are no links, with planted pairs and a tight group."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centres = unit(rng.normal(size=(6, dim)))
+    base = unit(centres[rng.integers(0, 6, n) * (rng.random(n) < 0.66)] + 1.3 * unit(rng.normal(size=(n, dim))))
+    near = unit(base[: n // 10] + 0.25 * unit(rng.normal(size=(n // 10, dim))))
+    tight = unit(centres[0] + 0.15 * unit(rng.normal(size=(n // 20, dim))))
+    return np.concatenate([base, near, tight]).astype(np.float32)
+
+
+def test_clustered_vectors(spark, tmp_path):
+    """The query, in its usual settings, on crowds and planted pairs: recall against brute force, and no false link."""
+    x = clustered(3000)
+    spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r for r in queries.op8_embeddings(spark, str(tmp_path)).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert links.sum() > 20_000 and all(got[k].n_links <= links[k] for k in got)
+    assert sum(r.n_links for r in got.values()) >= 0.995 * links.sum()
+
+
+@pytest.mark.parametrize("bits, tile", [(6, 300), (0, 500)])
+def test_crowded_buckets(spark, bits, tile, monkeypatch):
+    """Keys and blocks in use, joins by shuffle: the same components up to the recall asked for."""
+    monkeypatch.setattr(embeddings, "BROADCAST_ROWS", 0)
+    x = clustered(1200)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = embeddings.near_duplicate_vectors(df, bits=bits, tile=tile).collect()
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert sum(r.n_links for r in got) >= 0.99 * links.sum() and all(r.n_links <= links[r.vec_id] for r in got)
+
+
+def test_bits_part_a_crowd(spark):
+    """A label in one direction gets more bits than evenly spread ones; a tight one is not helped by bits."""
+    rng = np.random.default_rng(1)
+    wide = rng.normal(size=(4000, 32))
+    crowd = wide / np.linalg.norm(wide, axis=1, keepdims=True) * 1.2 + np.eye(32)[0]
+    tight = wide * 0.01 + np.eye(32)[0]
+    rows = [(v.tolist(), which) for which, m in enumerate((wide, crowd, tight)) for v in m]
+    df = spark.createDataFrame(rows, "e array<double>, label int").withColumns({"dim": F.size("e"), "h1": F.xxhash64("e"), "h2": F.xxhash64(F.lit(1), "e")})
+    k = {r.label: r.k for r in embeddings._bits(df, 0.93, 0.999, np.float64, 6000, 50).collect()}
+    assert k[1] >= k[0] > 0 and k[2] <= k[0]

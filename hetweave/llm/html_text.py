@@ -1,15 +1,17 @@
 """Main text of web pages by a tree-structured graphical model.
 
-The nodes of a page's tree are its block elements; each is content or not. A node's features
-(tag, words in its class and id, links, length, kind of parent, the nearest telling holder) have
-a likelihood under either label, and a child's label depends on its parent's through a potential
-for each pair of kinds of element. On a tree the sum-product algorithm is exact: messages go up
-from the leaves, then down from the root, and their product is each node's marginal. Text of
-nodes with a marginal of 0.5 or more is kept.
-
-Likelihoods and potentials are counted on labelled pages. Pages with known labels are not at
-hand in the tables, so labelled_pages() makes them from layouts that use both the semantic tags
-and plain ones with telling classes; own pages can be given instead.
+The nodes of a page's tree are its block elements; each is content or not. What a node shows
+(tag, names, own text, links, punctuation, its share of the page, where it stands, the heading
+over it) speaks for either label through weights, and a child's label depends on its parent's
+through a potential for each pair of kinds of element. On a tree the sum-product algorithm is
+exact: messages go up from the leaves, then down from the root, and their product is each node's
+marginal. Text of nodes with a marginal of 0.5 or more is kept.
+
+The weights are fitted as a logistic regression on the labels of single nodes, the potentials are
+counted as what a parent's label adds to a child's. Pages with known labels are not at hand in
+the tables, so labelled_pages() makes them: layouts with semantic tags, with telling names, and
+with names that say nothing or mislead, where a mark in the text itself, taken out after parsing,
+says what is content. No name or word decides a label. Own pages can be given instead.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from math import exp, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +38,8 @@ _INSIDE = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is text, not markup; none of it is ever content.
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes svg math".split())
@@ -69,13 +75,29 @@ _TELLING = {
 }
 _TELLS = {w: kind for kind, words in _TELLING.items() for w in words.split()}
 _ORDER = ("advert", "comment", "notice", "menu", "social", "frame", "content")
+#: A name with one of these tells a state of the page, not what the element is: fixed values.
+_STATES = frozenset("enabled disabled open closed has no not with without count is".split())
+#: Elements that may stand in a head; any other start tag ends it.
+_IN_HEAD = frozenset("head title base link meta style script noscript template".split())
+#: Words of short headings and of short texts that tell something: fixed values.
+_HEADED = {
+    "comment": "comment comments reply replies response responses discussion reader readers say",
+    "social": "related more also recommended popular trending latest share follow tags author about similar",
+    "notice": "newsletter subscribe subscription cookie cookies sign login alerts",
+    "menu": "menu navigation sections categories archive archives links contents topics",
+    "advert": "advertisement sponsored promoted partner partners",
+}
+_HEADS = {w: kind for kind, words in _HEADED.items() for w in words.split()}
+_SAYS = re.compile(r"\b(?:cookies?|subscribe|newsletter|sign up|log ?in|consent|privacy policy|terms of (?:use|service)|advertisement|sponsored)\b", re.I)
+_LEGAL = re.compile(r"\u00a9|\(c\)|\bcopyright\b|\ball rights reserved\b", re.I)
+_STOPS = re.compile(r"[.!?;:,\u2026\u3002\u3001\uff01\uff1f\u061f\u060c\u0964](?=\s|$|[\"'\u201d\u00bb)])|[\u3002\u3001\uff01\uff1f]")
 
 
 @dataclass
 class Node:
     tag: str
     parent: int
-    tells: str = ""
+    tells: tuple[str, ...] = ()
     hidden: bool = False
     runs: list[tuple[int, str]] = field(default_factory=list)
     size: int = 0
@@ -172,25 +194,25 @@ def parse(page: str) -> list[Node]:
             close(len(stack) - 1)
         flush()
         links = 0
+        if len(stack) > 1 and tag not in _IN_HEAD and nodes[stack[1]].tag == "head":
+            close(1)
         if tag in ("html", "body"):
-            if tag == "body":
-                for k in range(1, len(stack)):
-                    if nodes[stack[k]].tag == "head":
-                        close(k)
-                        break
             if any(nodes[s].tag == tag for s in stack):
                 continue
         node = Node(tag, stack[-1])
         if "=" in inside:
             marks = set()
             for name, *values in _ATTRIBUTE.findall(inside):
-                name, value = name.lower(), next((v for v in values if v), "").lower()
+                name, value = name.lower(), next((v for v in values if v), "")
                 if name in ("class", "id", "role", "itemprop", "aria-label"):
-                    marks |= {_TELLS[w] for w in _WORD.findall(value) if w in _TELLS}
-                elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                    for one in value.split():
+                        parts = _WORD.findall(_HUMP.sub(" ", one).lower())
+                        if not _STATES.intersection(parts):
+                            marks |= {_TELLS[w] for w in parts if w in _TELLS}
+                elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
                     node.hidden = True
-            node.tells = next((k for k in _ORDER if k in marks), "")
-        if re.search(r"\shidden(?:\s|$)", inside):
+            node.tells = tuple(k for k in _ORDER if k in marks)
+        if "hidden" in inside.lower() and re.search(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", _QUOTED.sub("''", inside), re.I):
             node.hidden = True
         nodes.append(node)
         if tag not in VOID and not inside.endswith("/"):
@@ -206,21 +228,69 @@ def parse(page: str) -> list[Node]:
 def _kind(node: Node) -> str:
     """What potentials tell apart: the tag's family, for plain holders also what their names tell."""
     family = _FAMILY.get(node.tag, "other")
-    return f"{family} {node.tells}" if family in ("div", "section") else family
+    return f"{family} {' '.join(node.tells)}" if family in ("div", "section") else family
+
+
+_FRAMES = frozenset(("nav", "header", "footer", "aside", "form", "article", "main"))
+
+
+def _bucket(x: float, *edges: float) -> int:
+    return bisect_right(edges, x)
+
+
+def _headed(node: Node) -> tuple[str, ...]:
+    """What a short heading tells of the text under it."""
+    text = " ".join(t for _, t in node.runs)
+    words = _WORD.findall(text.lower()) if len(text) < 60 else []
+    return tuple(sorted({_HEADS[w] for w in words if w in _HEADS})) if len(words) <= 5 else ()
 
 
 def _features(nodes: list[Node]) -> list[tuple[str, ...]]:
-    out, within = [], []
-    for node in nodes:
+    n = len(nodes)
+    size, linked, stops = [v.size for v in nodes], [min(v.linked, v.size) for v in nodes], []
+    for v in nodes:
+        stops.append(sum(len(_STOPS.findall(t)) for _, t in v.runs))
+    own_size, own_linked, own_stops = list(size), list(linked), list(stops)
+    for k in range(n - 1, 0, -1):
+        for sums in (size, linked, stops):
+            sums[nodes[k].parent] += sums[k]
+    whole, before = max(size[0], 1), 0
+    out: list[tuple[str, ...]] = []
+    within: list[tuple[str, ...]] = []
+    over: list[tuple[str, ...]] = []  # what the last heading before or around a node tells
+    latest: list[tuple[str, ...] | None] = [None] * n
+    for k, node in enumerate(nodes):
         family = _FAMILY.get(node.tag, "other")
-        told = node.tells or (family if family in ("nav", "header", "footer", "aside", "form", "article", "main") else "")
-        around = within[node.parent] if node.parent >= 0 else ""
+        p = node.parent
+        around = within[p] if p >= 0 else ()
+        told = node.tells or ((family,) if family in _FRAMES else ())
         within.append(told or around)
-        share = node.linked / node.size if node.size else 0
-        links = "none" if not node.size else "few" if share < 0.3 else "some" if share < 0.8 else "all"
-        size = "0" if not node.size else "s" if node.size < 25 else "m" if node.size < 100 else "l"
-        parent = nodes[node.parent] if node.parent >= 0 else None
-        out.append((f"tag {family}", f"tells {node.tells}", f"links {links} {size}", f"under {_FAMILY.get(parent.tag, 'other') if parent else ''}", f"within {around}"))
+        heading = (latest[p] if latest[p] is not None else over[p]) if p >= 0 else ()
+        if family == "heading":
+            heading = _headed(node)
+            latest[p] = heading
+        over.append(heading)
+        text = " ".join(t for _, t in node.runs) if own_size[k] < 400 else ""
+        share = own_linked[k] / own_size[k] if own_size[k] else 0
+        below = linked[k] / size[k] if size[k] else 0
+        long_ = _bucket(own_size[k], 1, 25, 100, 300)
+        parent = size[p] if p >= 0 else whole
+        found = [
+            "bias",
+            f"tag {family}",
+            f"links {_bucket(share, 0.01, 0.3, 0.8)} {long_}",
+            f"stops {_bucket(own_stops[k], 1, 2, 5)} {long_}",
+            f"part {_bucket(size[k] / whole, 0.02, 0.1, 0.3, 0.6)} {_bucket(below, 0.1, 0.4, 0.8)}",
+            f"sum {_bucket(size[k], 1, 60, 250, 1000)} {_bucket(stops[k], 1, 4, 12)}",
+            f"holder {_bucket(parent / whole, 0.1, 0.3, 0.6)} {_bucket(linked[p] / max(parent, 1) if p >= 0 else 0, 0.1, 0.4, 0.8)} {_bucket(stops[p] if p >= 0 else 0, 1, 4, 12)}",
+            f"place {_bucket(before / whole, 0.02, 0.2, 0.8, 0.98)} {int(size[k] >= 200)}",
+            f"under {_FAMILY.get(nodes[p].tag, 'other') if p >= 0 else ''}",
+        ]
+        found += [f"tells {x}" for x in told or ("nothing",)] + [f"within {x}" for x in around or ("nothing",)] + [f"headed {x}" for x in heading or ("nothing",)]
+        if text:
+            found += ["legal"] * bool(_LEGAL.search(text)) + ["says"] * bool(_SAYS.search(text))
+        before += own_size[k]
+        out.append(tuple(found))
     return out
 
 
@@ -228,14 +298,17 @@ def _features(nodes: list[Node]) -> list[tuple[str, ...]]:
 class TreeModel:
     emission: dict[tuple[int, str], float]
     pair: dict[tuple[str, str, int, int], float]
-    unseen: float = -4.0
+    unseen: float = 0.0
+
+    def __post_init__(self) -> None:
+        """What each feature adds for content over what it adds against."""
+        self.gain = {x: self.emission.get((1, x), self.unseen) - self.emission.get((0, x), self.unseen) for _, x in self.emission}
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """The chance of each node to be content: messages up, then down; nodes are in page order."""
         n = len(nodes)
-        own, up = [], [[0.0, 0.0] for _ in range(n)]
-        for f in _features(nodes):
-            own.append([sum(self.emission.get((y, x), self.unseen) for x in f) for y in (0, 1)])
+        gain, up = self.gain.get, [[0.0, 0.0] for _ in range(n)]
+        own = [[0.0, sum([gain(x, 0.0) for x in f])] for f in _features(nodes)]
         kinds = [_kind(v) for v in nodes]
         links = [[[self.pair.get((kinds[v.parent], kinds[k], a, b), -0.7) for b in (0, 1)] for a in (0, 1)] for k, v in enumerate(nodes)]
         below = [list(o) for o in own]
@@ -261,102 +334,170 @@ def _log_sum(a: float, b: float) -> float:
     return a + log(1 + exp(b - a)) if a > b else b + log(1 + exp(a - b))
 
 
-def train(pages: Iterable[list[Node]]) -> TreeModel:
-    """Count features by label, and labels by the parent's, with one imagined count each."""
-    seen, of, pairs = Counter(), Counter(), Counter()
+def train(pages: Iterable[list[Node]], rounds: int = 12, ridge: float = 0.3) -> TreeModel:
+    """Fit weights to the labels of single nodes, and count what parents' labels add to them."""
+    index: dict[str, int] = {}
+    at, of, ys, n = [], [], [], 0
+    pairs: Counter = Counter()
     for nodes in pages:
         for node, f in zip(nodes, _features(nodes), strict=True):
             y = node.label or 0
-            for x in f:
-                seen[y, x] += 1
-                of[y, x.split(" ", 1)[0]] += 1
+            if node.tag not in NEVER:  # what is never content is decided already
+                for x in f:
+                    at.append(n)
+                    of.append(index.setdefault(x, len(index)))
+                ys.append(y)
+                n += 1
             if node.parent >= 0:
                 pairs[_kind(nodes[node.parent]), _kind(node), nodes[node.parent].label or 0, y] += 1
-    names = {x for _, x in seen}
-    kinds = Counter(x.split(" ", 1)[0] for x in names)
-    emission = {(y, x): log((seen[y, x] + 1) / (of[y, k] + kinds[k] + 1)) for y in (0, 1) for x in names for k in [x.split(" ", 1)[0]]}
-    pair = {(*t, a, b): log((pairs[*t, a, b] + 1) / (pairs[*t, a, 0] + pairs[*t, a, 1] + 2)) for t in {t[:2] for t in pairs} for a in (0, 1) for b in (0, 1)}
+    # Newton's method over a few hundred features
+    x, goal = np.zeros((n, len(index))), np.array(ys, float)
+    np.add.at(x, (np.array(at, int), np.array(of, int)), 1.0)
+    weights = np.zeros(len(index))
+    for _ in range(rounds if n else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        slope = x.T @ (p - goal) + ridge * weights
+        bend = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(index))
+        weights -= np.linalg.solve(bend, slope)
+    emission = {(y, x): float(weights[k]) * y for x, k in index.items() for y in (0, 1)}
+    pair = {}
+    for t in {t[:2] for t in pairs}:
+        count = [[pairs[*t, a, b] + 0.5 for b in (0, 1)] for a in (0, 1)]
+        whole = sum(map(sum, count))
+        for a in (0, 1):
+            for b in (0, 1):
+                # the label's own share is in the weights; the potential has what the parent adds
+                pair[*t, a, b] = log(count[a][b] * whole / (sum(count[a]) * (count[0][b] + count[1][b])))
     return TreeModel(emission, pair)
 
 
-def labelled_pages(n: int = 800, seed: int = 11) -> list[list[Node]]:
+#: What starts a text that is content in a made page; it is taken out before features are seen.
+MARK = "\ue000"
+
+
+def label(nodes: list[Node]) -> list[Node]:
+    """Labels from the marks in a page's runs: own text first, else most of the text below."""
+    total, inside = [0] * len(nodes), [0] * len(nodes)
+    for k, v in enumerate(nodes):
+        marked = [t.startswith(MARK) for _, t in v.runs]
+        v.runs = [(i, t.removeprefix(MARK)) for i, t in v.runs]
+        v.size -= sum(marked)
+        total[k] += v.size
+        inside[k] += sum(len(t) for (_, t), m in zip(v.runs, marked, strict=True) if m)
+        v.label = int(any(marked)) if v.runs else None
+    for k in range(len(nodes) - 1, -1, -1):
+        if nodes[k].label is None:
+            nodes[k].label = int(2 * inside[k] > total[k])
+        if k:
+            total[nodes[k].parent] += total[k]
+            inside[nodes[k].parent] += inside[k]
+    return nodes
+
+
+def labelled_pages(n: int = 1200, seed: int = 11) -> list[list[Node]]:
     """Pages from random layouts, with a label for each node of their parsed trees."""
     rng = random.Random(seed)
     letters = "etaoinshrdlu"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+
+    def phrase(a: int, b: int) -> str:
+        return " ".join(word() for _ in range(rng.randint(a, b))).capitalize()
 
-    def words(a: int, b: int) -> str:
-        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(a, b))).capitalize() + rng.choice([".", "", "!", "."])
+    def prose(a: int, b: int) -> str:
+        out, left = [], rng.randint(a, b)
+        while left > 0:
+            k = min(left, rng.randint(2, 16))
+            out.append(" ".join(word() + ("," if rng.random() < 0.08 else "") for _ in range(k)).capitalize() + rng.choice(".....!?"))
+            left -= k
+        return " ".join(out)
 
     def links(tag: str, k: int) -> str:
-        return "".join(f"<{tag}><a href='/{i}'>{words(1, 2)}</a></{tag}>" for i in range(k))
+        return "".join(f"<{tag}><a href='/{i}'>{phrase(1, rng.choice([2, 2, 6]))}</a></{tag}>" for i in range(k))
+
+    def plain() -> str:
+        """A name that tells nothing, or none."""
+        name = rng.choice(["", "", "row", "box", "inner", "wrap", "col-8", "c12", "x" + word(), "sc-" + word() + "Q", "grid unit", "has-sidebar", "no-ads", "layer", "left", "block-" + word()])
+        return f" class='{name}'" if name else ""
 
-    def part(kind: str) -> str:
-        cls = rng.choice(_TELLING[kind].split())
-        extra = rng.choice(["", " box", " col-3", " clearfix"])
-        return f"class='{cls}{extra}'" if rng.random() < 0.7 else f"id='{cls}'"
+    def telling(kind: str) -> str:
+        name = rng.choice(_TELLING[kind].split())
+        name = rng.choice([name, name, f"{name}-box", f"{name}_{word()}", word() + name.capitalize(), f"{name} clearfix", f"{name}{rng.choice(['Area', 'Block', 'Wrapper'])}"])
+        return f" {rng.choice(['class', 'class', 'id'])}='{name}'"
+
+    def named(kind: str, most: float = 0.6) -> str:
+        return telling(kind) if rng.random() < most else plain()
 
     def content() -> str:
         out = []
         if rng.random() < 0.8:
-            out.append(f"<h1>{words(1, 10)}</h1>")
-        for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14])):
-            text = words(1, rng.choice([2, 5, 20, 90]))
-            out.append(rng.choice(["<p>{}</p>"] * 6 + ["<p>{}", "<p><b>{}<br>", "<h2>{}</h2>", "<h3>{}</h3>", "<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<table><tr><td>{}</td></tr></table>", "<pre>{}</pre>", "<div>{}</div>", "<section><h2>x</h2><p>{}</p></section>", "<p>{} <a href='/x'>see</a></p>", "<figure><figcaption>{}</figcaption></figure>"]).format(text))
+            out.append(f"<h1>{MARK}{phrase(1, 10)}{rng.choice(['', '', '.'])}</h1>")
+        shapes = ["<p>{}</p>"] * 8 + ["<p>{}", "<p><b>{}<br>", "<h2>{}</h2>", "<h3>{}</h3>", "<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<table><tr><td>{}</td></tr></table>", "<pre>{}</pre>", "<div>{}</div>", "<section><p>{}</p></section>", "<p>{} <a href='/x'>see</a></p>", "<figure><figcaption>{}</figcaption></figure>"]
+        short = rng.random() < 0.15
+        for _ in range(1 if short else rng.choice([1, 1, 2, 3, 5, 8, 14])):
+            shape, size = rng.choice(shapes), 3 if short else rng.choice([1, 3, 12, 40, 90])
+            text = phrase(1, 7) if shape.startswith("<h") else phrase(1, 12) if rng.random() < 0.2 else prose(1, size)
+            if shape.startswith("<h") and rng.random() < 0.1:
+                text += " " + rng.choice(sorted(_HEADS)) + " " + phrase(3, 5)
+            if rng.random() < 0.04:
+                text += rng.choice([" Copyright was at stake.", " They subscribe to it.", " The cookies were sweet, the author said."]) + " " + prose(10, 40)
+            out.append(shape.format(MARK + text))
         return "".join(out)
 
     def wrapped(body: str) -> str:
         style = rng.random()
-        if style < 0.5:
-            return f"<article{rng.choice(['', ' ' + part('content')])}>{body}</article>"
-        if style < 0.65:
-            return f"<main>{body}</main>"
-        if style < 0.75:
-            return f"<main><article>{body}</article></main>"
-        if style < 0.82:
+        if style < 0.3:
+            return f"<article{rng.choice(['', telling('content'), plain()])}>{body}</article>"
+        if style < 0.4:
+            return rng.choice(["<main>{}</main>", "<main><article>{}</article></main>", "<main><div>{}</div></main>"]).format(body)
+        if style < 0.48:
             return body
-        return f"<div {part('content')}>{body}</div>"
+        if style < 0.56:
+            return f"<table><tr><td>{links('p', 4)}</td><td>{body}</td></tr></table>"
+        if style < 0.75:
+            odd = rng.choice(["", "", " id='comments-enabled'", " id='has-ads'", " data-title='the hidden cost of'"])
+            return f"<div{telling('content')}{odd}>{body}</div>"
+        return f"<div{plain()}>{rng.choice(['{}', '<div>{}</div>']).format(body)}</div>"
 
     def junk() -> str:
-        kind = rng.choice(["nav", "menu", "advert", "notice", "aside", "social", "comment", "comments", "form", "header", "footer", "side"])
-        text = words(3, rng.choice([6, 15, 40]))
-        return {
-            "nav": f"<nav><ul>{links('li', rng.randint(2, 8))}</ul></nav>",
-            "menu": f"<div {part('menu')}><ul>{links('li', rng.randint(2, 8))}</ul></div>",
-            "advert": f"<div {part('advert')}>{rng.choice(['{}', '<p>{}</p>', '<div><p>{}</p></div>', '<span>{}</span>']).format(text)}</div>",
-            "notice": f"<div {part('notice')}>{rng.choice(['{}', '<p>{}</p><button>OK</button>']).format(text)}</div>",
-            "aside": f"<aside><h3>{words(1, 3)}</h3>{rng.choice(['<p>' + text + '</p>', '<ul>' + links('li', 4) + '</ul>'])}</aside>",
-            "social": rng.choice(["<div {0}>{1}</div>", "<div {0}><h3>{2}</h3><ul>{3}</ul></div>", "<section {0}><h3>{2}</h3>{1}</section>"]).format(part("social"), links("p", 3), words(1, 3), links("li", 3)),
-            "comment": rng.choice(["<section {0}><h3>{3}</h3><div><p>{1}</p></div><div><p>{2}</p></div></section>", "<section {0}><p>{1}</p><p>{2}</p></section>", "<section {0}><h2>{3}</h2><p>{1}</p></section>"]).format(part("comment"), text, words(4, 30), words(1, 2)),
-            "comments": rng.choice(["<div {0}><ul><li>{1}</li><li><p>{2}</p></li></ul></div>", "<div {0}><p>{1}</p><p>{2}</p></div>", "<div {0}><div class='comment'><p>{1}</p></div><div><p>{2}</p></div></div>", "<div {0}><h3>{2}</h3>{1}</div>"]).format(part("comment"), text, words(4, 30)),
-            "form": f"<form><p>{text}</p><input><button>{words(1, 1)}</button></form>",
-            "header": f"<header><h1>{words(1, 3)}</h1><p>{words(1, 6)}</p></header>",
-            "footer": f"<footer><p>&copy; {text}</p></footer>" if rng.random() < 0.5 else f"<footer>&copy; {text}</footer>",
-            "side": f"<div {part('frame')}><h4>{words(1, 2)}</h4><p>{text}</p></div>",
-        }[kind]
+        text = prose(3, rng.choice([6, 15, 40]))
+        people = "".join(rng.choice(["<div><b>{0}</b><p>{1}</p></div>", "<li><p>{1}</p></li>", "<p>{1}</p>", "<div>{0}: {1}</div>"]).format(phrase(1, 2), prose(3, 30)) for _ in range(rng.randint(1, 5)))
+        says = rng.choice(["Comments", "Readers say", "{} comments", "Replies", "Discussion", "What readers say", "Leave a reply"]).format(rng.randint(1, 99))
+        also = rng.choice(["Related", "More " + word(), "Read also", "Popular", "Share", "Latest " + word(), "Recommended", "Tags", "About the author"])
+        legal = rng.choice(["&copy; {}", "Copyright 2024 {}", "{} All rights reserved.", "&copy; site.example &middot; {}"]).format(text)
+        notice = rng.choice(["We use cookies. {}", "{} By going on you consent.", "Subscribe to our newsletter. {}", "Sign up: {}"]).format(text)
+        return rng.choice(
+            [
+                lambda: f"<nav{plain()}><ul>{links('li', rng.randint(2, 8))}</ul></nav>",
+                lambda: f"<div{named('menu')}><ul>{links('li', rng.randint(2, 8))}</ul></div>",
+                lambda: f"<div{named('menu')}>{links('span', rng.randint(2, 8))}</div>",
+                lambda: f"<table><tr>{links('td', rng.randint(3, 7))}</tr></table>",
+                lambda: f"<div{telling('advert')}>{rng.choice(['{}', '<p>{}</p>', '<div><p>{}</p></div>', '<span>{}</span>', '<p>{}</p><p>{}</p>']).replace('{}', text)}</div>",
+                lambda: f"<div{named('notice')}>{rng.choice(['{}', '<p>{}</p><button>OK</button>']).format(notice)}</div>",
+                lambda: f"<div{telling('notice')}><p>{text}</p></div>",
+                lambda: f"<aside{plain()}><h3>{phrase(1, 3)}</h3>{rng.choice(['<p>' + text + '</p>', '<ul>' + links('li', 4) + '</ul>'])}</aside>",
+                lambda: f"<{rng.choice(['div', 'section'])}{named('social')}><h3>{also}</h3><ul>{links('li', rng.randint(2, 5))}</ul></div>",
+                lambda: f"<div{telling('social')}>{rng.choice([links('p', 3), '<p>' + text + '</p>'])}</div>",
+                lambda: f"<section{telling('comment')}>{people}</section>",
+                lambda: f"<div{telling('comment')}><h3>{rng.choice([says, phrase(1, 3)])}</h3>{people}</div>",
+                lambda: f"<div{plain()}><{rng.choice(['h2', 'h3'])}>{says}</h2>{people}</div>",
+                lambda: f"<div{telling('comment')}><ul>{people}</ul></div>",
+                lambda: f"<form><p>{text}</p><input><button>{word()}</button></form>",
+                lambda: f"<header{plain()}>{rng.choice(['<h1>{}</h1><p>{}</p>', '<p>{}</p>', '<div>{}</div>', '{}']).replace('{}', phrase(1, 5))}</header>",
+                lambda: f"<footer{rng.choice(['', telling('content'), telling('social')])}>{rng.choice(['{}', '<p>{}</p>', '<div>{}</div><p>{}</p>', '{} ' + links('span', 1)])}</footer>".replace("{}", rng.choice([legal, text, phrase(1, 4)])),
+                lambda: f"<div{named('frame')}>{rng.choice(['{}', '<p>{}</p>', '<small>{}</small>']).format(legal)}</div>",
+                lambda: f"<div{telling('frame')}><h4>{phrase(1, 2)}</h4><p>{text}</p></div>",
+            ]
+        )()
 
     pages = []
     for _ in range(n):
-        # marks in attributes the parser doesn't read tell which subtrees are content
-        body = wrapped(content() + (junk() + content() if rng.random() < 0.3 else "") + (junk() if rng.random() < 0.4 else ""))
-        before, after = ("".join(junk() for _ in range(rng.randint(0, 3))) for _ in range(2))
-        outer = rng.choice(["{}", "<div id='page'>{}</div>", "<div class='wrap'>{}</div>", "<div>{}</div>"])
-        page = f"<html><head><title>x</title></head><body>{outer.format(before + '<hr>' + body + '<hr>' + after)}</body></html>"
-        nodes = parse(page)
-        rules = [k for k, v in enumerate(nodes) if v.tag == "hr"]
-        off: set[int] = set()
-        for k, v in enumerate(nodes):
-            # outside the rules nothing is content; inside, all but what the layouts call junk
-            junky = v.tag in ("nav", "aside", "form", "header", "footer", "button", "hr") or v.tells in ("menu", "advert", "notice", "social", "comment", "frame") or v.parent in off
-            if junky:
-                off.add(k)
-            inside = rules[0] < k < rules[-1]
-            v.label = int(inside and not junky)
-        pages.append(nodes)
+        body = wrapped(content() + (junk() + content() if rng.random() < 0.3 else "") + (junk() if rng.random() < 0.3 else ""))
+        before, after = ("".join(junk() for _ in range(rng.choice([0, 1, 1, 2, 3]))) for _ in range(2))
+        outer = rng.choice(["{}", "{}", "<div id='page'>{}</div>", "<div class='wrap'>{}</div>", "<div>{}</div>"]).format(before + body + after)
+        pages.append(label(parse(rng.choice(["<html><head><title>x</title></head><body>{}</body></html>", "<html><head><title>x</title>{}</html>", "{}"]).replace("{}", outer))))
         if rng.random() < 0.1:  # a page of bare text
-            bare = parse(rng.choice(["{}", "<p>{}</p><p>{}", "<body>{}</body>", "<html><body>{}<br>{}</body></html>"]).replace("{}", words(2, 60)))
-            for v in bare:
-                v.label = int(bool(v.runs))
-            pages.append(bare)
+            bare = rng.choice(["{}", "<p>{}</p><p>{}", "<body>{}</body>", "<html><body>{}<br></body></html>", "<div>{}</div>", "<div><p>{}</p><p>{}</p></div>"])
+            pages.append(label(parse(bare.replace("{}", MARK + prose(2, 80)))))
     return pages
 
 
@@ -392,5 +533,3 @@ def extract_text(pages: DataFrame, model: TreeModel | None = None, *, html_colum
             yield add_column(batch, name, pa.array([main_text(x.as_py() or "", sent.value) for x in column], pa.string()))
 
     return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())])), name
-
-

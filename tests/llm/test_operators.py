@@ -729,3 +729,41 @@ def test_bits_part_a_crowd(spark):
     df = spark.createDataFrame(rows, "e array<double>, label int").withColumns({"dim": F.size("e"), "h1": F.xxhash64("e"), "h2": F.xxhash64(F.lit(1), "e")})
     k = {r.label: r.k for r in embeddings._bits(df, 0.93, 0.999, np.float64, 6000, 50).collect()}
     assert k[1] >= k[0] > 0 and k[2] <= k[0]
+
+
+PROSE = "The council met on Tuesday, and after some hours it agreed. Nobody had expected that; the vote was close."
+LAYOUTS = {
+    "plain": "<body><div>{}</div></body>",
+    "camel": "<body><div class='mainContent'>{}</div></body>",
+    "state in an id": "<body><div id='comments-enabled' class='story'>{}</div></body>",
+    "told": "<body><div class='story'>{}</div></body>",
+    "legal": "<body><div>{}</div><div>Copyright 2024 Example Corp. All things.</div></body>",
+    "readers": "<body><div>{}</div><div><h3>Readers say</h3><p>Nice one.</p><p>I agree with that.</p></div></body>",
+    "layout table": "<body><table><tr><td><a href=a>Home</a> <a href=b>News</a> <a href=c>Sport</a></td><td>{}</td></tr></table></body>",
+    "word in a value": "<body><article data-title='the hidden cost of'>{}</article></body>",
+    "word in a class": "<body><div class='card hidden md-block'>{}</div></body>",
+    "no body tag": "<head><title>x</title><meta name=a><article>{}</article>",
+    "blog": "<html><head><title>b</title></head><body class='post-template'><header id='masthead'><a href='/'>My blog</a></header><div id='primary' class='content-area'><article id='post-7'>{}<footer class='entry-meta'>Posted in <a href='/c'>cats</a></footer></article><div id='comments'><ol><li>Great post!</li><li>Thanks.</li></ol></div></div><aside id='secondary'><h2>Recent posts</h2><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></aside></body></html>",
+    "hashed names": "<html><body><div id='root'><div class='css-1a2b'><a href='/'>Home</a><a href='/w'>World</a><a href='/b'>Business</a></div><div class='css-9zz'><section class='css-77'>{}</section></div><div class='css-ft'>© 2023 The Paper. All rights reserved.</div></div></body></html>",
+    "portal": "<body><ul class='topnav'><li><a href=/>Start</a><li><a href=/x>Shop</a></ul><div class='cookie-banner'><p>We use cookies to make things better.</p><button>OK</button></div><div class='col-8'><div class='inner'>{}</div><div class='sharing'><a href=#>Tweet</a> <a href=#>Mail</a></div></div><div class='col-4 sidebar'><h4>Weather</h4><p>Rain later.</p></div><form><p>Get our letter</p><input></form></body>",
+}
+
+
+def test_other_layouts(spark, model, tmp_path):
+    """The query over pages that training never made: the whole article and nothing else, null and empty pages too."""
+    blocks = ["A council decides", f"{PROSE} {PROSE}", f"{PROSE} A second part &amp; more.", "Short one.", f"In the end, {PROSE.lower()}"]
+    body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    want = "\n".join(blocks).replace("&amp;", "&")
+    rows = [(k, name, page.format(body)) for k, (name, page) in enumerate(LAYOUTS.items())] + [(100, "null", None), (101, "empty", ""), (101, "empty", ""), (None, None, "<p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in queries.op5_html_text(spark, str(tmp_path)).collect()]
+    assert Counter(got) == Counter((k, name, want if k is not None and k < 100 else "", len(want) if k is not None and k < 100 else 0) for k, name, _ in rows)
+
+
+def test_extract_empty(spark, model):
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, html string"), model)[0].count() == 0
+
+
+def test_labels_come_from_marks():
+    nodes = html_text.label(html_text.parse(f"<div class='ad'><p>{html_text.MARK}kept text</p></div><div class='story'><p>not kept</p></div>"))
+    assert [(v.label, v.size) for v in nodes if v.runs] == [(1, 9), (0, 8)] and all(html_text.MARK not in t for v in nodes for _, t in v.runs)

@@ -1,16 +1,19 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
-Each run of training rows inside a task is a shard with a suffix array of its own: the word
-suffixes, sorted word by word. Every suffix of every benchmark item is looked up in it by
-binary search; the range it lands in gives each place where its window occurs, and windows
-that follow each other on one diagonal join into the longest verbatim matches.
+Each run of training rows inside a task is a shard with a suffix array of its own over all its
+word suffixes, sorted by their first words. Every benchmark suffix that begins a window is looked
+up in it by binary search, a word at a time: the range of suffixes that agree with it so far is
+narrowed by the next word until the window is through or nothing is left. The range holds all
+places where the window occurs. Words are compared by 64-bit hashes and, where a window is found,
+by their bytes. At each place the longest match is as far as both sides go on alike; it counts
+where the words before it differ, so each verbatim stretch is told once.
 
-Only training suffixes whose first words occur in the benchmark are sorted. The others can
-match nothing of the least length asked for, so leaving them out changes no result, and the
-array of a shard stays far smaller than its text.
+An array serves all blocks of the benchmark that are at hand and is not kept: writing it would
+take more room than the text, and it is read only once. A row longer than a shard gets several
+arrays over parts of its suffixes, which read on beyond their part.
 
-The benchmark travels to the executors in blocks of a checked size. With more than one block
-the rows stream through one lookup after another in the same task; nothing is shuffled.
+The benchmark travels to the executors in blocks of a checked size, a few at a time; what these
+have found is written before the next few are taken up. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hetweave.llm.common import add_column, free_name, pieces, small_batches, text_buffer
-from hetweave.llm.words import find_words, gram_hash, hash_words
+from hetweave.llm.common import add_column, cut, free_name, pieces, small_batches, text_buffer
+from hetweave.llm.words import find_words, hash_words
 
 SHARD_BYTES = 4 << 20
+SHARD_WORDS = 1 << 20
+#: Blocks of the benchmark that are on the executors at a time.
+LIVE_BLOCKS = 8
 _MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())])
 _RUN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 CONTAMINATION = T.StructType(
@@ -50,100 +56,147 @@ _ARROW = pa.struct(
 
 
 class Suffixes:
-    """The suffixes of one block of items, cut to the window, each kept once."""
+    """The words of one block of items and the suffixes that begin its windows."""
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
         self.window = window
-        found: dict[tuple[bytes, ...], list[tuple[str, int]]] = {}
-        for item_id, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            data, starts, ends, _ = find_words(raw, np.array([0, len(raw)]))
-            words = [data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
-            for k in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[k : k + window]), []).append((item_id, k))
-        self.words = list(found)
-        self.places = list(found.values())
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
-        self.keys = np.zeros((len(self.words), window), np.uint64)
-        for r, ws in enumerate(self.words):
-            raw = np.frombuffer(b"".join(ws), np.uint8)
-            ends = np.cumsum([len(w) for w in ws])
-            self.keys[r, : len(ws)] = hash_words(raw, np.concatenate(([0], ends[:-1])), ends)
-        #: What any match has at least: the words looked at before a training suffix is sorted.
-        self.least = int(self.lengths.min()) if len(self.lengths) else window
-        self.first = np.array([gram_hash(k[: self.least], self.least)[0] for k in self.keys], np.uint64)
-        self.known = np.unique(self.first)
-        self.bitmap = np.zeros(1 << 20, bool)
-        self.bitmap[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-
-def _suffix_array(words: np.ndarray, left: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at these places in order of their words, and those words (0 past a row's end)."""
-    step = np.arange(depth)
-    keys = words[np.minimum(at[:, None] + step, len(words) - 1)]
-    keys[step >= left[at][:, None]] = 0
-    order = np.lexsort(keys.T[::-1])
-    return at[order], keys[order]
-
-
-def _search(keys: np.ndarray, wanted: np.ndarray, lengths: np.ndarray, right: bool) -> np.ndarray:
-    """Binary search of all wanted rows at once; only their first `lengths` words count."""
-    low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(keys))
-    outside = np.arange(wanted.shape[1]) >= lengths[:, None]
-    rows = np.arange(len(wanted))
+        self.ids = [i for i, _ in items]
+        texts = [(text or "").encode() for _, text in items]
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        self.data, self.starts, self.ends, before = find_words(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        self.words = hash_words(self.data, self.starts, self.ends)
+        counts = np.diff(before)
+        self.item = np.repeat(np.arange(len(items)), counts)
+        self.first = before[:-1]
+        self.left = before[1:][self.item] - np.arange(len(self.words))
+        n = counts[self.item]
+        #: Where windows begin, and their words: an item shorter than a window is one itself.
+        self.at = np.flatnonzero((self.left >= window) | ((n < window) & (self.left == n)))
+        self.need = np.minimum(n[self.at], window)
+
+
+def suffix_array(words: np.ndarray, left: np.ndarray, n: int, depth: int) -> np.ndarray:
+    """The first n suffixes in order of their first words, at least `depth` of them, by doubling.
+
+    left counts a suffix's words; one that ends comes before those that go on.
+    """
+    _, rank = np.unique(words, return_inverse=True)
+    rank, order, h = rank.astype(np.int64), None, 1
+    # a pair of ranks and a place fit one number, and numbers sort faster than places by number
+    room = max(1, int(len(words) - 1).bit_length())
+    place = np.arange(len(words))
+    while h < depth:
+        top = int(rank.max()) + 2
+        then = np.zeros(len(words), np.int64)
+        then[: max(0, len(words) - h)] = rank[h:] + 1
+        then[left <= h] = 0
+        if (top * top).bit_length() + room > 63:
+            raise ValueError("too many words for one array")
+        both = np.sort((rank * top + then) << room | place)
+        order, sorted_ = both & ((1 << room) - 1), both >> room
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
+        h *= 2
+    if order is None:
+        order = np.argsort(rank, kind="stable")
+    return order if n == len(words) else order[order < n]
+
+
+def _narrow(array: np.ndarray, words: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, want: np.ndarray, d: int, right: bool) -> np.ndarray:
+    """Binary search in all ranges at once, by the word at distance d, for the place of what is wanted."""
+    low, high = low.copy(), high.copy()
     while (open_ := low < high).any():
-        mid = (low + high) // 2
-        there = keys[np.minimum(mid, len(keys) - 1)]
-        differs = (there != wanted) & ~outside
-        k = differs.argmax(axis=1)
-        same = ~differs[rows, k]
-        less = np.where(same, right, there[rows, k] < wanted[rows, k])
+        mid = (low + high) >> 1
+        p = array[np.minimum(mid, len(array) - 1)]
+        there = np.where(left[p] > d, words[np.minimum(p + d, len(words) - 1)], 0)
+        less = there <= want if right else there < want
         low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
     return low
 
 
+def _search(array: np.ndarray, words: np.ndarray, left: np.ndarray, block: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which, low, high): the windows of the block that occur, with their ranges in the array."""
+    heads = words[array]
+    first = block.words[block.at]
+    low, high = np.searchsorted(heads, first, "left"), np.searchsorted(heads, first, "right")
+    which = np.flatnonzero(low < high)
+    done, low, high = [], low[which], high[which]
+    for d in range(1, block.window + 1):
+        through = block.need[which] <= d
+        done.append((which[through], low[through], high[through]))
+        which, low, high = which[~through], low[~through], high[~through]
+        if not len(which):
+            break
+        want = block.words[block.at[which] + d]
+        low, high = (_narrow(array, words, left, low, high, want, d, right) for right in (False, True))
+        on = low < high
+        which, low, high = which[on], low[on], high[on]
+    return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+
+
+class Shard:
+    """The words of some training rows, looked up in block after block."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, depth: int) -> None:
+        self.data, self.starts, self.ends, self.before = find_words(data, offsets)
+        self.counts = np.diff(self.before)
+        self.words = hash_words(self.data, self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
+        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.left = self.before[self.row + 1] - np.arange(len(self.words))
+        self.arrays = []
+        for a in range(0, len(self.words), SHARD_WORDS):
+            part = slice(a, min(len(self.words), a + SHARD_WORDS + depth))
+            self.arrays.append(a + suffix_array(self.words[part], self.left[part], min(SHARD_WORDS, len(self.words) - a), depth))
+
+    def same(self, p: int, block: Suffixes, q: int, n: int) -> bool:
+        """Whether n words here and there are the same bytes."""
+        sizes = self.ends[p : p + n] - self.starts[p : p + n]
+        if (sizes != block.ends[q : q + n] - block.starts[q : q + n]).any():
+            return False
+        return all((self.data[self.starts[p + k] : self.ends[p + k]] == block.data[block.starts[q + k] : block.ends[q + k]]).all() for k in range(n))
+
+    def look_up(self, block: Suffixes, longest: bool) -> dict[int, tuple[list[tuple[int, int]], list[str], list[dict]]]:
+        """For rows with hits their runs of hit words, items and longest matches."""
+        runs: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[int]] = {}
+        matches: dict[int, list[dict]] = {}
+        for array in self.arrays if len(block.at) else []:
+            which, low, high = _search(array, self.words, self.left, block)
+            # equal windows have equal ranges, so their places are looked at once
+            groups: dict[tuple[int, int, int], list[int]] = {}
+            for q, *span in zip(block.at[which].tolist(), low.tolist(), high.tolist(), block.need[which].tolist(), strict=True):
+                groups.setdefault(tuple(span), []).append(q)
+            for (a, b, n), places in groups.items():
+                of = sorted({int(block.item[q]) for q in places})
+                for p in array[a:b].tolist():
+                    if not self.same(p, block, places[0], n):
+                        continue
+                    r = int(self.row[p])
+                    here = p - int(self.before[r])
+                    runs.setdefault(r, []).append((here, here + n))
+                    items.setdefault(r, set()).update(of)
+                    if longest:
+                        matches.setdefault(r, []).extend(m for q in places for m in self._match(p, here, block, q))
+        out = {}
+        for r, found in runs.items():
+            told = sorted(matches.get(r, []), key=lambda m: (m["item_id"], m["item_word"] - m["doc_word"], m["doc_word"]))
+            out[r] = (_merge(found), sorted({block.ids[i] for i in items[r]}), told)
+        return out
+
+    def _match(self, p: int, here: int, block: Suffixes, q: int) -> list[dict]:
+        """The match that begins here, unless the words before agree too."""
+        k = q - int(block.first[block.item[q]])
+        if here and k and self.words[p - 1] == block.words[q - 1]:
+            return []
+        n = int(min(self.left[p], block.left[q]))
+        differ = np.flatnonzero(self.words[p : p + n] != block.words[q : q + n])
+        return [{"item_id": block.ids[block.item[q]], "item_word": k, "doc_word": here, "n_words": int(differ[0]) if len(differ) else n}]
+
+
 def _look_up(data: np.ndarray, offsets: np.ndarray, suffixes: Suffixes, longest: bool) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], list[str], list[dict]]]]:
-    """Words of each row; for rows with hits their runs of hit words, items and longest matches."""
-    data, starts, ends, before = find_words(data, offsets)
-    found: dict[int, tuple[list[tuple[int, int]], list[str], list[dict]]] = {}
-    counts = np.diff(before)
-    if not len(starts) or not len(suffixes.words):
-        return counts, found
-    words = hash_words(data, starts, ends)
-    row = np.repeat(np.arange(len(counts)), counts)
-    left = before[row + 1] - np.arange(len(words))
-    first = gram_hash(words, suffixes.least)
-    at = np.flatnonzero(suffixes.bitmap[(first & np.uint64((1 << 20) - 1)).astype(np.int64)] & (left >= suffixes.least))
-    at = at[suffixes.known[np.minimum(np.searchsorted(suffixes.known, first[at]), len(suffixes.known) - 1)] == first[at]]
-    if not len(at):
-        return counts, found
-    array, keys = _suffix_array(words, left, at, suffixes.window)
-    here = np.flatnonzero(np.isin(suffixes.first, first[at]))
-    wanted, lengths = suffixes.keys[here], suffixes.lengths[here]
-    low, high = _search(keys, wanted, lengths, False), _search(keys, wanted, lengths, True)
-    hits: dict[int, list[tuple[int, int]]] = {}
-    raw = data.tobytes()
-    for which, a, b, n in zip(here.tolist(), low.tolist(), high.tolist(), lengths.tolist(), strict=True):
-        want = suffixes.words[which]
-        for p in array[a:b].tolist():
-            if all(raw[starts[p + k] : ends[p + k]] == want[k] for k in range(n)):  # the words themselves, not their hashes
-                hits.setdefault(int(row[p]), []).append((p - int(before[row[p]]), which))
-    for r, pairs in hits.items():
-        runs: list[tuple[int, int]] = []
-        for p, which in sorted(pairs):
-            runs.append((p, p + int(suffixes.lengths[which])))
-        items = sorted({i for _, which in pairs for i, _ in suffixes.places[which]})
-        matches = []
-        if longest:
-            spots = sorted((i, k - p, p, int(suffixes.lengths[which])) for p, which in pairs for i, k in suffixes.places[which])
-            for i, diagonal, p, n in spots:
-                last = matches[-1] if matches else None
-                if last and last["item_id"] == i and last["item_word"] - last["doc_word"] == diagonal and last["doc_word"] + last["n_words"] >= p:
-                    last["n_words"] = max(last["n_words"], p + n - last["doc_word"])
-                else:
-                    matches.append({"item_id": i, "item_word": p + diagonal, "doc_word": p, "n_words": n})
-        found[r] = (_merge(runs), items, matches)
-    return counts, found
+    """Words of each row, and what its hits are, against one block."""
+    shard = Shard(data, offsets, suffixes.window)
+    return shard.counts, shard.look_up(suffixes, longest)
 
 
 def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,26 +209,25 @@ def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(suffixes, text: str, name: str, again: bool, longest: bool):
-    """A mapInArrow function that adds the struct, or joins what this block finds to what is there."""
+def _pass(blocks: list, window: int, text: str, name: str, again: bool, longest: bool):
+    """A mapInArrow function that adds the struct, or joins what these blocks find to what is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = suffixes.value
         for whole in batches:
             _, sizes = text_buffer(whole.column(whole.schema.names.index(text)))
             for a, b in pieces(sizes, SHARD_BYTES):
                 batch = whole.slice(a, b - a)
-                data, offsets = text_buffer(batch.column(batch.schema.names.index(text)))
-                counts, found = _look_up(data, offsets, block, longest)
+                shard = Shard(*text_buffer(batch.column(batch.schema.names.index(text))), window)
+                found = [shard.look_up(block.value, longest) for block in blocks]
                 had = batch.column(batch.schema.names.index(name)).to_pylist() if again else None
                 out = []
-                for r, n in enumerate(counts.tolist()):
-                    runs, items, matches = found.get(r, ([], [], []))
+                for r, n in enumerate(shard.counts.tolist()):
+                    parts = [f[r] for f in found if r in f]
                     if had:
-                        runs = _merge([*runs, *((x["start"], x["end"]) for x in had[r]["runs"])])
-                        items = sorted({*items, *had[r]["item_ids"]})
-                        matches = [*had[r]["matches"], *matches]
-                    out.append({"n_words": n, "n_hit": sum(e - s for s, e in runs), "item_ids": items, "runs": [{"start": s, "end": e} for s, e in runs], "matches": matches})
+                        parts.append(([(x["start"], x["end"]) for x in had[r]["runs"]], had[r]["item_ids"], had[r]["matches"]))
+                    runs = _merge([x for p in parts for x in p[0]])
+                    items = sorted({i for p in parts for i in p[1]})
+                    out.append({"n_words": n, "n_hit": sum(e - s for s, e in runs), "item_ids": items, "runs": [{"start": s, "end": e} for s, e in runs], "matches": [m for p in parts for m in p[2]]})
                 kept = batch.drop_columns([name]) if again else batch
                 yield add_column(kept, name, pa.array(out, _ARROW))
 
@@ -192,6 +244,7 @@ def find_contamination(
     window: int = 10,
     block_bytes: int = 4 << 20,
     longest: bool = True,
+    live: int = LIVE_BLOCKS,
 ) -> tuple[DataFrame, str]:
     """Add a struct column to docs with what each text shares with the benchmark; also its name.
 
@@ -206,8 +259,9 @@ def find_contamination(
     their own result; an empty benchmark leaves every text clean. Other columns pass through.
     If docs already has the column name, an underscore is added to the new one.
 
-    benchmark is split by id into blocks of about block_bytes each, found by its measured size;
-    a block is what one lookup holds on the driver and each executor.
+    benchmark is split by id into blocks of about block_bytes each, found by its measured size. A
+    block is what the driver holds, and `live` blocks what an executor's worker holds; with more
+    of them the rows found so far are written to the checkpoint folder in between.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -215,11 +269,15 @@ def find_contamination(
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()
-        sent = spark.sparkContext.broadcast(Suffixes([(r.i, r.t) for r in sorted(block)], window))
+    for k in range(0, n, live):
+        sent = []
+        for one in range(k, min(k + live, n)):
+            block = items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == one).collect()
+            sent.append(spark.sparkContext.broadcast(Suffixes([(r.i, r.t) for r in sorted(block)], window)))
         kept = docs.drop(name) if k else docs
-        docs = docs.mapInArrow(_pass(sent, text, name, k > 0, longest), T.StructType([*kept.schema.fields, T.StructField(name, CONTAMINATION)]))
+        docs = docs.mapInArrow(_pass(sent, window, text, name, k > 0, longest), T.StructType([*kept.schema.fields, T.StructField(name, CONTAMINATION)]))
+        if k + live < n:
+            docs = cut(docs)
     return docs, name
 
 

@@ -66,13 +66,3 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             at = to
     out[out == 0] = 1
     return out
-
-
-def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n words from each position on; past the end of the array it counts zeros."""
-    with np.errstate(over="ignore"):
-        out = np.zeros(len(words), np.uint64)
-        for k in range(n):
-            out *= _MIX
-            out[: max(0, len(words) - k)] += words[k:]
-        return out ^ (out >> np.uint64(31))

@@ -767,3 +767,61 @@ def test_extract_empty(spark, model):
 def test_labels_come_from_marks():
     nodes = html_text.label(html_text.parse(f"<div class='ad'><p>{html_text.MARK}kept text</p></div><div class='story'><p>not kept</p></div>"))
     assert [(v.label, v.size) for v in nodes if v.runs] == [(1, 9), (0, 8)] and all(html_text.MARK not in t for v in nodes for _, t in v.runs)
+
+
+def test_suffix_arrays_are_sorted():
+    """Parts of a long row included: the array holds every suffix, in the order of its first words."""
+    rng = np.random.default_rng(2)
+    words = rng.integers(1, 6, 500).astype(np.uint64)
+    before = np.array([0, 3, 3, 120, 499, 500])
+    row = np.repeat(np.arange(5), np.diff(before))
+    left = before[row + 1] - np.arange(500)
+    for depth in (1, 3, 10):
+        array = decontaminate.suffix_array(words, left, 400, depth)
+        keys = [tuple(words[p : p + min(depth, left[p])]) for p in array.tolist()]
+        assert sorted(array.tolist()) == list(range(400)) and keys == sorted(keys)
+
+
+def test_contamination_query(spark, docs, rows, items, tmp_path):
+    """The query against the plain version."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in queries.op1_decontaminate(spark, str(tmp_path)).collect())
+    assert got == Counter(brute.contamination([r[:2] for r in rows], items))
+
+
+@pytest.mark.parametrize("size", [1 << 20, 7])
+def test_matches_against_all_diagonals(size, monkeypatch):
+    """Longest matches of random texts over few words against a plain search, with rows longer than a shard too."""
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", size)
+    rng = random.Random(21)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    for trial in range(30):
+        items = [(str(k), text(rng.randint(0, 14))) for k in range(6)]
+        docs = [text(rng.randint(0, 60)) for _ in range(5)]
+        raw = [d.encode() for d in docs]
+        offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+        window = rng.choice([2, 4, 5])
+        _, found = decontaminate._look_up(np.frombuffer(b"".join(raw), np.uint8), offsets, decontaminate.Suffixes(items, window), True)
+        for r, doc in enumerate(docs):
+            w, want = doc.split(), set()
+            for i, t in items:
+                v = t.split()
+                for p in range(len(w)):
+                    for k in range(len(v)):
+                        n = 0
+                        while p + n < len(w) and k + n < len(v) and w[p + n] == v[k + n]:
+                            n += 1
+                        starts = p == 0 or k == 0 or w[p - 1] != v[k - 1]
+                        if starts and n >= min(window, len(v)):
+                            want.add((i, k, p, n))
+            got = [(m["item_id"], m["item_word"], m["doc_word"], m["n_words"]) for m in found.get(r, ([], [], []))[2]]
+            assert sorted(got) == sorted(want) and len(got) == len(set(got)), trial
+
+
+def test_blocks_in_turns(spark, docs, items, rows):
+    """More blocks than are held at a time: written in between, same results."""
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found, name = decontaminate.find_contamination(docs, bench, block_bytes=60, live=2)
+    got = Counter((r.doc_id, r.n) for r in found.select("doc_id", F.col(name)["n_hit"].alias("n")).collect())
+    assert got == Counter((w[0], w[2]) for w in brute.contamination([r[:2] for r in rows], items))

@@ -110,15 +110,15 @@ def near_links(points: DataFrame, radius: int = 2, bucket: int = 64, column: str
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, words: int, radius: int) -> DataFrame:
-    """(doc_id, simhash, root, component_id) of each row; root names the component in any case."""
+    """(doc_id, simhash, row_hash, root, component_id) of each row; root names the component in any case."""
     prints, name = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words)
-    prints = cut(prints.select("doc_id", F.col(name).alias("simhash")))
+    prints = cut(prints.select("doc_id", F.col(name).alias("simhash"), F.xxhash64("text").alias("row_hash")))
     points = cut(prints.groupBy("simhash").agg(F.min("doc_id").alias("rep")))
     found = connected_components(near_links(points, radius))
     joined = points.join(found, F.col("simhash") == F.col("node"), "left").select("simhash", "rep", F.coalesce("component", "simhash").alias("root"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_point = joined.join(least, "root").select("simhash", "root", "component_id")
-    return prints.join(of_point, "simhash").select("doc_id", "simhash", "root", "component_id")
+    return prints.join(of_point, "simhash").select("doc_id", "simhash", "row_hash", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -128,22 +128,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     all texts without words are linked to each other. Rows with a null id have a component but
     never name one; a component of null ids only is null. Repeated rows are each returned.
     """
-    return _classes(docs, doc_id, text, words, radius).drop("root")
+    return _classes(docs, doc_id, text, words, radius).drop("root", "row_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """One row for each component, that of its least id, with the columns of docs.
 
-    Of repeated rows with one id, one stays. Of a component of null ids only, one row stays;
-    other rows with a null id go. Texts move once: the join by id and the choice among rows of
-    an id share it.
+    Which row stays is decided on ids and hashes: of a component the least id, null ids last,
+    and of rows that share it the text of least hash; an id whose texts lie in several
+    components may stay in each. Rows that repeat each other in id and text leave one. Texts
+    move once: the join by id and hash and the choice among repeats share it.
     """
-    found = cut(_classes(docs, doc_id, text, words, radius))
-    mark = free_name(docs, "kept_id")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
-    named = docs.join(kept, docs[doc_id] == kept[mark], "left_semi").dropDuplicates([doc_id])
-    # rows without an id are told apart by their fingerprints
-    alone = found.where("component_id is null").groupBy("root").agg(F.min("simhash").alias(mark)).select(mark)
-    prints, name = with_fingerprints(docs.where(F.col(doc_id).isNull()), text, words)
-    unnamed = prints.join(alone, prints[name] == alone[mark], "left_semi").dropDuplicates([name]).drop(name)
-    return named.unionAll(unnamed)
+    found = _classes(docs, doc_id, text, words, radius)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("kept")
+    kept = cut(found.groupBy("root").agg(least).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash")))
+    names = {x: free_name(docs, x) for x in ("kept_id", "kept_hash", "row_hash")}
+    kept = kept.toDF(names["kept_id"], names["kept_hash"]).distinct()
+    own = docs.withColumn(names["row_hash"], F.xxhash64(text))
+    same = F.col(doc_id).eqNullSafe(F.col(names["kept_id"])) & (F.col(names["row_hash"]) == F.col(names["kept_hash"]))
+    return own.join(kept, same, "left_semi").dropDuplicates([doc_id, names["row_hash"]]).drop(names["row_hash"])

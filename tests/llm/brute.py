@@ -100,3 +100,23 @@ def targets(sizes):
         if not above:
             return fixed | got
         fixed |= {s: 2.0 * sizes[s] for s in above}
+
+
+def passes(rows):
+    """{(doc_id, text): times} of (doc_id, text, source) rows; full repeats are taken or left together."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes, groups = defaultdict(int), defaultdict(lambda: defaultdict(list))
+    for doc_id, text, source in rows:
+        sizes[source] += size(text)
+        md5 = hashlib.md5((text or "").encode()).hexdigest()
+        groups[source][hashlib.md5(f"{'' if doc_id is None else doc_id}:{md5}".encode()).hexdigest()].append((doc_id, text))
+    goal, out = targets(sizes), defaultdict(int)
+    for source, of in groups.items():
+        at = 0
+        for key in sorted(of):
+            for p in range(2):
+                if at + p * sizes[source] < int(goal[source]):
+                    for row in of[key]:
+                        out[row] += bool(size(row[1]))
+            at += sum(size(t) for _, t in of[key])
+    return out

@@ -825,3 +825,12 @@ def test_blocks_in_turns(spark, docs, items, rows):
     found, name = decontaminate.find_contamination(docs, bench, block_bytes=60, live=2)
     got = Counter((r.doc_id, r.n) for r in found.select("doc_id", F.col(name)["n_hit"].alias("n")).collect())
     assert got == Counter((w[0], w[2]) for w in brute.contamination([r[:2] for r in rows], items))
+
+
+def test_one_id_with_two_texts(spark):
+    """Each text stands for its own component; of full repeats one row stays; clashing names pass through."""
+    rows = [(1, "a b c d e f"), (1, "something else entirely here now"), (2, "a b c d e f"), (3, "third text of its own kind"), (3, "third text of its own kind"), (None, "no id but words too"), (None, "no id but words too"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("simhash", "row_hash", "kept_id", "kept_hash")})
+    out = simhash.drop_near_duplicates(df)
+    assert out.columns == df.columns and {r.kept_id for r in out.collect()} == {"mine"}
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter({(1, rows[0][1]): 1, (1, rows[1][1]): 1, (3, rows[3][1]): 1, (None, rows[5][1]): 1, (4, None): 1})

@@ -69,3 +69,26 @@ def speedups(spark: SparkSession, rows: list[dict], baseline: str) -> DataFrame:
     stats = t.groupBy("name").agg(F.avg("s").alias("mean_s"), F.stddev_samp("s").alias("std_s"))
     base = stats.where(F.col("name") == baseline).select(F.col("mean_s").alias("base"))
     return stats.join(base).select("name", "mean_s", "std_s", (F.col("base") / F.col("mean_s")).alias("speedup"))  # base is one row
+
+
+def runtime_rollup(raw: DataFrame, baseline: str, *by: str) -> DataFrame:
+    """(by, name, repeats, mean_s, std_s, median_s, p95_s, median_speedup, mean_speedup) of timings (by, name, repeat, seconds).
+
+    Speed-ups are the baseline's time over the variant's within `by`; null where no baseline was
+    timed. One repeat has deviation 0.
+    """
+    at = lambda p: F.percentile("seconds", F.lit(p))
+    stats = raw.groupBy(*by, "name").agg(F.count("*").alias("repeats"), F.avg("seconds").alias("mean_s"), F.coalesce(F.stddev_samp("seconds"), F.lit(0.0)).alias("std_s"), at(0.5).alias("median_s"), at(0.95).alias("p95_s"))
+    base = stats.where(F.col("name") == baseline).select(*by, F.col("median_s").alias("base_median"), F.col("mean_s").alias("base_mean"))
+    both = stats.join(base, list(by), "left") if by else stats.join(base, F.lit(True), "left")  # without groups base is one row
+    return both.select(*by, "name", "repeats", "mean_s", "std_s", "median_s", "p95_s", (F.col("base_median") / F.col("median_s")).alias("median_speedup"), (F.col("base_mean") / F.col("mean_s")).alias("mean_speedup"))
+
+
+def construction_cost(raw: DataFrame) -> DataFrame:
+    """(stage, repeats, mean_s, share, peak_mb) of stage timings (stage, repeat, seconds, peak_mb).
+
+    share is the mean over repeats of the stage's part in all seconds of its repeat; peak_mb,
+    what the caller sampled, is the greatest of all repeats.
+    """
+    whole = raw.groupBy("repeat").agg(F.sum("seconds").alias("total"))
+    return raw.join(whole, "repeat").groupBy("stage").agg(F.count("*").alias("repeats"), F.avg("seconds").alias("mean_s"), F.avg(F.col("seconds") / F.col("total")).alias("share"), F.max("peak_mb").alias("peak_mb"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hetweave.operators.channels import cosine, norm
 from hetweave.operators.cover import ATTR_SLACK, attr_passes, term_passes
+from hetweave.operators.quotient import quotient_links
 
 DECISIONS = ("accepted", "term_only_reject", "attribute_only_reject", "both_reject")
 
@@ -23,10 +26,16 @@ def decision_counts(judged: DataFrame) -> DataFrame:
 
 
 def representative_pairs(judged: DataFrame) -> DataFrame:
-    """One pair for each decision, the clearest: the most alike accepted, the channel that fails most at odds."""
-    clear = F.when(F.col("decision") == DECISIONS[0], F.col("term_score") + F.col("attr_score")).when(F.col("decision") == DECISIONS[1], F.col("attr_score") - F.col("term_score")).when(F.col("decision") == DECISIONS[2], F.col("term_score") - F.col("attr_score")).otherwise(-F.col("term_score") - F.col("attr_score"))
-    w = Window.partitionBy("decision").orderBy(F.col("clear").desc_nulls_last(), "i", "j")
-    return judged.withColumn("clear", F.round(clear, 9)).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k", "clear")
+    """One pair for each decision: accepted, the most alike by terms, then by attributes.
+
+    Of the refused, the least alike by the channel that refuses; by terms, then attributes, where
+    both do. Scores count to 9 digits, missing ones come last, ties go to the least ids.
+    """
+    t, a, d = F.round("term_score", 9), F.round("attr_score", 9), F.col("decision")
+    first = F.when(d == DECISIONS[0], -t).when(d == DECISIONS[2], a).otherwise(t)
+    second = F.when(d == DECISIONS[0], -a).when(d == DECISIONS[3], a)
+    w = Window.partitionBy("decision").orderBy(first.asc_nulls_last(), second.asc_nulls_last(), "i", "j")
+    return judged.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
 def grouped_members(mapping: DataFrame) -> DataFrame:
@@ -102,6 +111,38 @@ def empirical_p(observed: float, control: DataFrame, column: str, *, higher_is_b
     return control.agg(F.count("*").alias("runs"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), ((1 + F.sum(good.cast("long"))) / (1 + F.count("*"))).alias("p"))
 
 
+def guard_rows(settings: dict[str, tuple[DataFrame, float | None, float | None]], links: DataFrame) -> DataFrame:
+    """What each setting of the guards reduces: one row for each (mapping, tau_term, tau_attr).
+
+    (configuration, term_guard, attribute_guard, tau_term, tau_attr, nodes, reduced_nodes,
+    node_ratio, edges, reduced_edges, edge_ratio); a threshold that is None means that guard is
+    off. mapping is (nid, cluster_id), links (ltype, src, dst, w) before the reduction. Serves the
+    ablation over both guards, the sensitivity to one threshold and controls on other networks.
+    """
+    edges = links.agg(F.count("*").alias("edges"))
+    out = []
+    for name, (mapping, tau_term, tau_attr) in settings.items():
+        nodes = mapping.agg(F.count("*").alias("nodes"), F.count_distinct("cluster_id").alias("reduced_nodes"))
+        after = quotient_links(links, mapping).agg(F.count("*").alias("reduced_edges"))
+        row = nodes.join(edges).join(after)  # three tables of one row
+        marks = [F.lit(name).alias("configuration"), F.lit(int(tau_term is not None)).alias("term_guard"), F.lit(int(tau_attr is not None)).alias("attribute_guard"), F.lit(tau_term).cast("double").alias("tau_term"), F.lit(tau_attr).cast("double").alias("tau_attr")]
+        ratio = lambda now, was: F.when(F.col(was) > 0, 1 - F.col(now) / F.col(was)).otherwise(0.0)
+        out.append(row.select(*marks, "nodes", "reduced_nodes", ratio("reduced_nodes", "nodes").alias("node_ratio"), "edges", "reduced_edges", ratio("reduced_edges", "edges").alias("edge_ratio")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def release_checks(spark: SparkSession, expected: dict[str, int], found: dict[str, DataFrame]) -> DataFrame:
+    """(check, expected, found, ok): the rows of each table against the number that a release states.
+
+    A table that is not there has null rows and is not ok.
+    """
+    counts = [found[k].agg(F.count("*").alias("found")).withColumn("check", F.lit(k)) for k in expected if k in found]
+    want = spark.createDataFrame(list(expected.items()), "check string, expected long")
+    got = reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "found long, check string")
+    rows = want.join(got, "check", "left")  # a row for each check
+    return rows.select("check", "expected", "found", F.coalesce(F.col("expected") == F.col("found"), F.lit(False)).alias("ok"))
+
+
 def require(checks: dict[str, DataFrame]) -> None:
     """Raise ValueError naming the checks that found rows; each is a table of what is wrong."""
     if failed := [name for name, rows in checks.items() if not rows.isEmpty()]:

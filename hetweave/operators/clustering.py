@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hetweave.lineage import cut
+from hetweave.operators.tiles import distance_sums
 
 
 def standardize(fit: DataFrame, *apply: DataFrame) -> list[DataFrame]:
@@ -314,12 +315,10 @@ def calinski_harabasz(assigned: DataFrame) -> DataFrame:
 def silhouette(assigned: DataFrame) -> DataFrame:
     """One row: the mean silhouette by euclidean distance, of (nid, cluster, vec).
 
-    A measure over all pairs of points, so it is for evaluation sets; alone in a cluster scores 0.
+    A measure over all pairs of points, so it is for evaluation sets; pairs are met in tiles and
+    summed by point and cluster. Alone in a cluster scores 0.
     """
-    a = assigned.select(F.col("nid").alias("i"), F.col("cluster").alias("ci"), F.col("vec").alias("vi"))
-    b = assigned.select(F.col("nid").alias("j"), F.col("cluster").alias("cj"), F.col("vec").alias("vj"))
-    d = a.join(b, F.col("i") != F.col("j")).select("i", "ci", "cj", F.sqrt(squared_distance(F.col("vi"), F.col("vj"))).alias("d"))
-    mean = d.groupBy("i", "ci", "cj").agg(F.avg("d").alias("d"))
+    mean = distance_sums(assigned).withColumn("d", F.col("s") / F.col("n"))
     each = mean.groupBy("i").agg(F.min(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("own"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("other"))
     s = F.when(F.col("own").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
     return each.agg(F.avg(s).alias("silhouette"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hetweave.lineage import cut
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node in edges; component is the least node reachable.
 
     Alternating large-star and small-star steps: each step is an aggregation and a join on
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     rows = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     rows = cut(rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(max_rounds):
+    while True:
         n, nodes = rows.agg(F.count("*"), F.count_distinct("u")).first()
         if n == nodes and rows.join(rows.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break  # every node hangs on a root, and steps keep each root the least of its component
@@ -30,8 +30,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionAll(least.select("u", F.col("m").alias("v")))
         rows = cut(small.where("u <> v").distinct())
-    else:
-        raise RuntimeError(f"components not found in {max_rounds} rounds")
     return rows.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         rows.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

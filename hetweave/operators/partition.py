@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +27,17 @@ def entity_partition(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return marked.join(least, ["ntype", "sig"]).select("ntype", "nid", "class_id")
 
 
-def counted_partition(nodes: DataFrame, links: DataFrame, max_rounds: int = 20) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+def counted_partition(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int]]]:
     """Counted bisimulation: nodes of a class have as many distinct neighbours in each other class.
 
     Returns the partition and its history (round, classes, changed). A round is a join, two
-    groupings and a written table. Refinement only splits, so it ends when no class splits;
-    RuntimeError after max_rounds without an end.
+    groupings and a written table. Refinement only splits, so it ends, at the latest when every
+    node is a class of its own: the loop has no other limit.
     """
     pairs = cut(links.select("ltype", "src", "dst").distinct())
     part = cut(nodes.select("ntype", "nid").join(nodes.groupBy("ntype").agg(F.min("nid").alias("class_id")), "ntype"))
     history, before = [], part.select("class_id").distinct().count()
-    for n in range(1, max_rounds + 1):
+    for n in count(1):
         new = refine(part, pairs)
         changed = new.join(part.select("nid", F.col("class_id").alias("old")), "nid").where("class_id <> old").count()
         classes = new.select("ntype", "class_id").distinct().count()
@@ -44,7 +46,7 @@ def counted_partition(nodes: DataFrame, links: DataFrame, max_rounds: int = 20)
         if classes == before and not changed:
             return part, history
         before = classes
-    raise RuntimeError(f"no fixed point in {max_rounds} rounds")
+    raise AssertionError("unreachable")
 
 
 def refine(part: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -203,6 +203,29 @@ def preservation(original: DataFrame, reduced: DataFrame, queries: DataFrame, ta
     return out
 
 
+def overlaps(pairs: DataFrame, queries: DataFrame, targets: DataFrame, n_targets: int, ks: tuple[int, ...]) -> DataFrame:
+    """(i, top{k} for each k): shares of the first k that both rankings name, from one ranking each."""
+    most = min(max(ks), n_targets - 1)
+    if most <= 0:
+        return queries.select(F.col("q").alias("i"), *[F.lit(1.0).alias(f"top{k}") for k in ks])
+    a, b = (top_k(fill_zeros(pairs, queries, targets, most, c), most).select("i", "j", F.col("rank").alias(f"rank_{c}")) for c in "ab")
+    last = F.greatest("rank_a", "rank_b")
+    share = [(F.count_if(last <= min(k, n_targets - 1)) / min(k, n_targets - 1)).alias(f"top{k}") for k in ks]
+    both = a.join(b, ["i", "j"]).groupBy("i").agg(*share)
+    return queries.select(F.col("q").alias("i")).join(both, "i", "left").na.fill(0.0, [f"top{k}" for k in ks])
+
+
+def ranking_metrics(original: DataFrame, reduced: DataFrame, queries: DataFrame, targets: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """(i, mae, p95, p99, maxe, t, p, top{k} for each k, ndcg10) of each query in one call.
+
+    The query itself is an entry without error and ranks last.
+    """
+    n = targets.count()
+    pairs = cut(paired(original, reduced))  # four measures read it
+    out = error_metrics(pairs, queries, n, keep_self=True).join(paired_t(pairs, queries, n), "i")
+    return out.join(overlaps(pairs, queries, targets, n, ks), "i").join(ndcg_at_k(pairs, queries, n, 10).withColumnRenamed("ndcg", "ndcg10"), "i")
+
+
 MEASURES = ("mae", "p95", "p99", "overlap", "tie_overlap", "ndcg", "p")
 
 

@@ -33,11 +33,21 @@ def row_score(grid: DataFrame) -> DataFrame:
     return grid.withColumn("semantic_score", total)
 
 
-def controllability(grid: DataFrame, *, mae: float = 0.10, p95e: float = 0.30, p99e: float = 0.50, ndcg10: float = 0.95, top10: float = TOP10_FLOOR, pvalue: float = 0.05) -> DataFrame:
-    """{pathsim,hetesim,joint}_controllable: 1 if all bounds hold; a missing figure fails."""
+def controllability(grid: DataFrame, *, mae: float = 0.10, p95e: float = 0.30, p99e: float = 0.50, ndcg10: float = 0.95, top1: float = 0.0, top5: float = 0.0, top10: float = TOP10_FLOOR, pvalue: float = 0.05, maxe: float | None = None) -> DataFrame:
+    """{pathsim,hetesim,joint}_controllable: 1 if all bounds hold; a missing figure fails.
+
+    Bounds of 0 on top1 and top5 ask nothing of a grid that lacks those columns; the greatest
+    error is bounded where maxe is given.
+    """
+    has = set(grid.columns)
     flags = {}
     for m in METHODS:
         ok = (_m(m, "mae") <= mae) & (_m(m, "p95e") <= p95e) & (_m(m, "p99e") <= p99e) & (_m(m, "ndcg10") >= ndcg10) & (_m(m, "top10") >= top10) & (_m(m, "pvalue") >= pvalue)
+        for name, least in (("top1", top1), ("top5", top5)):
+            if least > 0 or f"avg_{m}_{name}" in has:
+                ok = ok & (_m(m, name) >= least)
+        if maxe is not None:
+            ok = ok & (_m(m, "maxe") <= maxe)
         flags[f"{m}_controllable"] = F.coalesce(ok, F.lit(False)).cast("int")
     return grid.withColumns(flags).withColumn("joint_controllable", F.col("pathsim_controllable") * F.col("hetesim_controllable"))
 

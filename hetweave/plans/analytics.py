@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hetweave.functions import results
 from hetweave.operators import clustering, labels, ranking
+from hetweave.operators.tiles import nearest_cosines
 from hetweave.plans.registry import query
 from hetweave.plans.selection import GRID, grid
 from hetweave.sources import tables as src
@@ -58,11 +60,7 @@ votes as (select i as q, yi as y, yj as vote from (select *, row_number() over (
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes of the five nearest of all vectors, by cosine over all pairs of the evaluation set."""
     v = src.vectors(spark, sf_dir)
-    unit = v.withColumn("n", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))
-    a, b = unit.select(F.col("nid").alias("i"), F.col("vec").alias("vi"), F.col("n").alias("ni")), unit.select(F.col("nid").alias("j"), F.col("vec").alias("vj"), F.col("n").alias("nj"))
-    dot = F.aggregate(F.zip_with("vi", "vj", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scores = a.join(b, F.col("i") != F.col("j")).select("i", "j", F.round(dot / (F.col("ni") * F.col("nj")), 9).alias("score"))
-    return labels.neighbour_vote(scores, v.select("nid", "y"), 5)
+    return labels.neighbour_vote(nearest_cosines(v, 5), v.select("nid", "y"), 5)
 
 
 @query(f"with {VOTES} select q, y, vote from votes")
@@ -220,3 +218,30 @@ def r1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two event types of most mean value for each user."""
     rows = src.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("q"), F.col("event_type").alias("j")).agg(F.round(F.avg("value"), 6).alias("score"))
     return ranking.top_k(rows, 2, by="q")
+
+
+@query(
+    """with t as (select o_orderpriority as name, o_orderstatus as dataset, o_orderkey % 10 as repeat, avg(o_totalprice) / 1000 as seconds from orders group by 1, 2, 3),
+s as (select dataset, name, count(*) as repeats, avg(seconds) as mean_s, coalesce(stddev_samp(seconds), 0) as std_s, quantile_cont(seconds, 0.5) as median_s, quantile_cont(seconds, 0.95) as p95_s from t group by 1, 2)
+select s.dataset, s.name, s.repeats, round(s.mean_s, 6) as mean_s, round(s.std_s, 6) as std_s, round(s.median_s, 6) as median_s, round(s.p95_s, 6) as p95_s, round(b.median_s / s.median_s, 6) as median_speedup, round(b.mean_s / s.mean_s, 6) as mean_speedup
+from s left join s b on b.dataset = s.dataset and b.name = '1-URGENT'"""
+)
+def b2_runtime_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timings rolled up by data set and variant, with ratios to a baseline."""
+    o = src.table(spark, sf_dir, "orders")
+    raw = o.groupBy(F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("dataset"), (F.col("o_orderkey") % 10).alias("repeat")).agg((F.avg("o_totalprice") / 1000).alias("seconds"))
+    found = results.runtime_rollup(raw, "1-URGENT", "dataset")
+    return found.select("dataset", "name", "repeats", *[F.round(c, 6).alias(c) for c in ("mean_s", "std_s", "median_s", "p95_s", "median_speedup", "mean_speedup")])
+
+
+@query(
+    """with t as (select o_orderpriority as stage, o_orderkey % 5 as repeat, sum(o_totalprice) / 1e6 as seconds, max(o_totalprice) / 1000 as peak_mb from orders group by 1, 2),
+r as (select repeat, sum(seconds) as total from t group by 1)
+select stage, count(*) as repeats, round(avg(seconds), 6) as mean_s, round(avg(seconds / total), 9) as share, round(max(peak_mb), 6) as peak_mb from t join r using (repeat) group by 1"""
+)
+def b3_construction_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost of each stage of a construction: mean seconds, mean share of its run, greatest memory."""
+    o = src.table(spark, sf_dir, "orders")
+    raw = o.groupBy(F.col("o_orderpriority").alias("stage"), (F.col("o_orderkey") % 5).alias("repeat")).agg((F.sum("o_totalprice") / 1e6).alias("seconds"), (F.max("o_totalprice") / 1000).alias("peak_mb"))
+    found = results.construction_cost(raw)
+    return found.select("stage", "repeats", F.round("mean_s", 6).alias("mean_s"), F.round("share", 9).alias("share"), F.round("peak_mb", 6).alias("peak_mb"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hetweave.operators import audit, channels, cover, partition, quotient
-from hetweave.plans.registry import query
+from hetweave.plans.registry import ORACLES, query
 from hetweave.plans.similarity import ATTR, CLASSES, FEATS, SETS, SP, TERMS
 from hetweave.sources import tables as src
 
@@ -164,9 +164,9 @@ pr as (select a.class_id, a.nid as i, b.nid as j, len(list_intersect(a.ts, b.ts)
 jd as (select *, case when t >= 0.4 - 1e-8 and x >= 0.9999 - 1e-10 then 'accepted' when x >= 0.9999 - 1e-10 then 'term_only_reject' when t >= 0.4 - 1e-8 then 'attribute_only_reject' else 'both_reject' end as decision from pr)"""
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _judged(spark: SparkSession, sf_dir: str, attr_slack: float = cover.ATTR_SLACK) -> DataFrame:
     scored = channels.scored_pairs(src.part_classes(spark, sf_dir), src.part_tokens(spark, sf_dir), src.part_features(spark, sf_dir))
-    return audit.judged_pairs(scored, TAU_TERM, TAU_ATTR)
+    return audit.judged_pairs(scored, TAU_TERM, TAU_ATTR, attr_slack)
 
 
 @query(f"with {PAIRS} select 'part' as ntype, decision, count(*) as n from jd group by 2 union all select null, decision, count(*) from jd group by 2")
@@ -176,12 +176,13 @@ def a6_pair_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {PAIRS}, c as (select *, round(case decision when 'accepted' then t + x when 'term_only_reject' then x - t when 'attribute_only_reject' then t - x else - t - x end, 9) as clear from jd)
-select i, j, decision from (select *, row_number() over (partition by decision order by clear desc, i, j) as k from c) where k = 1"""
+    f"""with {PAIRS.replace("1e-10", "1e-8")}, c as (select *, round(t, 9) as rt, round(x, 9) as rx from jd)
+select i, j, decision from (select *, row_number() over (partition by decision order by case decision when 'accepted' then -rt when 'attribute_only_reject' then rx else rt end,
+  case decision when 'accepted' then -rx when 'both_reject' then rx else 0 end, i, j) as k from c) where k = 1"""
 )
 def a7_representative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clearest pair of each decision."""
-    return audit.representative_pairs(_judged(spark, sf_dir)).select("i", "j", "decision")
+    """A pair to show for each decision."""
+    return audit.representative_pairs(_judged(spark, sf_dir, 1e-8)).select("i", "j", "decision")
 
 
 def _fine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +202,14 @@ def a3_spanning_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.spanning_clusters(_fine(spark, sf_dir), _coarse(spark, sf_dir))
 
 
+@query("with b as (select min(p_partkey) over (partition by p_brand) as cid, min(p_partkey) over (partition by p_brand, p_type) as class_id from part) select cid as cluster_id, count(distinct class_id) as spans from b group by 1 having count(distinct class_id) > 1")
+def a3_spanning_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by brand alone, which do reach beyond the candidate classes."""
+    part = src.table(spark, sf_dir, "part")
+    brands = part.join(part.groupBy("p_brand").agg(F.min("p_partkey").alias("cluster_id")), "p_brand").select(F.col("p_partkey").alias("nid"), "cluster_id")
+    return audit.spanning_clusters(brands, _coarse(spark, sf_dir))
+
+
 @query(f"with {FINE} select cast((select sum(n * (n - 1) / 2) from (select count(*) as n from fine group by class_id)) - (select sum(n * (n - 1) / 2) from (select count(*) as n from fine group by cid)) as bigint) as split_pairs")
 def a4_split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that the strict cover takes apart."""
@@ -238,29 +247,114 @@ def a2_label_impurity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {FINE}, slots as (select class_id, row_number() over (partition by class_id order by cid, nid) as k, cid from fine),
-dealt as (select r.run, f.nid, f.class_id, row_number() over (partition by r.run, f.class_id order by md5('7:' || cast(r.run as varchar) || ':' || cast(f.nid as varchar)), f.nid) as k from fine f, (select unnest(range(1, 6)) as run) r)
+dealt as (select r.run, f.nid, f.class_id, row_number() over (partition by r.run, f.class_id order by md5('7:' || cast(r.run as varchar) || ':' || cast(f.nid as varchar)), f.nid) as k from fine f, (select unnest(range(1, 201)) as run) r)
 select cast(d.run as integer) as run, d.nid, s.cid as cluster_id from dealt d join slots s on s.class_id = d.class_id and s.k = d.k"""
 )
 def a5_random_refinements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five random covers with the strict cover's split sizes."""
-    return audit.random_refinements(_fine(spark, sf_dir), _coarse(spark, sf_dir), 5, seed=7)
+    """Two hundred random covers with the strict cover's split sizes."""
+    return audit.random_refinements(_fine(spark, sf_dir), _coarse(spark, sf_dir), 200, seed=7)
 
 
 @query(
     f"""with {FINE}, slots as (select class_id, row_number() over (partition by class_id order by cid, nid) as k, cid from fine),
-dealt as (select r.run, f.nid, f.class_id, row_number() over (partition by r.run, f.class_id order by md5('7:' || cast(r.run as varchar) || ':' || cast(f.nid as varchar)), f.nid) as k from fine f, (select unnest(range(1, 21)) as run) r),
+dealt as (select r.run, f.nid, f.class_id, row_number() over (partition by r.run, f.class_id order by md5('7:' || cast(r.run as varchar) || ':' || cast(f.nid as varchar)), f.nid) as k from fine f, (select unnest(range(1, 201)) as run) r),
 c as (select d.run, s.cid, p.p_size, count(*) as n from dealt d join slots s on s.class_id = d.class_id and s.k = d.k join part p on p.p_partkey = d.nid group by 1, 2, 3),
 runs as (select run, cast(sum(n * (n - 1) / 2) as double) as same from c group by 1),
 o as (select cast(sum(n * (n - 1) / 2) as double) as same from (select cid, p_size, count(*) as n from fine join part on p_partkey = nid group by 1, 2))
 select count(*) as runs, round(avg(runs.same), 6) as mean, round(stddev_samp(runs.same), 6) as std, (1 + count(*) filter (where runs.same >= o.same)) / cast(1 + count(*) as double) as p from runs, o"""
 )
 def a5_empirical_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one size that the strict cover keeps together, against twenty random ones."""
+    """Pairs of one size that the strict cover keeps together, against two hundred random ones."""
     size = src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("nid"), "p_size")
     pairs = F.sum(F.col("n") * (F.col("n") - 1) / 2)
     fine = _fine(spark, sf_dir)
     observed = fine.join(size, "nid").groupBy("cluster_id", "p_size").agg(F.count("*").alias("n")).agg(pairs).first()[0]
-    drawn = audit.random_refinements(fine, _coarse(spark, sf_dir), 20, seed=7).join(size, "nid")
+    drawn = audit.random_refinements(fine, _coarse(spark, sf_dir), 200, seed=7).join(size, "nid")
     control = drawn.groupBy("run", "cluster_id", "p_size").agg(F.count("*").alias("n")).groupBy("run").agg(pairs.alias("same"))
     found = audit.empirical_p(observed, control, "same")
     return found.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+def _cover_sql(kind: str, tau_attr: str = "0.9999") -> str:
+    """The mapping of a cover as a subquery (nid, cluster_id)."""
+    if kind == "structure":
+        return f"(with {CLASSES} select nid, class_id as cluster_id from cls)"
+    return f"(select nid, cluster_id from ({ORACLES[f'c1_cover_{kind}'].replace('0.9999', tau_attr)}))"
+
+
+def _guard_sql(settings: list[tuple[str, str, str, str, str]]) -> str:
+    """Rows of audit.guard_rows from (configuration, tau_term, tau_attr, mapping, links)."""
+    ratio = "1 - {0} / cast({1} as double)"
+    rows = [
+        f"select '{name}' as configuration, {int(t != 'null')} as term_guard, {int(a != 'null')} as attribute_guard, cast({t} as double) as tau_term, cast({a} as double) as tau_attr, m.nodes, m.reduced_nodes, round({ratio.format('m.reduced_nodes', 'm.nodes')}, 9) as node_ratio, e.edges, e.reduced_edges, round({ratio.format('e.reduced_edges', 'e.edges')}, 9) as edge_ratio"
+        f" from (select count(*) as nodes, count(distinct cluster_id) as reduced_nodes from {mapping}) m, (select count(*) as edges, count(distinct (l.a, k.cluster_id)) as reduced_edges from {links} l join {mapping} k on k.nid = l.b) e"
+        for name, t, a, mapping, links in settings
+    ]
+    return " union all ".join(rows)
+
+
+SUPPLIES = "(select distinct l_suppkey as a, l_partkey as b from lineitem)"
+TAUS = {"structure": ("null", "null"), "term": ("0.4", "null"), "attribute": ("null", "0.9999"), "both": ("0.4", "0.9999")}
+
+
+def _supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.supplier_part(spark, sf_dir).select(F.lit("supplies").alias("ltype"), (F.col("src") + src.BASE["nation"]).alias("src"), "dst", "w")
+
+
+def _rounded_rows(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.round(c, 9) for c in ("node_ratio", "edge_ratio")})
+
+
+@query(_guard_sql([(k, *TAUS[k], _cover_sql(k), SUPPLIES) for k in TAUS]))
+def l23_component_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each guard alone, both and neither reduce: the parts of the supply network."""
+    covers = cover.component_covers(src.part_classes(spark, sf_dir), src.part_tokens(spark, sf_dir), src.part_features(spark, sf_dir), TAU_TERM, TAU_ATTR)
+    taus = {"structure": (None, None), "term": (TAU_TERM, None), "attribute": (None, TAU_ATTR), "both": (TAU_TERM, TAU_ATTR)}
+    return _rounded_rows(audit.guard_rows({k: (covers[k], *taus[k]) for k in taus}, _supplies(spark, sf_dir)))
+
+
+LADDER = {"no_guard": None, "low": 0.99, "mid": 0.9999, "exact": 1.0}
+
+
+@query(_guard_sql([(k, "0.4", "null" if x is None else str(x), _cover_sql("term" if x is None else "both", str(x)), SUPPLIES) for k, x in LADDER.items()]))
+def a8_attribute_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the attribute guard's threshold does at a fixed term threshold."""
+    part, words, feats = src.part_classes(spark, sf_dir), src.part_tokens(spark, sf_dir), src.part_features(spark, sf_dir)
+    settings = {k: (cover.guarded_cover(part, words, None if x is None else feats, TAU_TERM, x or 0.0), TAU_TERM, x) for k, x in LADDER.items()}
+    return _rounded_rows(audit.guard_rows(settings, _supplies(spark, sf_dir)))
+
+
+CUSTOMERS = "(select c_custkey as nid, min(c_custkey) over (partition by c_nationkey, c_mktsegment) as cluster_id from customer)"
+ORDERED = "(select o_orderkey as a, o_custkey as b from orders)"
+MIXED = "(select nid, class_id as cluster_id from ({}))"
+
+
+@query(
+    _guard_sql(
+        [
+            ("catalog layered", *TAUS["both"], _cover_sql("both"), SUPPLIES),
+            ("catalog mixed", "null", "null", MIXED.format(ORACLES["p4_mixed_partition"]), SUPPLIES),
+            ("customers structure", "null", "null", CUSTOMERS, ORDERED),
+        ]
+    )
+)
+def a9_cross_network_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layered cover beside its single-layer control, and a second network."""
+    layered = cover.guarded_cover(src.part_classes(spark, sf_dir), src.part_tokens(spark, sf_dir), src.part_features(spark, sf_dir), TAU_TERM, TAU_ATTR)
+    mixed = p4_mixed_partition(spark, sf_dir).withColumnRenamed("class_id", "cluster_id")
+    catalog = audit.guard_rows({"catalog layered": (layered, TAU_TERM, TAU_ATTR), "catalog mixed": (mixed, None, None)}, _supplies(spark, sf_dir))
+    c = src.table(spark, sf_dir, "customer")
+    nodes = c.select(F.lit("customer").alias("ntype"), F.col("c_custkey").alias("nid"))
+    core = c.select(F.lit("lives").alias("ltype"), F.col("c_custkey").alias("src"), F.col("c_nationkey").cast("string").alias("dst")).unionByName(c.select(F.lit("buys for").alias("ltype"), F.col("c_custkey").alias("src"), F.col("c_mktsegment").alias("dst")))
+    mapping = cover.guarded_cover(partition.entity_partition(nodes, core), None, None, TAU_TERM, TAU_ATTR)
+    orders = src.table(spark, sf_dir, "orders").select(F.lit("ordered").alias("ltype"), (F.col("o_orderkey") + 10**15).alias("src"), F.col("o_custkey").alias("dst"), F.lit(1.0).alias("w"))
+    return _rounded_rows(catalog.unionByName(audit.guard_rows({"customers structure": (mapping, None, None)}, orders)))
+
+
+RELEASE = {"region": 5, "nation": 25, "nowhere": 3}
+
+
+@query("select 'region' as \"check\", cast(5 as bigint) as expected, count(*) as found, count(*) = 5 as ok from region union all select 'nation', 25, count(*), count(*) = 25 from nation union all select 'nowhere', 3, null, false")
+def a10_release_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated numbers of rows against the tables; one that is missing fails."""
+    return audit.release_checks(spark, RELEASE, {t: src.table(spark, sf_dir, t) for t in ("region", "nation")})

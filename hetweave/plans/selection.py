@@ -77,9 +77,20 @@ def t4_controllability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sel.controllability(grid(spark, sf_dir)).select(*KEYS, *[f"{m}_controllable" for m in (*sel.METHODS, "joint")])
 
 
+MORE = {f"avg_{m}_{n}": e.format(m=m) for m in sel.METHODS for n, e in {"top1": "avg_{m}_top10 - 0.02", "top5": "avg_{m}_top10 - 0.01", "maxe": "2 * avg_{m}_p99e"}.items()}
+ALL_BOUNDS = {m: f"cast(coalesce(avg_{m}_mae <= 0.10 and avg_{m}_p95e <= 0.30 and avg_{m}_p99e <= 0.50 and avg_{m}_ndcg10 >= 0.90 and {MORE[f'avg_{m}_top1']} >= 0.93 and {MORE[f'avg_{m}_top5']} >= 0.94 and avg_{m}_top10 >= 0.90 and avg_{m}_pvalue >= 0.05 and {MORE[f'avg_{m}_maxe']} <= 0.8, false) as integer)" for m in sel.METHODS}
+
+
+@query(f"with {GRID} select {', '.join(KEYS)}, {ALL_BOUNDS['pathsim']} as pathsim_controllable, {ALL_BOUNDS['hetesim']} as hetesim_controllable, {ALL_BOUNDS['pathsim']} * {ALL_BOUNDS['hetesim']} as joint_controllable from grid")
+def t4_all_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which settings also hold bounds on the first, the first five and the greatest error."""
+    more = grid(spark, sf_dir).withColumns({n: F.expr(e) for n, e in MORE.items()})
+    return sel.controllability(more, ndcg10=0.90, top1=0.93, top5=0.94, maxe=0.8).select(*KEYS, *[f"{m}_controllable" for m in (*sel.METHODS, "joint")])
+
+
 def _risk(m: str, scale: str = "1.0::double") -> str:
     parts = [f"coalesce(avg_{m}_{n} / ({b}::double * {scale}), 'inf'::double)" for n, b in sel.BUDGETS.items()]
-    return f"greatest({', '.join(parts)}, (1 - avg_{m}_ndcg10) / greatest(0, least(1, (1 - 0.95::double) * {scale})))"
+    return f"greatest({', '.join(parts)}, coalesce((1 - avg_{m}_ndcg10) / greatest(0, least(1, (1 - 0.95::double) * {scale})), 'inf'::double))"
 
 
 RISKED = f"""risk0 as (select *, {_risk('pathsim')} as pathsim_risk, {_risk('hetesim')} as hetesim_risk from grid),
@@ -87,10 +98,10 @@ risked as (select *, greatest(pathsim_risk, hetesim_risk) as joint_risk, cast(gr
 RISK_OUT = ("pathsim_risk", "hetesim_risk", "joint_risk", "reduction_gain")
 
 
-@query(f"with {GRID}, {RISKED} select {', '.join(KEYS)}, {', '.join(f'round({c}, 9) as {c}' for c in RISK_OUT)}, feasible from risked where avg_pathsim_mae is not null")
+@query(f"with {GRID}, {RISKED} select {', '.join(KEYS)}, {', '.join(f'round({c}, 9) as {c}' for c in RISK_OUT)}, feasible from risked")
 def t7_normalized_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risk over budgets, where all figures are known."""
-    found = sel.normalized_risk(grid(spark, sf_dir)).where("avg_pathsim_mae is not null")
+    """Risk over budgets; a missing figure is infinite risk."""
+    found = sel.normalized_risk(grid(spark, sf_dir))
     return found.select(*KEYS, *[F.round(c, 9).alias(c) for c in RISK_OUT], "feasible")
 
 

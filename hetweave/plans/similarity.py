@@ -218,6 +218,22 @@ def r9_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.overlap_at_k(pairs, queries, targets, n, 10).withColumn("overlap", F.round("overlap", 9))
 
 
+@query(
+    f"""with {BOTH}, e as (select i, abs(a - b) as d from ab union all select s_suppkey, 0.0 from supplier),
+err as (select i, round(sum(d) / count(*), 6) as mae, round(quantile_cont(d, 0.95), 6) as p95, round(quantile_cont(d, 0.99), 6) as p99, round(max(d), 6) as maxe from e group by i),
+k as (select i, j, a, row_number() over (partition by i order by a desc, j) as ra, row_number() over (partition by i order by b desc, j) as rb, avg(a) over (partition by i, b) as gb, avg(a) over (partition by i, a) as ga from ab),
+firsts as (select i, {", ".join(f"round(count(*) filter (where greatest(ra, rb) <= least({x}, n)) / cast(max(least({x}, n)) as double), 9) as top{x}" for x in (1, 5, 10))},
+  sum(ga / log2(ra + 1)) filter (where ra <= 10) as ideal, sum(gb / log2(rb + 1)) filter (where rb <= 10) as got from k, cnt group by i)
+select err.*, top1, top5, top10, round(case when ideal > 1e-12 then got / ideal else 1.0 end, 6) as ndcg10 from err join firsts using (i)"""
+)
+def r8_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors, shares of the first one, five and ten kept, and nDCG, in one call."""
+    targets = src.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("nid"))
+    found = ranking.ranking_metrics(_original(spark, sf_dir), _reduced(spark, sf_dir), targets.withColumnRenamed("nid", "q"), targets)
+    digits = {c: 6 for c in ("mae", "p95", "p99", "maxe", "ndcg10")} | {c: 9 for c in ("top1", "top5", "top10")}
+    return found.select("i", *[F.round(c, n).alias(c) for c, n in digits.items()])
+
+
 def _weights(c: str) -> str:
     return f"case when {c} > k{c} then 1.0 when {c} = k{c} then (kk - above{c}) / ties{c} else 0.0 end"
 

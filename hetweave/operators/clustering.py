@@ -1,18 +1,20 @@
 """Clustering of vectors and the measures of a clustering.
 
-Points are (nid, vec) with double arrays of one length. Centres are few and travel as literals;
-points stay distributed: assignment is an expression over each point, updates are aggregations.
+Points are (nid, vec) with double arrays of one length. Centres are few and travel with the task;
+points stay distributed: each round is one pass in Arrow batches that sums by cluster.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hetweave.lineage import cut
 from hetweave.operators.tiles import distance_sums
@@ -43,10 +45,43 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres, one centre at a time."""
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+
+
 def nearest(points: DataFrame, centres: list[list[float]]) -> DataFrame:
-    """points with cluster, the index of the nearest centre (ties to the lower), and its d2."""
-    best = F.array_min(F.array(*[F.struct(squared_distance(F.col("vec"), _literal(c)).alias("d2"), F.lit(k).alias("k")) for k, c in enumerate(centres)]))
-    return points.withColumn("best_", best).withColumn("cluster", F.col("best_")["k"]).withColumn("d2", F.col("best_")["d2"]).drop("best_")
+    """points with cluster, the index of the nearest centre (ties to the lower), and its d2; both null for a null vec."""
+    of = np.array(centres, float)
+
+    @F.pandas_udf("cluster int, d2 double")
+    def place(vec: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"cluster": pd.array([None] * len(vec), "Int32"), "d2": np.nan})
+        known = vec.notna().to_numpy()
+        if known.any():
+            d = _gaps(np.stack(vec[known].to_numpy()), of)
+            out.loc[known, "cluster"] = d.argmin(axis=1)
+            out.loc[known, "d2"] = d.min(axis=1)
+        return out
+
+    return points.withColumn("best_", place("vec")).withColumn("cluster", F.col("best_")["cluster"]).withColumn("d2", F.col("best_")["d2"]).drop("best_")
+
+
+def _sums(points: DataFrame, parts: Callable[[np.ndarray], np.ndarray], runs: int, k: int, width: int) -> np.ndarray:
+    """The sum over all points of parts(x), a (runs, k, width) array of a batch x: a row a task for each cell, then an aggregation."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((runs, k, width))
+        for batch in batches:
+            if len(batch):
+                total += parts(np.stack(batch.vec.to_numpy()))
+        yield pd.DataFrame({"cell": np.arange(runs * k), "x": list(total.reshape(runs * k, width))})
+
+    cells = points.select("vec").mapInPandas(work, "cell int, x array<double>").select("cell", F.posexplode("x").alias("dim", "x"))
+    out = np.zeros((runs * k, width))
+    for r in cells.groupBy("cell", "dim").agg(F.sum("x").alias("x")).collect():  # runs * k * width numbers
+        out[r.cell, r.dim] = r.x
+    return out.reshape(runs, k, width)
 
 
 def _means(assigned: DataFrame, k: int, weight: Column | None = None) -> dict[int, list[float]]:
@@ -59,61 +94,115 @@ def _means(assigned: DataFrame, k: int, weight: Column | None = None) -> dict[in
     return {c: [v[d] for d in sorted(v)] for c, v in out.items() if c < k}
 
 
-def _spread_out(points: DataFrame, k: int, seed: int) -> list[list[float]]:
-    """k starting centres: a seeded point, then each time the one most far by hash-weighted distance."""
-    draw = lambda s: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}.{s}"), F.col("nid").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") + 1) / float(1 << 32)
-    centres = [list(r.vec) for r in points.orderBy(draw(0), "nid").limit(1).collect()]
-    for s in range(1, k):
-        # the exponential race: the point of least -log(u) / d2 is drawn with chance d2 / sum
-        far = nearest(points, centres).where("d2 > 0").orderBy(-F.log(draw(s)) / F.col("d2"), "nid").limit(1).collect()
-        if not far:
-            break
-        centres.append(list(far[0].vec))
-    return centres
-
+def _spread_out(points: DataFrame, k: int, seeds: list[int]) -> list[list[list[float]]]:
+    """k starting centres for each seed: a seeded point, then each time the one most far by hash-weighted distance.
 
-def kmeans(points: DataFrame, k: int, *, seeds: int = 3, rounds: int = 30, seed: int = 42) -> tuple[DataFrame, list[list[float]], float]:
+    All seeds draw in the same pass over the points, so there are k passes.
+    """
+    draw = lambda seed, s: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}.{s}"), F.col("nid").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") + 1) / float(1 << 32)
+    firsts = points.agg(*[F.min(F.struct(draw(seed, 0).alias("u"), "nid", "vec")).alias(f"f{n}") for n, seed in enumerate(seeds)]).first()
+    starts = [[list(f.vec)] if f else [] for f in firsts]
+    shape = T.StructType([T.StructField("run", T.IntegerType()), T.StructField("far", T.DoubleType()), points.schema["nid"], points.schema["vec"]])
+    for s in range(1, k):
+        held = [np.array(c, float) if len(c) == s else None for c in starts]
+
+        def work(batches: Iterator[pd.DataFrame], held: list = held) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x, u = np.stack(batch.vec.to_numpy()), np.stack(batch.u.to_numpy())
+                for run, centres in enumerate(held):
+                    if centres is None:
+                        continue
+                    d2 = _gaps(x, centres).min(axis=1)
+                    # the exponential race: the point of least -log(u) / d2 is drawn with chance d2 / sum
+                    far = np.where(d2 > 0, -np.log(u[:, run]) / np.where(d2 > 0, d2, 1.0), np.inf)
+                    best = np.lexsort((batch.nid.to_numpy(), far))[0]
+                    if np.isfinite(far[best]):
+                        yield pd.DataFrame({"run": [run], "far": [far[best]], "nid": [batch.nid.iloc[best]], "vec": [batch.vec.iloc[best]]})
+
+        drawn = points.select("nid", "vec", F.array(*[draw(seed, s) for seed in seeds]).alias("u")).mapInPandas(work, shape)
+        for r in drawn.groupBy("run").agg(F.min(F.struct("far", "nid", "vec")).alias("best")).collect():  # a row a seed
+            starts[r.run].append(list(r.best.vec))
+    return starts
+
+
+def kmeans(points: DataFrame, k: int, *, seeds: int = 10, rounds: int = 300, seed: int = 42) -> tuple[DataFrame, list[list[float]], float]:
     """(nid, cluster), centres and cost of the best of several starts, by Lloyd's steps.
 
-    A start that still lowers its cost after the last round is warned of.
+    A round takes all starts that still move one step, in one pass over the points. A start that
+    still lowers its cost after the last round is warned of.
     """
-    points = cut(points.select("nid", "vec"))
-    best: tuple[float, list[list[float]]] | None = None
-    for s in range(seeds):
-        centres, last = _spread_out(points, k, seed + s), math.inf
-        for _ in range(rounds):
-            found = nearest(points, centres)
-            cost = found.agg(F.sum("d2")).first()[0] or 0.0
-            if last - cost <= 1e-9 * max(last, 1.0) and last < math.inf:
-                break
-            last, new = cost, _means(found, len(centres))
-            centres = [new.get(c, old) for c, old in enumerate(centres)]
-        else:
-            warnings.warn(f"k-means: start {s} has not converged in {rounds} rounds", RuntimeWarning, stacklevel=2)
-        if best is None or last < best[0]:
-            best = (last, centres)
-    return nearest(points, best[1]).select("nid", "cluster"), best[1], best[0]
+    points = cut(points.select("nid", "vec").where("vec is not null"))
+    if points.isEmpty():
+        return points.select("nid", F.lit(0).alias("cluster")), [], 0.0
+    centres = [np.array(c, float) for c in _spread_out(points, k, [seed + s for s in range(seeds)])]
+    most, dim = max(len(c) for c in centres), centres[0].shape[1]
+    last, moving = [math.inf] * seeds, list(range(seeds))
+    for _ in range(rounds):
+        now = [centres[s] for s in moving]
+
+        def parts(x: np.ndarray, now: list[np.ndarray] = now) -> np.ndarray:
+            out = np.zeros((len(now), most, dim + 2))
+            for run, of in enumerate(now):
+                d = _gaps(x, of)
+                member = np.eye(most)[d.argmin(axis=1)]
+                out[run, :, :dim], out[run, :, dim], out[run, :, dim + 1] = member.T @ x, member.sum(axis=0), member.T @ d.min(axis=1)
+            return out
+
+        found, left = _sums(points, parts, len(now), most, dim + 2), []
+        for run, s in enumerate(moving):
+            cost = float(found[run, :, dim + 1].sum())
+            if last[s] - cost <= 1e-9 * max(last[s], 1.0) and last[s] < math.inf:
+                continue
+            last[s] = cost
+            n = found[run, : len(centres[s]), dim]
+            centres[s] = np.where(n[:, None] > 0, found[run, : len(centres[s]), :dim] / np.maximum(n, 1)[:, None], centres[s])
+            left.append(s)
+        moving = left
+        if not moving:
+            break
+    for s in moving:
+        warnings.warn(f"k-means: start {s} has not converged in {rounds} rounds", RuntimeWarning, stacklevel=2)
+    best = min(range(seeds), key=lambda s: (last[s], s))
+    chosen = centres[best].tolist()
+    return nearest(points, chosen).select("nid", "cluster"), chosen, last[best]
 
 
-def fuzzy_cmeans(points: DataFrame, k: int, *, m: float = 2.0, rounds: int = 50, tolerance: float = 1e-4, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
+def fuzzy_cmeans(points: DataFrame, k: int, *, m: float = 2.0, rounds: int = 150, tolerance: float = 1e-4, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
     """(nid, cluster): hard labels of fuzzy memberships u = d^(-2/(m-1)) normalised, and centres.
 
     Ends when the centres move less than the tolerance; warns if they still move after the last round.
     """
-    points = cut(points.select("nid", "vec"))
-    centres = _spread_out(points, k, seed)
+    points = cut(points.select("nid", "vec").where("vec is not null"))
+    if points.isEmpty():
+        return points.select("nid", F.lit(0).alias("cluster")), []
+    centres = np.array(_spread_out(points, k, [seed])[0], float)
+    n, dim = centres.shape
     for _ in range(rounds):
-        d = F.array(*[F.pow(squared_distance(F.col("vec"), _literal(c)) + 1e-16, F.lit(-1 / (m - 1))) for c in centres])
-        total = F.aggregate("u", F.lit(0.0), lambda s, x: s + x)
-        soft = points.withColumn("u", d).withColumn("total", total).select("vec", "total", F.posexplode("u").alias("cluster", "u"))
-        new = _means(soft, len(centres), F.pow(F.col("u") / F.col("total"), F.lit(m)))
-        moved = math.sqrt(sum((a - b) ** 2 for c, old in enumerate(centres) for a, b in zip(new[c], old, strict=True)))
-        centres = [new[c] for c in range(len(centres))]
+
+        def parts(x: np.ndarray, of: np.ndarray = centres) -> np.ndarray:
+            u = (_gaps(x, of) + 1e-16) ** (-1 / (m - 1))
+            w = (u / u.sum(axis=1, keepdims=True)) ** m
+            return np.concatenate([w.T @ x, w.sum(axis=0)[:, None]], axis=1)[None]
+
+        found = _sums(points, parts, 1, n, dim + 1)[0]
+        new = found[:, :dim] / found[:, dim:]
+        moved, centres = math.sqrt(((new - centres) ** 2).sum()), new
         if moved < tolerance:
             break
     else:
         warnings.warn(f"fuzzy c-means has not converged in {rounds} rounds", RuntimeWarning, stacklevel=2)
-    return nearest(points, centres).select("nid", "cluster"), centres
+    return nearest(points, centres.tolist()).select("nid", "cluster"), centres.tolist()
+
+
+def lloyd_step(points: DataFrame, centres: list[list[float]]) -> DataFrame:
+    """(cluster, n, cost, vec): the step of k-means from given centres; centres without points are left out."""
+    found = nearest(points, centres)
+    rows = found.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("d2").alias("cost"))
+    mean = found.select("cluster", F.posexplode("vec").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x").alias("m"))
+    mean = mean.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("vec"))
+    return rows.join(mean, "cluster")
 
 
 def sequential_scheme(points: DataFrame, k: int, *, theta: float | None = None, sample: int = 800, seed: int = 42) -> DataFrame:
@@ -125,8 +214,6 @@ def sequential_scheme(points: DataFrame, k: int, *, theta: float | None = None,
     nearest of the k left. One partition gives the sequential algorithm itself. theta is, if not
     given, the median distance to the nearest neighbour within a sample of bounded size.
     """
-    import pandas as pd
-
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("nid").cast("string")).cast("binary"))
     points = cut(points.select("nid", "vec"))
     if theta is None:

@@ -175,7 +175,26 @@ l9_kmeans, l10_fuzzy_cmeans = _clusters("kmeans", seeds=10, rounds=300), _cluste
 l11_sequential_scheme, l12_xmeans = _clusters("bsas"), _clusters("xmeans")
 
 
-@query()
+@query(
+    f"""with {VEC}, k as (select unnest(range(0, 4)) as cluster), s as (select nid, vec, cluster, list_sum(list_transform(vec, lambda x: x * x)) - 2 * vec[cluster + 1] + 1 as d2 from v, k),
+a as (select * from (select *, row_number() over (partition by nid order by d2, cluster) as r from s) where r = 1),
+l as (select cluster, d, avg(vec[d]) as m from a, (select unnest(range(1, 65)) as d) group by 1, 2)
+select cast(a.cluster as integer) as cluster, cast(l.d as integer) as dim, a.n, round(a.cost, 6) as cost, round(l.m, 8) as m from (select cluster, count(*) as n, sum(d2) as cost from a group by 1) a join l on l.cluster = a.cluster"""
+)
+def l9_lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of k-means from four given centres: sizes, costs and new means."""
+    found = clustering.lloyd_step(src.vectors(spark, sf_dir), CENTRES)
+    long = found.select("cluster", "n", F.round("cost", 6).alias("cost"), F.posexplode("vec").alias("dim", "m"))
+    return long.select("cluster", (F.col("dim") + 1).alias("dim"), "n", "cost", F.round("m", 8).alias("m"))
+
+
+@query(
+    f"""with recursive {ASSIGNED}, c as (select cluster, y, count(*) as n from a group by 1, 2),
+cl as (select cluster, row_number() over (order by cluster) as k from (select distinct cluster from c)), lab as (select y, row_number() over (order by y) - 1 as b from (select distinct y from c)),
+walk(k, taken, hit) as (select 0::bigint, 0::bigint, 0::bigint
+  union all select w.k + 1, w.taken | (1::bigint << cast(l.b as integer)), w.hit + coalesce(c.n, 0) from walk w join cl on cl.k = w.k + 1 join lab l on (w.taken & (1::bigint << cast(l.b as integer))) = 0 left join c on c.cluster = cl.cluster and c.y = l.y)
+select max(hit) / cast((select count(*) from a) as double) as accuracy from walk where k = (select count(*) from cl)"""
+)
 def l15_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy of clusters under the best one-to-one naming."""
     return spark.createDataFrame([(clustering.accuracy(clustering.contingency(_assigned(spark, sf_dir))),)], "accuracy double")

@@ -15,9 +15,9 @@ def top(spark, scores, ids, k):
 
 
 def test_top_k_ties(spark):
-    assert top(spark, [0.7, 0.9, 0.9, 0.2], [40, 20, 10, 30], 2) == [10, 20]
-    order = [3, 1, 0, 2]
-    s, ids = [0.9, 0.9, 0.7, 0.4], [20, 10, 30, 40]
+    assert top(spark, [0.31, 0.82, 0.55, 0.82, 0.55], [7, 5, 9, 2, 4], 3) == [2, 5, 4]
+    order = [2, 4, 0, 3, 1]
+    s, ids = [0.6, 0.25, 0.6, 0.6, 0.1], [8, 3, 6, 11, 1]
     assert top(spark, s, ids, 2) == top(spark, [s[k] for k in order], [ids[k] for k in order], 2)
 
 

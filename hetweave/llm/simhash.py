@@ -142,8 +142,10 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     found = _classes(docs, doc_id, text, words, radius)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("kept")
     kept = cut(found.groupBy("root").agg(least).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash")))
-    names = {x: free_name(docs, x) for x in ("kept_id", "kept_hash", "row_hash")}
-    kept = kept.toDF(names["kept_id"], names["kept_hash"]).distinct()
-    own = docs.withColumn(names["row_hash"], F.xxhash64(text))
-    same = F.col(doc_id).eqNullSafe(F.col(names["kept_id"])) & (F.col(names["row_hash"]) == F.col(names["kept_hash"]))
-    return own.join(kept, same, "left_semi").dropDuplicates([doc_id, names["row_hash"]]).drop(names["row_hash"])
+    # keys that are never null: one partitioning serves the join and the choice among repeats
+    names = {x: free_name(docs, x) for x in ("id_key", "row_hash", "kept_key", "kept_hash")}
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    kept = kept.select(key("kept_id").alias(names["kept_key"]), F.col("kept_hash").alias(names["kept_hash"])).distinct()
+    own = docs.withColumns({names["id_key"]: key(doc_id), names["row_hash"]: F.xxhash64(text)})
+    same = (F.col(names["id_key"]) == F.col(names["kept_key"])) & (F.col(names["row_hash"]) == F.col(names["kept_hash"]))
+    return own.join(kept, same, "left_semi").dropDuplicates([names["id_key"], names["row_hash"]]).drop(names["id_key"], names["row_hash"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hetweave.llm import chat, decontaminate, embeddings, html_text, mixing, pii, quality, sharding, simhash, url_filter
+from hetweave.llm import chat, decontaminate, embeddings, filter_audit, fingerprints, html_text, merkle, mixing, pii, quality, sharding, simhash, url_filter
 from hetweave.llm.common import table
 
 SCORE_AT_LEAST = 0.3
@@ -231,6 +231,111 @@ select doc_id, size::bigint as size, source_size, target,
 from p
 """
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of each of their 120 orders, by source."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = """
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, min(doc_id) over (partition by coalesce(text, '')) as first,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+),
+l as (select doc_id, max((quality = 1)::int) as q, max((toxic = 1)::int) as t from labels where doc_id is not null group by doc_id),
+f as (
+  select part, coalesce(l.q, 0) as q, coalesce(l.t, 0) as t,
+    (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text))::int
+    + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(d.doc_id > first, false)::int as mask
+  from d left join l on l.doc_id = d.doc_id
+),
+c as (select part, mask, count(*) as n, sum(q) as good, sum(t) as toxic from f group by 1, 2),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 4, 8, 16]) as bit),
+o as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from x a, x b, x c, x d, x e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and a.bit | b.bit | c.bit | d.bit | e.bit = 31
+),
+s as (select filter_order, k as step, bits[k] as bit, coalesce(list_sum(bits[1 : k - 1]), 0)::int as before from o, unnest(range(1, 6)) as u(k)),
+r as (
+  select part, filter_order, step, bit, coalesce(sum(n) filter (where mask & (before | bit) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (where mask & bit > 0 and mask & before = 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (where mask & bit > 0 and mask & before > 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where mask = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (where mask & bit > 0 and mask & before = 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (where mask & bit > 0 and mask & before = 0), 0)::bigint as toxic_lost
+  from c, s group by 1, 2, 3, 4
+)
+select part, filter_order, cast(step as integer) as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  cast(sum(removed) over (partition by part, bit) as bigint) as shapley from r
+"""
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of each document, and the root that its tampered text would give."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "source", merkle.document_leaf().alias("leaf"), merkle.document_leaf(tampered).alias("now"))
+    found, name = merkle.manifest(leaves)
+    m = F.col(name)
+    found = found.select("doc_id", "leaf", m["subroot"].alias("subroot"), m["root"].alias("root"), merkle.proof_hash(m["proof"]).alias("proof_sha256"), merkle.fold(F.col("now"), m["proof"]).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _field_sql(c: str) -> str:
+    return f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+
+
+def _levels_sql(name: str, start: str) -> str:
+    """Nodes (g, lvl, idx, n, digest) of all levels over those of `start`."""
+    return f"""{name} as (
+  select * from {start}
+  union all select g, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' order by idx)) from {name} where n > 1 group by g, lvl, idx // 3, (n + 2) // 3
+)"""
+
+
+_CRC_SQL = "list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(doc_id::varchar) + 1), lambda k: ascii(substr(doc_id::varchar, k, 1))::bigint)), lambda c, x: list_reduce([xor(c, x)::bigint] || [0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))"
+OP12_SQL = f"""
+with recursive d as (
+  select doc_id, source, lang, n_chars, text, case when xor({_CRC_SQL}, 4294967295) % 2 = 0 then replace(text, chr(10), '') else text end as changed from documents
+),
+h as (
+  select row_number() over () as rid, doc_id, source, sha256({" || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", "text")))}) as leaf,
+    sha256({" || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", "changed")))}) as now from d
+),
+l as (
+  select *, dense_rank() over (order by source nulls first) - 1 as g, row_number() over (partition by source order by doc_id nulls first, leaf, now, rid) - 1 as idx, count(*) over (partition by source) as n from h
+),
+leaves as (select g, 0 as lvl, idx, n, leaf as digest from l),
+{_levels_sql("up", "leaves")},
+subs as (select 0 as g, 0 as lvl, g as idx, count(*) over () as n, digest from up where n = 1),
+{_levels_sql("top", "subs")},
+sib as (
+  select l.rid, u.lvl, u.idx, u.idx < l.idx // (3 ** u.lvl)::bigint as earlier, u.digest from l join up u on u.g = l.g and u.n > 1 and u.idx // 3 = l.idx // (3 ** (u.lvl + 1))::bigint and u.idx <> l.idx // (3 ** u.lvl)::bigint
+  union all
+  select l.rid, 1000 + u.lvl, u.idx, u.idx < l.g // (3 ** u.lvl)::bigint, u.digest from l join top u on u.n > 1 and u.idx // 3 = l.g // (3 ** (u.lvl + 1))::bigint and u.idx <> l.g // (3 ** u.lvl)::bigint
+),
+levels as (
+  select rid, lvl, row_number() over (partition by rid order by lvl) as k from (
+    select distinct l.rid, u.lvl from l join up u on u.g = l.g and u.n > 1 union select distinct l.rid, 1000 + u.lvl from l join top u on u.n > 1
+  )
+),
+steps as (
+  select v.rid, v.k, coalesce(string_agg(s.digest, '' order by s.idx) filter (where s.earlier), '') as before, coalesce(string_agg(s.digest, '' order by s.idx) filter (where not s.earlier), '') as after
+  from levels v left join sib s on s.rid = v.rid and s.lvl = v.lvl group by 1, 2
+),
+fold as (
+  select rid, 0 as k, now as acc from l union all select f.rid, f.k + 1, sha256(s.before || f.acc || s.after) from fold f join steps s on s.rid = f.rid and s.k = f.k + 1
+),
+proofs as (select rid, string_agg(before || after, '' order by k) as p from steps group by rid)
+select l.doc_id, l.leaf, s.digest as subroot, t.digest as root, sha256(coalesce(p.p, '')) as proof_sha256, f.acc as folded_root, f.acc = t.digest as verified
+from l join subs s on s.idx = l.g join top t on t.n = 1 left join proofs p on p.rid = l.rid join (select rid, arg_max(acc, k) as acc from fold group by rid) f on f.rid = l.rid
+"""
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash fingerprint of each document and of its edited text, and what they share."""
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -242,5 +347,8 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle": op12_merkle,
+    "op13_fingerprints": op13_fingerprints,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL, "op7_url_filter": OP7_SQL, "op8_embeddings": OP8_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op7_url_filter": OP7_SQL, "op8_embeddings": OP8_SQL, "op10_mixing": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_merkle": OP12_SQL}

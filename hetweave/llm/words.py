@@ -7,6 +7,9 @@ import numpy as np
 #: Bytes that make up words once A-Z are lower case: 0-9, a-z and all of non-ASCII UTF-8.
 IN_WORD = np.zeros(256, bool)
 IN_WORD[ord("0") : ord("9") + 1] = IN_WORD[ord("a") : ord("z") + 1] = IN_WORD[128:] = True
+#: Bytes between ASCII white space.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -28,10 +31,10 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return had[:n]
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, where words start and end, and the number of words before each row."""
+def find_words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, where words of `letters` start and end, and the number of words before each row."""
     data = LOWER[data]
-    inside = IN_WORD[data]
+    inside = letters[data]
     if not len(data):
         return data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     edges = offsets[1:-1]
@@ -66,3 +69,17 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             at = to
     out[out == 0] = 1
     return out
+
+
+def hash_shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of `size` word hashes, row borders aside; fewer words give none."""
+    n = max(0, len(words) - size + 1)
+    out = np.full(n, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out *= _BASE
+            out += words[k : k + n]
+            out ^= out >> np.uint64(29)
+        out *= _MIX
+        out ^= out >> np.uint64(32)
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hetweave.lineage import cut
 from hetweave.network import Network
-from hetweave.operators import channels, cover, labels, metapath, partition, quotient, ranking
+from hetweave.operators import channels, cover, labels, metapath, partition, preserve, quotient, ranking
 
 
 class Prepared:
@@ -55,46 +55,43 @@ class Prepared:
         return out
 
 
-def evaluate_mapping(prepared: Prepared, mapping: DataFrame, queries: DataFrame | None = None, *, k: int = 10, keep_self: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Measures by path and method, averaged over queries; and one row of them averaged over paths.
+def evaluate_mappings(prepared: Prepared, mappings: DataFrame, queries: DataFrame | None = None, *, k: int = 10, keep_self: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Measures of the mappings (cell, ntype, nid, cluster_id) by cell, path and method, averaged over queries; and by cell.
 
-    The one row has the figures' names of a grid: avg_{method}_{mae,p95e,p99e,top10,ndcg10,pvalue}.
+    A cell's one row has the figures' names of a grid: avg_{method}_{mae,p95e,p99e,top10,ndcg10,pvalue},
+    averaged over paths, and the greatest avg_{method}_maxe.
     """
     q = (prepared.targets if queries is None else queries).toDF("q")
-    target = mapping.where(F.col("ntype") == prepared.net.config.target)
-    rows = []
-    for path, half in prepared.half.items():
-        small = quotient.reduced_half_path(prepared.matrices, mapping, prepared.net.config.half_paths[path])
-        clusters = q.toDF("nid").join(target, "nid").select(F.col("cluster_id").alias("q")).distinct()
-        for method in metapath.SIMILARITIES:
-            reduced = metapath.expand(metapath.similarity(method, small, clusters), target)
-            each = ranking.preservation(metapath.similarity(method, half, q), reduced.join(q.toDF("i"), "i", "left_semi"), q, prepared.targets, k=k, keep_self=keep_self)
-            rows.append(cut(ranking.average(each.withColumns({"path": F.lit(path), "method": F.lit(method)}), "path", "method")))
-    by_path = reduce(DataFrame.unionByName, rows)
+    by_path = cut(preserve.preserved(prepared.half, prepared.matrices, prepared.net.config.half_paths, mappings, prepared.targets, q, k=k, keep_self=keep_self))
     names = {"mae": "mae", "p95": "p95e", "p99": "p99e", "overlap": "top10", "ndcg": "ndcg10", "p": "pvalue"}
-    over = [F.avg(F.when(F.col("method") == m, F.col(c))).alias(f"avg_{m}_{n}") for m in metapath.SIMILARITIES for c, n in names.items()]
-    most = [F.max(F.when(F.col("method") == m, F.col("maxe"))).alias(f"avg_{m}_maxe") for m in metapath.SIMILARITIES]
-    return by_path, by_path.agg(*over, *most)
+    over = [F.avg(F.when(F.col("method") == m, F.col(c))).alias(f"avg_{m}_{n}") for m in preserve.METHODS for c, n in names.items()]
+    most = [F.max(F.when(F.col("method") == m, F.col("maxe"))).alias(f"avg_{m}_maxe") for m in preserve.METHODS]
+    return by_path, by_path.groupBy("cell").agg(*over, *most)
+
+
+def evaluate_mapping(prepared: Prepared, mapping: DataFrame, queries: DataFrame | None = None, *, k: int = 10, keep_self: bool = True) -> tuple[DataFrame, DataFrame]:
+    """evaluate_mappings() of a single mapping (ntype, nid, cluster_id)."""
+    by_path, one = evaluate_mappings(prepared, mapping.withColumn("cell", F.lit(0)), queries, k=k, keep_self=keep_self)
+    return by_path.drop("cell"), one.drop("cell")
 
 
 def evaluate_grid(prepared: Prepared, pairs: Iterable[tuple[float, float]], *, dataset: str = "", setting: str = "layered_semantic_attribute", queries: DataFrame | None = None, measure: str = "cosine") -> DataFrame:
     """A row for each pair of thresholds: reduction figures and measures, ready for selection.
 
-    Cells are independent jobs over shared, written tables; each mapping's row is written before
-    the next, so a lost executor costs one cell. Cells that the same pairs pass share a mapping
-    and its row.
+    Cells that the same pairs of nodes pass share a mapping; the different mappings are measured
+    in one plan, over shared, written tables.
     """
     net = prepared.net
     semantic = net.nodes.where(~F.col("ntype").isin(*net.config.main_types)).count()
     pairs = list(pairs)
     first = prepared.alike(pairs, setting, measure)
-    rows = []
+    mappings, sizes = [], []
     for k in sorted(set(first)):
         mapping = prepared.cover(*pairs[k], setting, measure)
-        sizes = quotient.reduction_ratios(mapping, semantic, net.links, prepared.matrices)
-        _, measured = evaluate_mapping(prepared, mapping, queries)
-        rows.append(cut(sizes.join(measured).withColumn("cell", F.lit(k))))  # single rows
-    found = reduce(DataFrame.unionByName, rows)
+        mappings.append(mapping.withColumn("cell", F.lit(k)))
+        sizes.append(quotient.reduction_ratios(mapping, semantic, net.links, prepared.matrices).withColumn("cell", F.lit(k)))
+    _, measured = evaluate_mappings(prepared, reduce(DataFrame.unionByName, mappings), queries)
+    found = reduce(DataFrame.unionByName, sizes).join(measured, "cell")  # a row for each mapping
     measures = [c for c in found.columns if c != "cell"]
     cells = net.nodes.sparkSession.createDataFrame([(k, dataset, setting, *pair) for k, pair in zip(first, pairs, strict=True)], "cell int, dataset string, reduction_setting string, semantic_threshold double, attribute_threshold double")
     return cut(found.join(F.broadcast(cells), "cell").select(*measures, *cells.columns[1:]))  # a row for each cell

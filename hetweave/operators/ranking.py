@@ -171,16 +171,8 @@ def student_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.clip(np.where(x < (a + 1) / (a + b + 2), direct, other), 0, 1)
 
 
-def paired_t(pairs: DataFrame, queries: DataFrame, n_targets: int, *, keep_self: bool = True) -> DataFrame:
-    """(i, t, p) of a two-sided paired t-test over all n entries; p is 1 where nothing differs.
-
-    With fewer than two entries, or differences within 1e-12 throughout, t is null and p is 1.
-    """
-    n = n_targets - (0 if keep_self else 1)
-    d = F.col("a") - F.col("b")
-    sums = pairs.groupBy("i").agg(F.sum(d).alias("s"), F.sum(d * d).alias("ss"), F.max(F.abs(d)).alias("most"))
-    mean, spread = F.col("s") / n, (F.col("ss") - F.col("s") * F.col("s") / n) / max(n - 1, 1)
-    t = F.when((F.col("most") > 1e-12) & (spread > 0) & F.lit(n >= 2), mean / F.sqrt(spread / n))
+def two_sided_p(t: Column, n: int) -> Column:
+    """Chance of a t statistic over n pairs; 1 where there is none."""
 
     @F.pandas_udf("double")
     def p_value(t: pd.Series) -> pd.Series:
@@ -189,8 +181,25 @@ def paired_t(pairs: DataFrame, queries: DataFrame, n_targets: int, *, keep_self:
         out[known] = student_two_sided(t.to_numpy()[known], np.full(int(known.sum()), float(n - 1)))
         return pd.Series(out)
 
-    found = queries.select(F.col("q").alias("i")).join(sums, "i", "left").withColumn("t", t)
-    return found.select("i", "t", p_value("t").alias("p"))
+    return p_value(t)
+
+
+def t_statistic(s: Column, ss: Column, most: Column, n: int) -> Column:
+    """t of n paired differences from their sum, sum of squares and largest; null where nothing differs."""
+    mean, spread = s / n, (ss - s * s / n) / max(n - 1, 1)
+    return F.when((most > 1e-12) & (spread > 0) & F.lit(n >= 2), mean / F.sqrt(spread / n))
+
+
+def paired_t(pairs: DataFrame, queries: DataFrame, n_targets: int, *, keep_self: bool = True) -> DataFrame:
+    """(i, t, p) of a two-sided paired t-test over all n entries; p is 1 where nothing differs.
+
+    With fewer than two entries, or differences within 1e-12 throughout, t is null and p is 1.
+    """
+    n = n_targets - (0 if keep_self else 1)
+    d = F.col("a") - F.col("b")
+    sums = pairs.groupBy("i").agg(F.sum(d).alias("s"), F.sum(d * d).alias("ss"), F.max(F.abs(d)).alias("most"))
+    found = queries.select(F.col("q").alias("i")).join(sums, "i", "left").withColumn("t", t_statistic(F.col("s"), F.col("ss"), F.col("most"), n))
+    return found.select("i", "t", two_sided_p(F.col("t"), n).alias("p"))
 
 
 def preservation(original: DataFrame, reduced: DataFrame, queries: DataFrame, targets: DataFrame, *, k: int = 10, keep_self: bool = False) -> DataFrame:

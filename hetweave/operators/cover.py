@@ -1,10 +1,13 @@
 """Guarded complete-link cover: which nodes of a candidate class merge.
 
 The cover is greedy and in order of ids: the least free node seeds a cluster, and each later node
-joins if it passes both guards with all members so far. Two nodes that no chain of passing pairs
-connects can't influence each other, so the passing pairs are found by joins, their connected
-components split each class, and the greedy step runs on one component's passing pairs at a
-time. Nodes without a passing pair never reach it.
+joins if it passes both guards with all members so far. Nodes of a class with equal terms and
+equal features that pass each other always end together, so they are one point. Pairs of points
+that pass both guards come from joins; points without a passing pair are done.
+
+Classes of up to SMALL passing pairs, by count, are dealt into groups of about that many pairs,
+and each group is covered where it lies. A larger class is never one task's: it is covered in
+rounds of joins, all its seeds that can't disturb each other at once (see cover_in_rounds).
 """
 
 from __future__ import annotations
@@ -12,14 +15,16 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hetweave.operators.channels import cosine, exact_groups, scored_pairs, term_scores
-from hetweave.operators.graph import connected_components
+from hetweave.lineage import cut
+from hetweave.operators.channels import cosine, exact_groups, norm, scored_pairs, term_scores
 
 #: How far below its threshold a score may lie.
 TERM_SLACK, ATTR_SLACK, STRICT = 1e-8, 1e-10, 1e-12
+#: Passing pairs that one task covers, and the usual number of them in a group.
+SMALL, USUAL = 500_000, 20_000
 
 
 def term_passes(score: Column, tau: float) -> Column:
@@ -88,7 +93,118 @@ def greedy(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
     return seed
 
 
-def guarded_cover(part: DataFrame, terms: DataFrame | None, features: DataFrame | None, tau_term: float, tau_attr: float, measure: str = "cosine") -> DataFrame:
+def equal_points(members: DataFrame, terms: DataFrame | None, features: DataFrame | None, tau_term: float, tau_attr: float, measure: str = "cosine") -> DataFrame:
+    """(ntype, class_id, nid, point): nodes of a class with equal terms and features are one point, its least node.
+
+    Only nodes that pass the guards with their equals are merged: under cosine, nodes without
+    terms, and zero vectors, pass nothing at a threshold above 0. Sets of terms are compared by
+    size and two hashes of 64 bits that don't depend on order.
+    """
+    rows, key, alike = members, [], F.lit(True)
+    if terms is not None:
+        mark = terms.groupBy("nid").agg(F.count("*").alias("t0"), F.bit_xor(F.xxhash64("term")).alias("t1"), F.bit_xor(F.xxhash64(F.lit("term"), "term")).alias("t2"))
+        rows, key = rows.join(mark, "nid", "left"), [*key, "t0", "t1", "t2"]
+        alike &= F.lit(tau_term <= 1) & (F.col("t0").isNotNull() | F.lit(measure != "cosine" or tau_term <= TERM_SLACK))
+    if features is not None:
+        rows, key = rows.join(features.select("nid", "feat"), "nid", "left"), [*key, "feat"]
+        alike &= F.lit(tau_attr <= 1) & (F.coalesce(norm(F.col("feat")) > 0, F.lit(False)) | F.lit(tau_attr <= ATTR_SLACK))
+    rows = rows.withColumn("apart", F.when(alike, F.lit(None)).otherwise(F.col("nid")))
+    key = ["ntype", "class_id", *key, "apart"]
+    least = rows.groupBy(*key).agg(F.min("nid").alias("point"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in key]
+    on = same[0]
+    for x in same[1:]:
+        on &= x
+    return rows.alias("r").join(least.alias("l"), on).select("r.ntype", "r.class_id", "r.nid", "l.point")
+
+
+def _below(rows: DataFrame, flag: Column) -> DataFrame:
+    """rows (seed, x, part) with below: how many flagged rows of the seed are less than x.
+
+    part is the range that x lies in, so what a task sorts is bounded and only counts go on.
+    """
+    rows = rows.withColumn("flag", flag.cast("long"))
+    sums = rows.groupBy("seed", "part").agg(F.sum("flag").alias("flags"))
+    earlier = F.sum("flags").over(Window.partitionBy("seed").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("flag").over(Window.partitionBy("seed", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    joined = rows.withColumn("inside", inside).join(sums.withColumn("earlier", earlier).drop("flags"), ["seed", "part"])
+    return joined.withColumn("below", F.coalesce("inside", F.lit(0)) + F.coalesce("earlier", F.lit(0))).drop("flag", "inside", "earlier")
+
+
+def _grow(candidates: DataFrame, within: DataFrame) -> DataFrame:
+    """(seed, x) of the candidates that join their seed's cluster.
+
+    within has the pairs (seed, x, y), y < x, of a seed's candidates that pass. In each round a
+    candidate that passes with all lesser ones still there is in, whatever becomes of those, and
+    one that fails with a lesser one that is in is out. The least one open is always settled.
+    """
+    rows = cut(candidates.repartitionByRange("seed", "x").withColumn("part", F.spark_partition_id())).withColumn("joined", F.lit(False))
+    while True:
+        here = rows.select("seed", F.col("x").alias("y"), F.col("joined").alias("y_in"))
+        near = within.join(rows.select("seed", "x"), ["seed", "x"]).join(here, ["seed", "y"]).groupBy("seed", "x").agg(F.count("*").alias("near"))
+        ranked = _below(rows, F.lit(1)).join(near, ["seed", "x"], "left")
+        rows = cut(ranked.select("seed", "x", "part", (F.col("joined") | (F.coalesce("near", F.lit(0)) == F.col("below"))).alias("joined")))
+        inside = rows.where("joined").select("seed", F.col("x").alias("y"))
+        near = within.join(inside, ["seed", "y"]).groupBy("seed", "x").agg(F.count("*").alias("near"))
+        ranked = _below(rows, F.col("joined")).join(near, ["seed", "x"], "left")
+        rows = cut(ranked.where(F.col("joined") | (F.coalesce("near", F.lit(0)) == F.col("below"))).select("seed", "x", "part", "joined"))
+        if rows.where("not joined").isEmpty():
+            return rows.select("seed", "x")
+
+
+def cover_in_rounds(pairs: DataFrame) -> DataFrame:
+    """(nid, cluster_id) over passing pairs (i, j) of any number, as greedy() gives it; nodes left alone have no row.
+
+    A free node less than all free ones at one or two steps is the next seed there: no lesser seed
+    can take its neighbours. All such seeds grow at once. Every step is a join or a grouping over
+    pairs and is written.
+    """
+    edges = cut(pairs.select(F.col("i").alias("u"), F.col("j").alias("v")).unionAll(pairs.select(F.col("j").alias("u"), F.col("i").alias("v"))).distinct())
+    done = []
+    while not edges.isEmpty():
+        near = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
+        around = edges.join(near.toDF("v", "least"), "v").groupBy("u").agg(F.min("least").alias("around"))
+        seeds = around.where(F.col("around") >= F.col("u")).select("u")  # u is one step from its neighbours
+        candidates = cut(edges.join(seeds, "u", "left_semi").toDF("seed", "x"))
+        ends = candidates.toDF("seed", "u").join(edges.where("v < u"), "u").join(candidates.toDF("seed", "v"), ["seed", "v"])
+        within = cut(ends.select("seed", F.col("u").alias("x"), F.col("v").alias("y")))
+        joined = _grow(candidates, within)
+        new = cut(joined.unionAll(candidates.select("seed", F.col("seed").alias("x")).distinct()))
+        done.append(new)
+        gone = new.select("x")
+        edges = cut(edges.join(gone.toDF("u"), "u", "left_anti").join(gone.toDF("v"), "v", "left_anti").select("u", "v"))
+    spark = pairs.sparkSession
+    out = spark.createDataFrame([], "seed long, x long")
+    for new in done:
+        out = out.unionAll(new)
+    return out.select(F.col("x").alias("nid"), F.col("seed").alias("cluster_id"))
+
+
+def cover_pairs(pairs: DataFrame, small: int = SMALL) -> DataFrame:
+    """(nid, cluster_id) over the passing pairs (ntype, class_id, i, j) of all classes.
+
+    Pairs of different classes have nothing to do with each other, so a group of classes is
+    covered like one.
+    """
+    pairs = cut(pairs)
+    key = ["ntype", "class_id"]
+    sizes = pairs.groupBy(*key).agg(F.count("*").alias("n"))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    total, most = total or 0, most or 0
+    few = pairs if most <= small else pairs.join(sizes.where(F.col("n") <= small), key, "left_semi")
+
+    def cover(group: pd.DataFrame) -> pd.DataFrame:
+        seeds = greedy(zip(group.i.tolist(), group.j.tolist(), strict=True))
+        return pd.DataFrame({"nid": list(seeds), "cluster_id": list(seeds.values())})
+
+    groups = F.pmod(F.xxhash64(*key), F.lit(max(1, total // USUAL)))
+    out = few.select(groups.alias("deal"), "i", "j").groupBy("deal").applyInPandas(cover, "nid long, cluster_id long")
+    if most <= small:
+        return out
+    return out.unionByName(cover_in_rounds(pairs.join(sizes.where(F.col("n") > small), key, "left_semi").select("i", "j")))
+
+
+def guarded_cover(part: DataFrame, terms: DataFrame | None, features: DataFrame | None, tau_term: float, tau_attr: float, measure: str = "cosine", *, small: int = SMALL) -> DataFrame:
     """(ntype, nid, cluster_id) of every node of a partition (ntype, nid, class_id).
 
     cluster_id is the cluster's seed, its least node. A channel that is None passes. At a term
@@ -102,17 +218,11 @@ def guarded_cover(part: DataFrame, terms: DataFrame | None, features: DataFrame
     if terms is None and features is None:
         return members.join(members.groupBy("ntype", "class_id").agg(F.min("nid").alias("cluster_id")), ["ntype", "class_id"]).select("ntype", "nid", "cluster_id")
     shared = members.groupBy("ntype", "class_id").agg(F.count("*").alias("n")).where("n > 1").select("ntype", "class_id")
-    pairs = passing_pairs(members.join(shared, ["ntype", "class_id"], "left_semi"), terms, features, tau_term, tau_attr, measure)
-    # ids are unique over types, so components need no other key
-    found = connected_components(pairs, "i", "j")
-    grouped = pairs.join(found.toDF("i", "component"), "i").select("component", "i", "j")
-
-    def cover(group: pd.DataFrame) -> pd.DataFrame:
-        seeds = greedy(zip(group.i.tolist(), group.j.tolist(), strict=True))
-        return pd.DataFrame({"nid": list(seeds), "cluster_id": list(seeds.values())})
-
-    seeds = grouped.groupBy("component").applyInPandas(cover, "nid long, cluster_id long")
-    return members.join(seeds, "nid", "left").select("ntype", "nid", F.coalesce("cluster_id", "nid").alias("cluster_id"))
+    points = cut(equal_points(members.join(shared, ["ntype", "class_id"], "left_semi"), terms, features, tau_term, tau_attr, measure))
+    pairs = passing_pairs(points.where("nid = point").select("ntype", "class_id", "nid"), terms, features, tau_term, tau_attr, measure)
+    seeds = cover_pairs(pairs, small)
+    ends = points.join(seeds.toDF("point", "seed"), "point", "left").select("nid", F.coalesce("seed", "point").alias("seed"))
+    return members.join(ends, "nid", "left").select("ntype", "nid", F.coalesce("seed", "nid").alias("cluster_id"))
 
 
 def identity(nodes: DataFrame) -> DataFrame:

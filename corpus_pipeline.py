@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hetweave.llm import decontaminate, mixing, quality, queries, simhash
+from hetweave.llm import decontaminate, mixing, quality, queries, similar
 from hetweave.llm.common import cut, table
 
 
@@ -17,8 +17,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """One document, that of the least id, of each group of near-duplicates.
+
+    Near duplicates share 0.8 of their five-word shingles. SimHash alone would not find them: at that
+    similarity 10 of 64 bits differ, far beyond a radius that masks can cover. So bands of MinHash
+    registers name candidates beside the covering masks, and the sets of shingles decide.
+    """
+    return similar.drop_similar(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

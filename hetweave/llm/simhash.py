@@ -112,7 +112,7 @@ def near_links(points: DataFrame, radius: int = 2, bucket: int = 64, column: str
 def _classes(docs: DataFrame, doc_id: str, text: str, words: int, radius: int) -> DataFrame:
     """(doc_id, simhash, row_hash, root, component_id) of each row; root names the component in any case."""
     prints, name = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words)
-    prints = cut(prints.select("doc_id", F.col(name).alias("simhash"), F.xxhash64("text").alias("row_hash")))
+    prints = cut(prints.select("doc_id", F.col(name).alias("simhash"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash")))
     points = cut(prints.groupBy("simhash").agg(F.min("doc_id").alias("rep")))
     found = connected_components(near_links(points, radius))
     joined = points.join(found, F.col("simhash") == F.col("node"), "left").select("simhash", "rep", F.coalesce("component", "simhash").alias("root"))
@@ -134,18 +134,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """One row for each component, that of its least id, with the columns of docs.
 
+    See keep_one() for which row stays.
+    """
+    return keep_one(docs, _classes(docs, doc_id, text, words, radius), doc_id, text)
+
+
+def keep_one(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay of their components: found has (doc_id, row_hash, root) of each.
+
     Which row stays is decided on ids and hashes: of a component the least id, null ids last,
     and of rows that share it the text of least hash; an id whose texts lie in several
     components may stay in each. Rows that repeat each other in id and text leave one. Texts
     move once: the join by id and hash and the choice among repeats share it.
     """
-    found = _classes(docs, doc_id, text, words, radius)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("kept")
     kept = cut(found.groupBy("root").agg(least).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.row_hash").alias("kept_hash")))
     # keys that are never null: one partitioning serves the join and the choice among repeats
     names = {x: free_name(docs, x) for x in ("id_key", "row_hash", "kept_key", "kept_hash")}
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     kept = kept.select(key("kept_id").alias(names["kept_key"]), F.col("kept_hash").alias(names["kept_hash"])).distinct()
-    own = docs.withColumns({names["id_key"]: key(doc_id), names["row_hash"]: F.xxhash64(text)})
+    own = docs.withColumns({names["id_key"]: key(doc_id), names["row_hash"]: F.xxhash64(F.coalesce(text, F.lit("")))})
     same = (F.col(names["id_key"]) == F.col(names["kept_key"])) & (F.col(names["row_hash"]) == F.col(names["kept_hash"]))
     return own.join(kept, same, "left_semi").dropDuplicates([names["id_key"], names["row_hash"]]).drop(names["id_key"], names["row_hash"])

@@ -44,6 +44,16 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike(x, y, least=0.8):
+    """Whether two sets of shingles have that Jaccard similarity; empty ones do."""
+    return len(x & y) >= least * len(x | y) if x or y else True
+
+
 def components(n, linked):
     root = list(range(n))
 

@@ -27,8 +27,8 @@ def test_stages(spark, docs, tmp_path):
             scored, score = quality.with_scores(now, queries.quality_model(spark, d, now))
             assert after == Counter((r.doc_id, r.text) for r in scored.where(F.col(score) >= 0.3).collect())
         if name == "near_duplicates":
-            prints = [brute.fingerprint(t) for _, t in before]
-            roots = brute.components(len(before), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)  # noqa: B023
+            sets = [brute.shingles(t) for _, t in before]
+            roots = brute.components(len(before), lambda a, b: brute.alike(sets[a], sets[b]))  # noqa: B023
             least = {r: min((before[k][0] for k in range(len(before)) if roots[k] == r and before[k][0] is not None), default=None) for r in set(roots)}
             assert Counter(i for i, _ in after.elements()) == Counter(least.values())
         if name == "decontamination":
@@ -60,8 +60,8 @@ def test_run_against_plain_versions(spark, docs, wide, tmp_path):
     whole = spark.read.parquet(f"{d}/documents.parquet")
     scored, score = quality.with_scores(whole, queries.quality_model(spark, d, whole))
     rows = [(r.doc_id, r.text, r.source) for r in scored.where(F.col(score) >= 0.3).collect()]
-    prints = [brute.fingerprint(t) for _, t, _ in rows]
-    roots = brute.components(len(rows), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    sets = [brute.shingles(t) for _, t, _ in rows]
+    roots = brute.components(len(rows), lambda a, b: brute.alike(sets[a], sets[b]))
     order = lambda k: (rows[k][0] is None, rows[k][0] or 0)
     kept = [rows[min((k for k in range(len(rows)) if roots[k] == r), key=order)] for r in sorted(set(roots))]
     clean = {w[0]: not w[-1] for w in brute.contamination([r[:2] for r in kept], [(1, text)])}

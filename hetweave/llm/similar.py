@@ -112,6 +112,8 @@ def _tiles(open_: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         a, b = tile[tile["first"]], tile[tile["second"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         x, y = (np.frombuffer(b"".join(t.sketch), np.uint16).reshape(len(t), -1) for t in (a, b))
         pa_, pb, ca, cb = a.p.to_numpy(), b.p.to_numpy(), a.c.to_numpy(), b.c.to_numpy()
         left, right = [], []

@@ -1,14 +1,17 @@
 """Documents whose sets of five-word shingles are alike, decided by the sets themselves.
 
-Candidates share a key: bands of MinHash registers, and the covering masks of SimHash. Neither
-keeps all pairs of a key. First each point of a key is held against the key's least point; where
-that links, a crowd of near copies is one component after as many comparisons as it has members.
-Then only pairs whose components still differ are compared: in small keys by a join, in large
-ones by tiles of two blocks, where sketches are compared in numpy and only pairs that may be
-alike come out. What comes out is decided exactly, by the Jaccard similarity of the two sets.
+Candidates share a key: bands of MinHash registers, and the covering masks of SimHash. Not all
+pairs of a key are drawn up. First each point is held against the likeliest of its keys' least
+points; where that links, a crowd of near copies is one component after as many comparisons as it
+has members. Then
+keys whose points are still apart are looked at in tiles, where sketches are compared in numpy:
+twice each point is held against the likeliest one outside its component, which joins what
+belongs together at the cost of a pair for each point. Only pairs that are apart even then are
+all drawn up. What is drawn up is decided exactly, by the Jaccard similarity of the two sets.
 
 Equal texts are one point, known by a 64-bit hash. With 21 bands of 6 registers a pair at a
-similarity of 0.8 is a candidate with a chance of 0.998, at 0.85 of 0.99998.
+similarity of 0.8 is a candidate with a chance of 0.998, at 0.85 of 0.99998; that its estimate
+lies SLACK below it has one of 0.0004.
 """
 
 from __future__ import annotations
@@ -28,12 +31,17 @@ from hetweave.llm.fingerprints import PIECE, Texts, least_hashes, permutations,
 BANDS, ROWS = 21, 6
 #: Keys of more points are compared in blocks of about so many.
 BLOCK = 256
-#: How far below the similarity an estimate may lie to be decided by the sets: over five deviations.
-SLACK = 0.2
+#: How far below the similarity an estimate may lie to be decided by the sets: over three deviations.
+SLACK = 0.12
+#: Points that one task compares, in keys of up to a block.
+DEALT = 20_000
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, p, simhash, sketch) of (doc_id, text): p names the text, sketch holds BANDS * ROWS registers."""
+    """(doc_id, p, simhash, sketch, marks) of (doc_id, text).
+
+    p names the text, sketch holds BANDS * ROWS registers of two bytes, marks the second of each.
+    """
     small_batches(docs.sparkSession)
     functions = permutations(BANDS * ROWS)
 
@@ -43,17 +51,20 @@ def sketches(docs: DataFrame) -> DataFrame:
             view = data.tobytes()
             prints = np.array([simhash.fingerprint(view[s:e], 5) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
             rows: list[bytes] = []
+            marks: list[bytes] = []
             at = 0
             while at < len(prints):
                 end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
                 texts = Texts(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
-                rows += [r.tobytes() for r in registers_of(least_hashes(*texts.runs(), end - at, functions))]
+                registers = registers_of(least_hashes(*texts.runs(), end - at, functions))
+                rows += [r.tobytes() for r in registers]
+                marks += [r.tobytes() for r in (registers & 255).astype(np.uint8)]
                 at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64)), pa.array(rows, pa.binary())], names=["doc_id", "p", "simhash", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64)), pa.array(rows, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "p", "simhash", "sketch", "marks"])
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("p"), F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, p long, simhash long, sketch binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, p long, simhash long, sketch binary, marks binary")
 
 
 def keyed(points: DataFrame, radius: int = 2) -> DataFrame:
@@ -101,31 +112,60 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return cut(joined.mapInArrow(run, "a long, b long, jaccard double"))
 
 
-def _tiles(open_: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of pairs of large keys (key, p, n, c) whose components c differ and whose sketches may be alike."""
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("p", "key"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second"), "p", "c")
-    rows = rows.join(points.select("p", "sketch"), "p")
+def _likeness(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, near) of the pairs (a, b) that may be alike by their sketches."""
+    marks = points.select("p", "marks")
+    joined = pairs.join(marks.toDF("a", "ma"), "a").join(marks.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
     least = similarity - SLACK
 
-    def compare(tile: pd.DataFrame) -> pd.DataFrame:
-        a, b = tile[tile["first"]], tile[tile["second"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        x, y = (np.frombuffer(b"".join(t.sketch), np.uint16).reshape(len(t), -1) for t in (a, b))
-        pa_, pb, ca, cb = a.p.to_numpy(), b.p.to_numpy(), a.c.to_numpy(), b.c.to_numpy()
-        left, right = [], []
-        for k in range(len(a)):
-            near = np.flatnonzero((ca[k] != cb) & (pa_[k] != pb))
-            near = near[(x[k] == y[near]).mean(axis=1) >= least] if len(near) else near
-            left.append(np.full(len(near), pa_[k]))
-            right.append(pb[near])
-        l, r = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        return pd.DataFrame({"a": np.minimum(l, r), "b": np.maximum(l, r)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            near = (x == y).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["a", "b", "near"]).filter(pa.array(near >= least))
+
+    return joined.mapInArrow(run, "a long, b long, near double")
+
+
+def _candidates(open_: DataFrame, points: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """(a, b, near) of pairs within keys (key, p, n, c) whose components c differ and whose sketches may be alike.
+
+    With best, of each point and task only the likeliest pair. A key of more points than a block
+    is cut into blocks, and each two of them meet in a task; smaller keys share tasks.
+    """
+    deals = max(1, open_.count() // DEALT)
+    rows = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("p", "key"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    deal = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(deals))).otherwise(F.xxhash64("key", low, high))
+    rows = rows.select(deal.alias("deal"), (F.col("blocks") == 1).alias("shared"), "key", (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second"), "p", "c")
+    rows = rows.join(points.select("p", "marks"), "p")
+    least = similarity - SLACK
 
-    return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long")
+    def compare(dealt: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros((0, 3))]
+        for _, tile in dealt.groupby("key", sort=False):
+            a, b = (tile[tile[side].to_numpy()] for side in ("first", "second"))
+            if not len(a) or not len(b):
+                continue
+            x, y = (np.frombuffer(b"".join(t.marks), np.uint8).reshape(len(t), -1) for t in (a, b))
+            ia, ib = a.index.to_numpy(), b.index.to_numpy()
+            pb, cb = b.p.to_numpy(), b.c.to_numpy()
+            for k, (p, c) in enumerate(zip(a.p.to_numpy(), a.c.to_numpy(), strict=True)):
+                other = np.flatnonzero(cb != c)
+                near = (x[k] == y[other]).mean(axis=1) if len(other) else np.zeros(0)
+                keep = near >= least
+                if best and keep.any():
+                    keep = np.arange(len(near)) == near.argmax()
+                found.append(np.column_stack([np.full(keep.sum(), ia[k]), ib[other[keep]], near[keep]]))
+        every = np.concatenate(found)
+        p = dealt.p
+        left, right = (p.loc[every[:, k].astype(np.int64)].to_numpy() if len(every) else np.zeros(0, np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right), "near": every[:, 2]})
+
+    return rows.groupBy("deal", "shared").applyInPandas(compare, "a long, b long, near double")
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -133,22 +173,26 @@ def similar_links(docs: DataFrame, prints: DataFrame, similarity: float = 0.8) -
 
     docs has (doc_id, text), prints is sketches(docs), written.
     """
-    points = cut(prints.dropDuplicates(["p"]).select("p", "simhash", "sketch"))
+    whole = prints.dropDuplicates(["p"])
+    points = cut(whole.select("p", "marks"))
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("p"), F.coalesce("text", F.lit("")).alias("text"))
-    keys = keyed(points)
+    keys = keyed(whole)
     first = keys.groupBy("key").agg(F.min("p").alias("a"))
-    stars = keys.join(first, "key").where("p <> a").select("a", F.col("p").alias("b")).distinct()
-    links = verified(stars, texts, similarity).select("a", "b")
-    found = connected_components(links).toDF("p", "c")
-    named = keys.join(found, "p", "left").select("key", "p", "n", F.coalesce("c", "p").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    open_ = cut(named.join(mixed, "key", "left_semi"))
-    few = open_.where(F.col("n") <= BLOCK // 4)
-    right = few.select("key", F.col("p").alias("b"), F.col("c").alias("cb"))
-    pairs = few.select("key", F.col("p").alias("a"), "c").join(right, "key").where("a < b and c <> cb").select("a", "b")
-    pairs = pairs.unionAll(_tiles(open_.where(F.col("n") > BLOCK // 4), points, similarity)).distinct()
-    told = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return links.unionAll(verified(pairs.join(told, ["a", "b"], "left_anti"), texts, similarity).select("a", "b"))
+    stars = _likeness(keys.join(first, "key").where("p <> a").select("a", F.col("p").alias("b")).distinct(), points, similarity)
+    tried = cut(stars.groupBy("b").agg(F.max(F.struct("near", "a")).alias("m")).select("m.a", "b"))
+    links = verified(tried, texts, similarity).select("a", "b")
+    for best in (True, True, False):
+        named = keys.join(connected_components(links).toDF("p", "c"), "p", "left").select("key", "p", "n", F.coalesce("c", "p").alias("c"))
+        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+        open_ = cut(named.join(mixed, "key", "left_semi"))
+        pairs = _candidates(open_, points, similarity, best)
+        if best:  # of each point the likeliest of what its tasks found
+            ends = pairs.select(F.col("a").alias("p"), "near", "a", "b").unionAll(pairs.select(F.col("b").alias("p"), "near", "a", "b"))
+            pairs = ends.groupBy("p").agg(F.max(F.struct("near", "a", "b")).alias("m")).select("m.a", "m.b")
+        new = cut(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionAll(new)
+        links = links.unionAll(verified(new, texts, similarity).select("a", "b"))
+    return links
 
 
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:

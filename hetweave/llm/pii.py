@@ -1,8 +1,9 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
 Base patterns find e-mail and IP addresses, card and phone numbers. Wider patterns propose more
-spans: numbers that fail a check, phone numbers without a country code, obfuscated addresses,
-secrets after a telling word. Labelers (the strict pattern, gazetteers of domains, card issuers
+spans: phone numbers without a country code, obfuscated addresses, secrets after a telling word.
+A base match that fails its test is proof of the contrary: it is never proposed, and where the
+label model meets it, its chance is 0. Labelers (the strict pattern, gazetteers of domains, card issuers
 and country codes, the words before, the characters around, the span's form) vote on every
 span, or abstain. Expectation-maximisation over the vote patterns estimates how often each
 labeler is right, and so the chance that a span with given votes is personal data. A logistic
@@ -164,10 +165,11 @@ def _votes(kind: str, value: Column, ok: Column, before: Column, around: Column)
 
 
 def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, spans) of each row, a span being (k, start, end, base, votes); k indexes KINDS.
+    """(doc_id, spans) of each row, a span being (k, start, end, base, proposed, votes); k indexes KINDS.
 
     Places count code points, ends excluded. base marks matches of the base patterns that pass
-    their test; the others are proposals. A null text is empty.
+    their test, proposed those of the wider patterns; what is neither has failed a test and only
+    shows the label model how the other labelers vote on such spans. A null text is empty.
     """
     t = F.col("t")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -182,7 +184,7 @@ def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
         def one(s: Column) -> Column:
             ok = valid(kind, s["value"]) if is_base else F.lit(False)
             votes = F.array(*_votes(kind, s["value"], ok, s["before"], s["around"]))
-            return F.struct(F.lit(KINDS.index(kind)).alias("k"), s["start"].alias("start"), s["end"].alias("end"), ok.alias("base"), votes.alias("votes"))
+            return F.struct(F.lit(KINDS.index(kind)).alias("k"), s["start"].alias("start"), s["end"].alias("end"), ok.alias("base"), F.lit(not is_base).alias("proposed"), votes.alias("votes"))
 
         return F.transform(column, one)
 
@@ -195,7 +197,8 @@ def label_model(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 50
 
     A labeler has, for each kind, a rate of each vote in each class; rates start from labelers
     that are right eight times in ten and never reach 0 or 1. Ten imagined spans of each class
-    and kind keep rare kinds near that start.
+    and kind keep rare kinds near that start. A span that the strict labeler denies (a checksum
+    that is wrong) is none, however the others vote, and so tells how often they err.
     """
     chance: dict[tuple[int, tuple[int, ...]], float] = {}
     for k in sorted({k for k, _ in counts}):
@@ -208,7 +211,7 @@ def label_model(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 50
             for votes, _ in rows:
                 yes = math.log(share) + sum(math.log(rate[j, True, v]) for j, v in enumerate(votes))
                 no = math.log(1 - share) + sum(math.log(rate[j, False, v]) for j, v in enumerate(votes))
-                now[votes] = 1 / (1 + math.exp(max(-60.0, min(60.0, no - yes))))
+                now[votes] = 0.0 if votes[0] < 0 else 1 / (1 + math.exp(max(-60.0, min(60.0, no - yes))))
             mass = {c: sum(n * (now[votes] if c else 1 - now[votes]) for votes, n in rows) for c in (False, True)}
             share = (mass[True] + 10) / (mass[True] + mass[False] + 20)
             rate = {(j, c, v): (sum(n * (now[votes] if c else 1 - now[votes]) for votes, n in rows if votes[j] == v) + 10 * p) / (mass[c] + 10) for (j, c, v), p in prior.items()}
@@ -285,7 +288,7 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lea
     weights = train_classifier(counts, label_model(counts))
     place = lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"))
     base = F.array_sort(F.transform(F.filter("spans", lambda s: s["base"]), place))
-    more = F.transform(F.filter("spans", lambda s: ~s["base"] & (classifier_score(s, weights) >= least)), place)
+    more = F.transform(F.filter("spans", lambda s: s["proposed"] & (classifier_score(s, weights) >= least)), place)
     both = F.struct(base.alias("base"), more.alias("more"))
     out = _let(both, lambda x: F.struct(F.array_sort(F.concat(x["base"], _apart(x["base"], x["more"]))).alias("spans"), x["base"].alias("base")))
     return found.select("doc_id", out.alias("out")).select("doc_id", "out.spans", "out.base")

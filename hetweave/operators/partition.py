@@ -17,14 +17,21 @@ def entity_partition(nodes: DataFrame, links: DataFrame) -> DataFrame:
     neighbours already determine their classes. class_id is the class's least node. Weights and
     repeated links don't count; nodes without links of a type agree on its empty set.
 
-    Neighbour sets are compared by a 256-bit hash of the sorted ids of each link type; the
-    sets are gathered one node at a time.
+    Neighbour sets are compared by their size and two 64-bit hashes that don't depend on order,
+    so a hub's neighbours are hashed where they are read and never gathered.
     """
-    sets = links.select("ltype", "src", "dst").distinct().groupBy("src", "ltype").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("dst"))), 256).alias("h"))
-    signature = sets.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("ltype", "h"))).alias("sig"))
-    marked = nodes.select("ntype", "nid").join(signature.withColumnRenamed("src", "nid"), "nid", "left").withColumn("sig", F.sha2(F.coalesce(F.to_json("sig"), F.lit("")), 256))
-    least = marked.groupBy("ntype", "sig").agg(F.min("nid").alias("class_id"))
-    return marked.join(least, ["ntype", "sig"]).select("ntype", "nid", "class_id")
+    signature = set_marks(links.select("ltype", "src", "dst").distinct(), "src", "ltype", "dst")
+    marked = nodes.select("ntype", "nid").join(signature.withColumnRenamed("src", "nid"), "nid", "left").na.fill(0, list(MARKS))
+    least = marked.groupBy("ntype", *MARKS).agg(F.min("nid").alias("class_id"))
+    return marked.join(least, ["ntype", *MARKS]).select("ntype", "nid", "class_id")
+
+
+MARKS = ("set_size", "set_hash", "set_mark")
+
+
+def set_marks(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """(by, set_size, set_hash, set_mark) of the distinct rows of each key: equal for equal sets of the columns."""
+    return rows.groupBy(by).agg(F.count("*").alias(MARKS[0]), F.bit_xor(F.xxhash64(*columns)).alias(MARKS[1]), F.bit_xor(F.xxhash64(F.lit("mark"), *reversed(columns))).alias(MARKS[2]))
 
 
 def counted_partition(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int]]]:
@@ -53,10 +60,10 @@ def refine(part: DataFrame, pairs: DataFrame) -> DataFrame:
     """One round: split classes by their members' counts of neighbours in each class."""
     ends = pairs.join(part.select(F.col("nid").alias("dst"), F.col("class_id").alias("there"), F.col("ntype").alias("t")), "dst")
     counts = ends.groupBy("src", "ltype", "t", "there").agg(F.count("*").alias("n"))
-    seen = counts.groupBy("src").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("ltype", "t", "there", "n")))), 256).alias("sig"))
-    marked = part.join(seen.withColumnRenamed("src", "nid"), "nid", "left").na.fill("", ["sig"])
-    least = marked.groupBy("ntype", "class_id", "sig").agg(F.min("nid").alias("least"))
-    return cut(marked.join(least, ["ntype", "class_id", "sig"]).select("ntype", "nid", F.col("least").alias("class_id")))
+    seen = set_marks(counts, "src", "ltype", "t", "there", "n")
+    marked = part.join(seen.withColumnRenamed("src", "nid"), "nid", "left").na.fill(0, list(MARKS))
+    least = marked.groupBy("ntype", "class_id", *MARKS).agg(F.min("nid").alias("least"))
+    return cut(marked.join(least, ["ntype", "class_id", *MARKS]).select("ntype", "nid", F.col("least").alias("class_id")))
 
 
 def partition_summary(part: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ lies SLACK below it has one of 0.0004.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -97,40 +97,52 @@ def jaccard(a: bytes, b: bytes) -> float:
     return common / (len(x) + len(y) - common)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs of points that are alike. Only texts of points in pairs move."""
-    pairs = cut(pairs)
-    needed = pairs.select(F.col("a").alias("p")).unionAll(pairs.select(F.col("b").alias("p"))).distinct()
-    sets = shingle_sets(texts.join(needed, "p", "left_semi").dropDuplicates(["p"]))
-    joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+def _in_tiles(pairs: DataFrame, values: DataFrame, measure: Callable[[bytes, bytes], float], least: float) -> DataFrame:
+    """(tile, a, b, measured) of the pairs (tile, a, b) with a measure of at least `least`.
+
+    values is (p, value), one row a point. A value is sent once to each tile that needs it, however
+    many pairs it is in there; a tile's values are read before its pairs, and a task holds those of
+    one tile at a time. Tiles are made of two blocks at most, so neither side has a hot key.
+    """
+    ends = pairs.select("tile", F.col("a").alias("p")).unionAll(pairs.select("tile", F.col("b").alias("p"))).distinct()
+    sent = ends.join(values, "p").select("tile", F.lit(0).alias("late"), F.col("p").alias("a"), F.lit(None).cast("long").alias("b"), "value")
+    asked = pairs.select("tile", F.lit(1).alias("late"), "a", "b", F.lit(None).cast("binary").alias("value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, {}
         for batch in batches:
-            got = np.array([jaccard(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got)], names=["a", "b", "jaccard"]).filter(pa.array(got >= similarity))
+            found: list[tuple[int, int, int, float]] = []
+            for t, a, b, value in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                if t != tile:
+                    tile, held = t, {}
+                if b is None:
+                    held[a] = value
+                elif (got := measure(held[a], held[b])) >= least:
+                    found.append((t, a, b, got))
+            columns = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["tile", "a", "b", "measured"])
 
-    return cut(joined.mapInArrow(run, "a long, b long, jaccard double"))
+    rows = sent.unionAll(asked).repartition("tile").sortWithinPartitions("tile", "late")
+    return rows.mapInArrow(run, "tile long, a long, b long, measured double")
 
 
-def _likeness(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, near) of the pairs (a, b) that may be alike by their sketches."""
-    marks = points.select("p", "marks")
-    joined = pairs.join(marks.toDF("a", "ma"), "a").join(marks.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
-    least = similarity - SLACK
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs of points (tile, a, b) that are alike. Only texts of points in pairs move.
+
+    pairs are read three times, so they come written.
+    """
+    needed = pairs.select(F.col("a").alias("p")).unionAll(pairs.select(F.col("b").alias("p"))).distinct()
+    sets = shingle_sets(texts.join(needed, "p", "left_semi").dropDuplicates(["p"]))
+    return cut(_in_tiles(pairs, sets.toDF("p", "value"), jaccard, similarity).select("a", "b", F.col("measured").alias("jaccard")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            near = (x == y).mean(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["a", "b", "near"]).filter(pa.array(near >= least))
 
-    return joined.mapInArrow(run, "a long, b long, near double")
+def _agreeing(a: bytes, b: bytes) -> float:
+    """Share of equal bytes of two sketches of the same length."""
+    return float((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean())
 
 
 def _candidates(open_: DataFrame, points: DataFrame, similarity: float, best: bool) -> DataFrame:
-    """(a, b, near) of pairs within keys (key, p, n, c) whose components c differ and whose sketches may be alike.
+    """(tile, a, b, near) of pairs within keys (key, p, n, c) whose components c differ and whose sketches may be alike.
 
     With best, of each point and task only the likeliest pair. A key of more points than a block
     is cut into blocks, and each two of them meet in a task; smaller keys share tasks.
@@ -138,15 +150,15 @@ def _candidates(open_: DataFrame, points: DataFrame, similarity: float, best: bo
     deals = max(1, open_.count() // DEALT)
     rows = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("p", "key"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    deal = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(deals))).otherwise(F.xxhash64("key", low, high))
-    rows = rows.select(deal.alias("deal"), (F.col("blocks") == 1).alias("shared"), "key", (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second"), "p", "c")
+    tile = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    deal = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(deals))).otherwise(tile)
+    rows = rows.select(deal.alias("deal"), (F.col("blocks") == 1).alias("shared"), tile.alias("tile"), (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second"), "p", "c")
     rows = rows.join(points.select("p", "marks"), "p")
     least = similarity - SLACK
 
     def compare(dealt: pd.DataFrame) -> pd.DataFrame:
-        found = [np.zeros((0, 3))]
-        for _, tile in dealt.groupby("key", sort=False):
+        found, tiles = [np.zeros((0, 3))], [np.zeros(0, np.int64)]
+        for name, tile in dealt.groupby("tile", sort=False):
             a, b = (tile[tile[side].to_numpy()] for side in ("first", "second"))
             if not len(a) or not len(b):
                 continue
@@ -160,12 +172,13 @@ def _candidates(open_: DataFrame, points: DataFrame, similarity: float, best: bo
                 if best and keep.any():
                     keep = np.arange(len(near)) == near.argmax()
                 found.append(np.column_stack([np.full(keep.sum(), ia[k]), ib[other[keep]], near[keep]]))
+                tiles.append(np.full(keep.sum(), name, np.int64))
         every = np.concatenate(found)
         p = dealt.p
         left, right = (p.loc[every[:, k].astype(np.int64)].to_numpy() if len(every) else np.zeros(0, np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right), "near": every[:, 2]})
+        return pd.DataFrame({"tile": np.concatenate(tiles), "a": np.minimum(left, right), "b": np.maximum(left, right), "near": every[:, 2]})
 
-    return rows.groupBy("deal", "shared").applyInPandas(compare, "a long, b long, near double")
+    return rows.groupBy("deal", "shared").applyInPandas(compare, "tile long, a long, b long, near double")
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -178,8 +191,11 @@ def similar_links(docs: DataFrame, prints: DataFrame, similarity: float = 0.8) -
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("p"), F.coalesce("text", F.lit("")).alias("text"))
     keys = keyed(whole)
     first = keys.groupBy("key").agg(F.min("p").alias("a"))
-    stars = _likeness(keys.join(first, "key").where("p <> a").select("a", F.col("p").alias("b")).distinct(), points, similarity)
-    tried = cut(stars.groupBy("b").agg(F.max(F.struct("near", "a")).alias("m")).select("m.a", "b"))
+    # a star's points are dealt into blocks like any key's; a pair that several keys have is asked once
+    block = F.pmod(F.xxhash64("p"), F.ceil(F.col("n") / BLOCK))
+    stars = keys.join(first, "key").where("p <> a").select(F.xxhash64("a", block).alias("tile"), "a", F.col("p").alias("b"))
+    stars = _in_tiles(stars.groupBy("a", "b").agg(F.min("tile").alias("tile")), points.toDF("p", "value"), _agreeing, similarity - SLACK)
+    tried = cut(stars.groupBy("b").agg(F.max(F.struct("measured", "a", "tile")).alias("m")).select("m.tile", "m.a", "b"))
     links = verified(tried, texts, similarity).select("a", "b")
     for best in (True, True, False):
         named = keys.join(connected_components(links).toDF("p", "c"), "p", "left").select("key", "p", "n", F.coalesce("c", "p").alias("c"))
@@ -187,9 +203,10 @@ def similar_links(docs: DataFrame, prints: DataFrame, similarity: float = 0.8) -
         open_ = cut(named.join(mixed, "key", "left_semi"))
         pairs = _candidates(open_, points, similarity, best)
         if best:  # of each point the likeliest of what its tasks found
-            ends = pairs.select(F.col("a").alias("p"), "near", "a", "b").unionAll(pairs.select(F.col("b").alias("p"), "near", "a", "b"))
-            pairs = ends.groupBy("p").agg(F.max(F.struct("near", "a", "b")).alias("m")).select("m.a", "m.b")
-        new = cut(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+            ends = pairs.withColumn("p", F.explode(F.array("a", "b")))
+            pairs = ends.groupBy("p").agg(F.max(F.struct("near", "a", "b", "tile")).alias("m")).select("m.tile", "m.a", "m.b")
+        new = pairs.groupBy("a", "b").agg(F.min("tile").alias("tile")).join(tried, ["a", "b"], "left_anti")
+        new = cut(new.select("tile", "a", "b"))
         tried = tried.unionAll(new)
         links = links.unionAll(verified(new, texts, similarity).select("a", "b"))
     return links

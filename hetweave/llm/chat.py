@@ -8,8 +8,11 @@ turn, 2 after a user turn, 3 after an assistant turn.
 
 The programme is a chain of 4 x 4 cost matrices in the (min, +) algebra, which is associative:
 a conversation is cut into chunks of turns, each chunk yields its matrix, the chunks' matrices
-are chained, and each chunk then traces its own way between known states. No task holds a
-conversation, however long. The chain of chunks is itself short: one row for CHUNK turns.
+are chained into the costs of the states before each chunk. Under those each chunk traces back
+from every state it may end in to the one it then starts from; these maps are chained from the
+end, and each chunk goes the one way that is left. So among equally cheap ways the same is taken
+wherever chunks begin. No task holds a conversation, however long. The chain of chunks is itself
+short: one row for CHUNK turns.
 """
 
 from __future__ import annotations
@@ -62,6 +65,8 @@ def _ways(a: int) -> list[tuple[tuple[int, ...], int]]:
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
+#: Costs of the states before the first turn.
+_START = np.array([0] + [_INFINITE] * (STATES - 1), np.int64)
 #: Cost to end in each state: after a user turn an empty assistant turn follows.
 _END = np.array([0, 2 * INSERT, INSERT, 0], np.int64)
 _END_WAYS: tuple[tuple[int, ...], ...] = ((), (2, 3), (3,), ())
@@ -75,28 +80,42 @@ def chunk_matrix(roles: list[int]) -> np.ndarray:
     return np.minimum(total, _INFINITE)
 
 
-def trace(roles: list[int], start: int, end: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The cheapest way from start to end: the state after each turn, and what it did."""
-    costs = [np.where(np.arange(STATES) == start, 0, _INFINITE)]
+def forward(roles: list[int], costs: np.ndarray) -> list[np.ndarray]:
+    """Costs of the states before the first turn, as given, and after each turn."""
+    out = [costs]
     for r in roles:
-        costs.append((costs[-1][:, None] + _steps(r)[0]).min(axis=0))
+        out.append(np.minimum((out[-1][:, None] + _steps(r)[0]).min(axis=0), _INFINITE))
+    return out
+
+
+def starts(roles: list[int], costs: np.ndarray) -> list[int]:
+    """For each state after the turns, the state before them on the cheapest way; the lowest of equals at each turn."""
+    back = np.arange(STATES)
+    for r, cost in zip(roles[::-1], forward(roles, costs)[-2::-1], strict=True):
+        back = (cost[:, None] + _steps(r)[0]).argmin(axis=0)[back]
+    return back.tolist()
+
+
+def trace(roles: list[int], before: np.ndarray, end: int) -> tuple[int, list[tuple[int, tuple[int, ...]]]]:
+    """The cheapest way to end under the costs before: the state it starts from, then the state after each turn and what it did."""
+    costs = forward(roles, before)
     out, state = [], end
     for k in range(len(roles) - 1, -1, -1):
         cost, how = _steps(roles[k])
-        before = int((costs[k] + cost[:, state]).argmin())
-        out.append((state, how[before][state]))
-        state = before
-    return out[::-1]
+        last = int((costs[k] + cost[:, state]).argmin())
+        out.append((state, how[last][state]))
+        state = last
+    return state, out[::-1]
 
 
-def _actions(roles: list[int], start: int, end: int, last: bool) -> list[tuple[int, int, str, str, str]]:
+def _actions(roles: list[int], before: np.ndarray, end: int, last: bool) -> list[tuple[int, int, str, str, str]]:
     """(k, sub, action, role, opening) of each given turn and each empty one put in.
 
     opening is what comes before the turn's text; the very last row of a conversation also gets
     a close, which the caller adds.
     """
-    rows, state = [], start
-    for k, (after, did) in enumerate(trace(roles, start, end)):
+    rows, (state, way) = [], trace(roles, before, end)
+    for k, (after, did) in enumerate(way):
         right = after == roles[k]
         if did == (-1,):
             rows.append((k, 0, "merge" if right else "relabel_merge", _ROLE_OF_STATE[after], "\n\n"))
@@ -163,36 +182,48 @@ def repair_roles(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
             for roles in b.roles:
                 roles = list(roles)
                 end = int((chunk_matrix(roles)[0] + _END).argmin())
-                plans.append(_actions(roles, 0, end, True))
+                plans.append(_actions(roles, _START, end, True))
             yield b[["c", "no_c", "span", "part"]].assign(is_last=True, plan=plans)
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b[["c", "no_c", "span", "part"]].assign(m=[chunk_matrix(list(r)).reshape(-1).tolist() for r in b.roles])
 
+    def reached(group: pd.DataFrame) -> pd.DataFrame:
+        """Costs of the states before each chunk of one conversation, and after its last."""
+        group = group.sort_values(["span", "part"])
+        costs = [_START]
+        for m in group.m:
+            costs.append(np.minimum((costs[-1][:, None] + np.array(m).reshape(STATES, STATES)).min(axis=0), _INFINITE))
+        costs = [c.tolist() for c in costs]
+        return group[["c", "no_c", "span", "part"]].assign(before=costs[:-1], after=costs[1:])
+
+    def backward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            maps = [starts(list(r.roles), np.array(r.before)) for r in b.itertuples()]
+            yield b[["c", "no_c", "span", "part", "before", "after"]].assign(back=maps)
+
     def ends(group: pd.DataFrame) -> pd.DataFrame:
-        """Start and end state of each chunk of one conversation: costs forward, choices back."""
+        """The state after each chunk of one conversation: the cheapest last one, then the maps from the end on."""
         group = group.sort_values(["span", "part"])
-        ms = [np.array(m).reshape(STATES, STATES) for m in group.m]
-        costs = [np.array([0] + [_INFINITE] * (STATES - 1))]
-        for m in ms:
-            costs.append(np.minimum((costs[-1][:, None] + m).min(axis=0), _INFINITE))
-        states = [int((costs[-1] + _END).argmin())]
-        for cost, m in zip(costs[-2::-1], ms[::-1], strict=True):
-            states.append(int((cost + m[:, states[-1]]).argmin()))
-        states = states[::-1]
-        return group[["c", "no_c", "span", "part"]].assign(start=states[:-1], end=states[1:], is_last=[*[False] * (len(ms) - 1), True])
+        states = [int((np.array(group.after.iloc[-1]) + _END).argmin())]
+        for back in group.back.tolist()[:0:-1]:
+            states.append(int(back[states[-1]]))
+        return group[["c", "no_c", "span", "part", "before"]].assign(end=states[::-1], is_last=[*[False] * (len(group) - 1), True])
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            plans = [_actions(list(r.roles), r.start, r.end, r.is_last) for r in b.itertuples()]
+            plans = [_actions(list(r.roles), np.array(r.before), r.end, r.is_last) for r in b.itertuples()]
             yield b[["c", "no_c", "span", "part", "is_last"]].assign(plan=plans)
 
     kind = "c string, no_c boolean, span long, part long"
     short = chunks.where("parts = 1").drop("parts").mapInPandas(alone, f"{kind}, is_last boolean, plan {_PLAN}")
     many = chunks.where("parts > 1").drop("parts")
-    between = many.mapInPandas(matrices, f"{kind}, m array<long>").groupBy("c", "no_c").applyInPandas(ends, f"{kind}, start int, end int, is_last boolean")
-    long_ = many.join(between, ["c", "no_c", "span", "part"]).mapInPandas(traced, f"{kind}, is_last boolean, plan {_PLAN}")
+    at = ["c", "no_c", "span", "part"]
+    costs = many.mapInPandas(matrices, f"{kind}, m array<long>").groupBy("c", "no_c").applyInPandas(reached, f"{kind}, before array<long>, after array<long>")
+    maps = many.join(costs, at).mapInPandas(backward, f"{kind}, before array<long>, after array<long>, back array<int>")
+    between = maps.groupBy("c", "no_c").applyInPandas(ends, f"{kind}, before array<long>, end int, is_last boolean")
+    long_ = many.join(between, at).mapInPandas(traced, f"{kind}, is_last boolean, plan {_PLAN}")
     steps = short.unionByName(long_).select("c", "no_c", "span", "part", "is_last", F.size("plan").alias("n"), F.posexplode("plan").alias("j", "p"))
     steps = steps.select("c", "no_c", "span", (F.col("part") * chunk + F.col("p.k")).cast("int").alias("k"), "p.sub", "p.action", "p.role", "p.opening", (F.col("is_last") & (F.col("j") == F.col("n") - 1)).alias("is_last"))
     # the numbering above, once more, now with the texts

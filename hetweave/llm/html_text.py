@@ -110,10 +110,17 @@ def parse(page: str) -> list[Node]:
 
     Inline elements belong to the block around them; a line break is white space. A block that
     stands between two pieces of its parent's text makes them two runs. Unclosed and stray tags
-    are taken as browsers do for the common cases: paragraphs, list items, cells, ends.
+    are taken as browsers do for the common cases: paragraphs, list items, cells, ends. Where the
+    open elements of each tag stand is kept, so no tag walks over the others and broken nesting of
+    any depth is read in one pass.
     """
     nodes, stack, links, at, runs = [Node("html", -1)], [0], 0, 0, 0
     buffer: list[str] = []
+    places: dict[str, list[int]] = {"html": [0]}  # where on the stack each tag stands, from the root on
+
+    def last(tags: Iterable[str]) -> int:
+        """Where the innermost open element of these tags stands; 0 if none but the root does."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def flush() -> None:
         nonlocal runs
@@ -127,6 +134,8 @@ def parse(page: str) -> list[Node]:
     def close(k: int) -> None:
         nonlocal links
         flush()
+        for s in stack[k:]:
+            places[nodes[s].tag].pop()
         del stack[k:]
         links = 0
 
@@ -156,10 +165,8 @@ def parse(page: str) -> list[Node]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK and tag not in ("html", "body"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        close(k)
-                        break
+                if k := last((tag,)):
+                    close(k)
                 else:
                     flush()
             elif tag == "br":
@@ -182,14 +189,10 @@ def parse(page: str) -> list[Node]:
             close(len(stack) - 1)
         if tag in _CLOSES:
             ends, holders = _CLOSES[tag]
-            low = len(stack)
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in holders:
-                    break
-                if nodes[stack[k]].tag in ends:
-                    low = k
-            if low < len(stack):
-                close(low)
+            holder = last(holders)
+            open_ = [p[k] for p in (places.get(t, []) for t in ends) if (k := bisect_right(p, holder)) < len(p)]
+            if open_:
+                close(min(open_))
         if tag[0] == "h" and len(tag) == 2 and tag[1].isdigit() and nodes[stack[-1]].tag[0] == "h" and nodes[stack[-1]].tag[1:].isdigit():
             close(len(stack) - 1)
         flush()
@@ -197,7 +200,7 @@ def parse(page: str) -> list[Node]:
         if len(stack) > 1 and tag not in _IN_HEAD and nodes[stack[1]].tag == "head":
             close(1)
         if tag in ("html", "body"):
-            if any(nodes[s].tag == tag for s in stack):
+            if places.get(tag):
                 continue
         node = Node(tag, stack[-1])
         if "=" in inside:
@@ -215,11 +218,8 @@ def parse(page: str) -> list[Node]:
         if "hidden" in inside.lower() and re.search(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", _QUOTED.sub("''", inside), re.I):
             node.hidden = True
         nodes.append(node)
-        if tag not in VOID and not inside.endswith("/"):
-            stack.append(len(nodes) - 1)
-        elif tag in VOID:
-            continue
-        else:
+        if tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(len(nodes) - 1)
     flush()
     return nodes

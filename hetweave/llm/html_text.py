@@ -103,6 +103,13 @@ class Node:
     size: int = 0
     linked: int = 0
     label: int | None = None
+    #: A header of an article, not of the page.
+    own: bool = False
+
+    @property
+    def family(self) -> str:
+        family = _FAMILY.get(self.tag, "other")
+        return f"own {family}" if self.own else family
 
 
 def parse(page: str) -> list[Node]:
@@ -218,6 +225,8 @@ def parse(page: str) -> list[Node]:
         if "hidden" in inside.lower() and re.search(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", _QUOTED.sub("''", inside), re.I):
             node.hidden = True
         nodes.append(node)
+        if tag == "header":  # the nearest of these that is open says whose it is
+            node.own = last(("article",)) > last(("nav", "aside", "footer", "form"))
         if tag not in VOID:
             places.setdefault(tag, []).append(len(stack))
             stack.append(len(nodes) - 1)
@@ -227,7 +236,7 @@ def parse(page: str) -> list[Node]:
 
 def _kind(node: Node) -> str:
     """What potentials tell apart: the tag's family, for plain holders also what their names tell."""
-    family = _FAMILY.get(node.tag, "other")
+    family = node.family
     return f"{family} {' '.join(node.tells)}" if family in ("div", "section") else family
 
 
@@ -260,7 +269,7 @@ def _features(nodes: list[Node]) -> list[tuple[str, ...]]:
     over: list[tuple[str, ...]] = []  # what the last heading before or around a node tells
     latest: list[tuple[str, ...] | None] = [None] * n
     for k, node in enumerate(nodes):
-        family = _FAMILY.get(node.tag, "other")
+        family = node.family
         p = node.parent
         around = within[p] if p >= 0 else ()
         told = node.tells or ((family,) if family in _FRAMES else ())
@@ -284,7 +293,7 @@ def _features(nodes: list[Node]) -> list[tuple[str, ...]]:
             f"sum {_bucket(size[k], 1, 60, 250, 1000)} {_bucket(stops[k], 1, 4, 12)}",
             f"holder {_bucket(parent / whole, 0.1, 0.3, 0.6)} {_bucket(linked[p] / max(parent, 1) if p >= 0 else 0, 0.1, 0.4, 0.8)} {_bucket(stops[p] if p >= 0 else 0, 1, 4, 12)}",
             f"place {_bucket(before / whole, 0.02, 0.2, 0.8, 0.98)} {int(size[k] >= 200)}",
-            f"under {_FAMILY.get(nodes[p].tag, 'other') if p >= 0 else ''}",
+            f"under {nodes[p].family if p >= 0 else ''}",
         ]
         found += [f"tells {x}" for x in told or ("nothing",)] + [f"within {x}" for x in around or ("nothing",)] + [f"headed {x}" for x in heading or ("nothing",)]
         if text:
@@ -446,6 +455,9 @@ def labelled_pages(n: int = 1200, seed: int = 11) -> list[list[Node]]:
     def wrapped(body: str) -> str:
         style = rng.random()
         if style < 0.3:
+            if rng.random() < 0.3:  # an article's own header holds its title, and what else stands before its text
+                top, rest = f"<h1>{MARK}{phrase(1, 10)}</h1>", rng.choice(["", "<p>{}</p>", "<h2>{}</h2>", "<div>{}</div>"]).format(MARK + rng.choice([phrase(2, 9), prose(8, 30)]))
+                body = f"<header{plain()}>{rng.choice(['{}', '<div>{}</div>']).format(top + rest)}</header>{body}"
             return f"<article{rng.choice(['', telling('content'), plain()])}>{body}</article>"
         if style < 0.4:
             return rng.choice(["<main>{}</main>", "<main><article>{}</article></main>", "<main><div>{}</div></main>"]).format(body)

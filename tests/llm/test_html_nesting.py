@@ -36,3 +36,15 @@ def test_query_over_deep_pages(spark, tmp_path):
     got = {r.page_id: r for r in queries.op5_html_text(spark, str(tmp_path)).collect()}
     assert got[1].text == article[3:-4].strip() and got[1].n_chars == len(got[1].text)
     assert (got[2].text, got[3].text, got[2].n_chars) == ("", "", 0)
+
+
+def test_an_articles_own_header():
+    """A title in the header of an article is kept, the page's header is not."""
+    model = html_text.train(html_text.labelled_pages())
+    text = "<p>" + "The river rose in the night, and the town woke to water in its streets. " * 5 + "</p>"
+    body = text[3:-4].strip()
+    plain = f"<body><article><header><h1>Title of it</h1></header>{text}</article></body>"
+    page = f"<body><header><h1>My Site</h1></header><nav><a href=x>home</a></nav><article><header><h1>Title of it</h1><p>By the lake</p></header>{text}<footer>Copyright x</footer></article></body>"
+    assert html_text.main_text(plain, model) == f"Title of it\n{body}"
+    assert html_text.main_text(page, model) == f"Title of it\nBy the lake\n{body}"
+    assert html_text.main_text(f"<body><header><h1>My Site</h1><p>Daily</p></header><main><h1>Title</h1>{text}</main></body>", model) == f"Title\n{body}"

@@ -39,6 +39,7 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_HEADING = re.compile(r"h[1-6]")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is text, not markup; none of it is ever content.
@@ -67,7 +68,7 @@ _FAMILY |= {t: "form" for t in ("fieldset",)} | {"dialog": "aside"}
 _TELLING = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs skip",
     "frame": "header masthead footer foot topbar bottom colophon copyright sidebar side aside widget rail banner contentinfo complementary",
-    "advert": "ad ads adv advert advertisement adverts promo promotion sponsor sponsored sponsors dfp adsense teaser",
+    "advert": "ad ads adsbygoogle adv advert advertisement adverts promo promotion sponsor sponsored sponsors dfp adsense teaser",
     "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login paywall disclaimer toast",
     "social": "share sharing social related recommended recommendations more tags tag author byline meta trending popular",
     "comment": "comment comments reply replies respond discussion disqus thread",
@@ -99,12 +100,16 @@ class Node:
     parent: int
     tells: tuple[str, ...] = ()
     hidden: bool = False
-    runs: list[tuple[int, str]] = field(default_factory=list)
+    #: Pieces of text by place: (line, piece of the line, whether a space stands before it).
+    runs: list[tuple[tuple[int, int, bool], str]] = field(default_factory=list)
     size: int = 0
     linked: int = 0
     label: int | None = None
     #: A header of an article, not of the page.
     own: bool = False
+    inline: bool = False
+    #: A button or an input field stands right in it.
+    asks: bool = False
 
     @property
     def family(self) -> str:
@@ -112,39 +117,74 @@ class Node:
         return f"own {family}" if self.own else family
 
 
+def _names(inside: str) -> tuple[tuple[str, ...], bool]:
+    """What an element's names tell, and whether its attributes hide it."""
+    tells: tuple[str, ...] = ()
+    hidden = False
+    if "=" in inside:
+        marks = set()
+        for name, *values in _ATTRIBUTE.findall(inside):
+            name, value = name.lower(), next((v for v in values if v), "")
+            if name in ("class", "id", "role", "itemprop", "aria-label"):
+                for one in value.split():
+                    parts = _WORD.findall(_HUMP.sub(" ", one).lower())
+                    if not _STATES.intersection(parts):
+                        marks |= {_TELLS[w] for w in parts if w in _TELLS}
+            elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
+                hidden = True
+        tells = tuple(k for k in _ORDER if k in marks)
+    if "hidden" in inside.lower() and re.search(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", _QUOTED.sub("''", inside), re.I):
+        hidden = True
+    return tells, hidden
+
+
 def parse(page: str) -> list[Node]:
     """The block elements of a page, parents before children, with their runs of text in page order.
 
-    Inline elements belong to the block around them; a line break is white space. A block that
-    stands between two pieces of its parent's text makes them two runs. Unclosed and stray tags
+    Inline elements belong to the block around them; a line break is white space. Those whose names
+    tell of an advert are nodes of their own, so they can be left out of a line that stays. A block
+    that stands between two pieces of its parent's text makes them two lines. Unclosed and stray tags
     are taken as browsers do for the common cases: paragraphs, list items, cells, ends. Where the
     open elements of each tag stand is kept, so no tag walks over the others and broken nesting of
     any depth is read in one pass.
     """
-    nodes, stack, links, at, runs = [Node("html", -1)], [0], 0, 0, 0
+    nodes, stack, links, at, line, piece, space = [Node("html", -1)], [0], 0, 0, 0, 0, False
     buffer: list[str] = []
+    solid = [0]  # where on the stack blocks stand
+    nested: list[int] = []  # for each open inline node, the open elements of its tag inside it
     places: dict[str, list[int]] = {"html": [0]}  # where on the stack each tag stands, from the root on
 
     def last(tags: Iterable[str]) -> int:
         """Where the innermost open element of these tags stands; 0 if none but the root does."""
         return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
-    def flush() -> None:
-        nonlocal runs
-        text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip() if buffer else ""
+    def flush(inline: bool = False) -> None:
+        nonlocal line, piece, space
+        raw = _SPACE.sub(" ", html.unescape("".join(buffer))) if buffer else ""
         buffer.clear()
-        if text:
-            nodes[stack[-1]].runs.append((runs, text))
+        if text := raw.strip():
+            nodes[stack[-1]].runs.append(((line, piece, space or raw[0] == " "), text))
             nodes[stack[-1]].size += len(text)
-            runs += 1
+            piece += 1
+            space = False
+        space = space or raw[-1:] == " "
+        if not inline and piece:
+            line, piece = line + 1, 0
+        space = space and inline
 
     def close(k: int) -> None:
         nonlocal links
-        flush()
+        inline = k > solid[-1]
+        flush(inline)
         for s in stack[k:]:
             places[nodes[s].tag].pop()
+            if nodes[s].inline:
+                nested.pop()
         del stack[k:]
-        links = 0
+        while solid[-1] >= len(stack):
+            solid.pop()
+        if not inline:
+            links = 0
 
     n, quotes = len(page), True
     while at < n:
@@ -178,6 +218,11 @@ def parse(page: str) -> list[Node]:
                     flush()
             elif tag == "br":
                 buffer.append(" ")
+            if tag not in BLOCK and (k := last((tag,))) > solid[-1]:
+                if k == len(stack) - 1 and nested[-1]:
+                    nested[-1] -= 1
+                else:
+                    close(k)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -186,22 +231,34 @@ def parse(page: str) -> list[Node]:
             continue
         if tag == "a":
             links = 1
-            continue
         if tag in ("br", "wbr", "img", "input"):
+            nodes[stack[-1]].asks |= tag == "input"
             buffer.append("" if tag == "wbr" else " ")
             continue
         if tag not in BLOCK:
+            if nodes[stack[-1]].inline and nodes[stack[-1]].tag == tag:
+                nested[-1] += tag not in VOID and not inside.endswith("/")
+            elif "=" in inside and tag not in VOID and not inside.endswith("/"):
+                tells, hidden = _names(inside)
+                if "advert" in tells:
+                    flush(inline=True)
+                    nodes.append(Node(tag, stack[-1], tells, hidden, inline=True))
+                    places.setdefault(tag, []).append(len(stack))
+                    stack.append(len(nodes) - 1)
+                    nested.append(0)
             continue
-        if tag in _CLOSES_P and nodes[stack[-1]].tag == "p":
-            close(len(stack) - 1)
+        if tag == "button":
+            nodes[stack[-1]].asks = True
+        if tag in _CLOSES_P and nodes[stack[solid[-1]]].tag == "p":
+            close(solid[-1])
         if tag in _CLOSES:
             ends, holders = _CLOSES[tag]
             holder = last(holders)
             open_ = [p[k] for p in (places.get(t, []) for t in ends) if (k := bisect_right(p, holder)) < len(p)]
             if open_:
                 close(min(open_))
-        if tag[0] == "h" and len(tag) == 2 and tag[1].isdigit() and nodes[stack[-1]].tag[0] == "h" and nodes[stack[-1]].tag[1:].isdigit():
-            close(len(stack) - 1)
+        if _HEADING.fullmatch(tag) and _HEADING.fullmatch(nodes[stack[solid[-1]]].tag):
+            close(solid[-1])
         flush()
         links = 0
         if len(stack) > 1 and tag not in _IN_HEAD and nodes[stack[1]].tag == "head":
@@ -209,26 +266,13 @@ def parse(page: str) -> list[Node]:
         if tag in ("html", "body"):
             if places.get(tag):
                 continue
-        node = Node(tag, stack[-1])
-        if "=" in inside:
-            marks = set()
-            for name, *values in _ATTRIBUTE.findall(inside):
-                name, value = name.lower(), next((v for v in values if v), "")
-                if name in ("class", "id", "role", "itemprop", "aria-label"):
-                    for one in value.split():
-                        parts = _WORD.findall(_HUMP.sub(" ", one).lower())
-                        if not _STATES.intersection(parts):
-                            marks |= {_TELLS[w] for w in parts if w in _TELLS}
-                elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
-                    node.hidden = True
-            node.tells = tuple(k for k in _ORDER if k in marks)
-        if "hidden" in inside.lower() and re.search(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)", _QUOTED.sub("''", inside), re.I):
-            node.hidden = True
+        node = Node(tag, stack[-1], *_names(inside))
         nodes.append(node)
         if tag == "header":  # the nearest of these that is open says whose it is
             node.own = last(("article",)) > last(("nav", "aside", "footer", "form"))
         if tag not in VOID:
             places.setdefault(tag, []).append(len(stack))
+            solid.append(len(stack))
             stack.append(len(nodes) - 1)
     flush()
     return nodes
@@ -241,6 +285,8 @@ def _kind(node: Node) -> str:
 
 
 _FRAMES = frozenset(("nav", "header", "footer", "aside", "form", "article", "main"))
+#: What names of a holder tell of all in it, whatever names stand further in.
+_LASTING = frozenset(("advert", "comment", "notice"))
 
 
 def _bucket(x: float, *edges: float) -> int:
@@ -273,7 +319,8 @@ def _features(nodes: list[Node]) -> list[tuple[str, ...]]:
         p = node.parent
         around = within[p] if p >= 0 else ()
         told = node.tells or ((family,) if family in _FRAMES else ())
-        within.append(told or around)
+        held = tuple(x for x in around if x in _LASTING and x not in told)
+        within.append(told + held if told else around)
         heading = (latest[p] if latest[p] is not None else over[p]) if p >= 0 else ()
         if family == "heading":
             heading = _headed(node)
@@ -296,8 +343,12 @@ def _features(nodes: list[Node]) -> list[tuple[str, ...]]:
             f"under {nodes[p].family if p >= 0 else ''}",
         ]
         found += [f"tells {x}" for x in told or ("nothing",)] + [f"within {x}" for x in around or ("nothing",)] + [f"headed {x}" for x in heading or ("nothing",)]
+        if below >= 0.4 and size[k]:
+            found += [f"listed {family} {nodes[p].family if p >= 0 else ''} {x} {y}" for x in around or ("nothing",) for y in heading or ("nothing",)]
+        if node.asks:
+            found.append(f"asks {_bucket(own_size[k] or size[k], 1, 60, 250, 1000)}")
         if text:
-            found += ["legal"] * bool(_LEGAL.search(text)) + ["says"] * bool(_SAYS.search(text))
+            found += ["legal"] * bool(_LEGAL.search(text)) + [f"says {min(len(_SAYS.findall(text)), 2)} {_bucket(before / whole, 0.02, 0.98)}"] * bool(_SAYS.search(text))
         before += own_size[k]
         out.append(tuple(found))
     return out
@@ -441,6 +492,7 @@ def labelled_pages(n: int = 1200, seed: int = 11) -> list[list[Node]]:
         if rng.random() < 0.8:
             out.append(f"<h1>{MARK}{phrase(1, 10)}{rng.choice(['', '', '.'])}</h1>")
         shapes = ["<p>{}</p>"] * 8 + ["<p>{}", "<p><b>{}<br>", "<h2>{}</h2>", "<h3>{}</h3>", "<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<table><tr><td>{}</td></tr></table>", "<pre>{}</pre>", "<div>{}</div>", "<section><p>{}</p></section>", "<p>{} <a href='/x'>see</a></p>", "<figure><figcaption>{}</figcaption></figure>"]
+        listed = lambda: "".join(rng.choice(["<li>{0}<a href='/x'>{1}</a></li>", "<li><a href='/x'>{0}{1}</a></li>", "<li><a href='/x'>{0}{1}</a>, {2}.</li>"]).format(MARK, phrase(1, 6), phrase(1, 4)) for _ in range(rng.randint(1, 7)))
         short = rng.random() < 0.15
         for _ in range(1 if short else rng.choice([1, 1, 2, 3, 5, 8, 14])):
             shape, size = rng.choice(shapes), 3 if short else rng.choice([1, 3, 12, 40, 90])
@@ -449,7 +501,14 @@ def labelled_pages(n: int = 1200, seed: int = 11) -> list[list[Node]]:
                 text += " " + rng.choice(sorted(_HEADS)) + " " + phrase(3, 5)
             if rng.random() < 0.04:
                 text += rng.choice([" Copyright was at stake.", " They subscribe to it.", " The cookies were sweet, the author said."]) + " " + prose(10, 40)
+            if shape.startswith("<p") and rng.random() < 0.06:  # an advert in the midst of a line
+                tag = rng.choice(["span", "ins", "a", "small"])
+                text += f" <{tag}{telling('advert')}>{rng.choice([phrase(1, 5), prose(3, 12)])}</{tag}> {prose(1, 20)}"
             out.append(shape.format(MARK + text))
+            if rng.random() < 0.03:
+                out.append(f"<ins{telling('advert')}>{phrase(1, 5)}</ins>")
+        if not short and rng.random() < 0.2:  # what was read, where to go on
+            out.append(rng.choice(["", "<h2>{}</h2>", "<h1>{}</h1>", "<p>{}</p>"]).format(MARK + phrase(1, 4)) + f"<{(tag := rng.choice(['ul', 'ol']))}>{listed()}</{tag}>")
         return "".join(out)
 
     def wrapped(body: str) -> str:
@@ -475,6 +534,9 @@ def labelled_pages(n: int = 1200, seed: int = 11) -> list[list[Node]]:
         people = "".join(rng.choice(["<div><b>{0}</b><p>{1}</p></div>", "<li><p>{1}</p></li>", "<p>{1}</p>", "<div>{0}: {1}</div>"]).format(phrase(1, 2), prose(3, 30)) for _ in range(rng.randint(1, 5)))
         says = rng.choice(["Comments", "Readers say", "{} comments", "Replies", "Discussion", "What readers say", "Leave a reply"]).format(rng.randint(1, 99))
         also = rng.choice(["Related", "More " + word(), "Read also", "Popular", "Share", "Latest " + word(), "Recommended", "Tags", "About the author"])
+        inner = rng.choice(["<div{0}>{1}</div>", "<div{0}><p>{1}</p></div>", "<article{0}><p>{1}</p></article>"])
+        posts = "".join(inner.format(telling("content"), prose(3, 30)) for _ in range(rng.randint(1, 5)))
+        asks = rng.choice(["<button>OK</button>", "<button>Accept</button>", "<a href='/p'>More</a> <button>Got it</button>", "<a href='/p'>privacy policy</a>", ""])
         legal = rng.choice(["&copy; {}", "Copyright 2024 {}", "{} All rights reserved.", "&copy; site.example &middot; {}"]).format(text)
         notice = rng.choice(["We use cookies. {}", "{} By going on you consent.", "Subscribe to our newsletter. {}", "Sign up: {}"]).format(text)
         return rng.choice(
@@ -484,7 +546,10 @@ def labelled_pages(n: int = 1200, seed: int = 11) -> list[list[Node]]:
                 lambda: f"<div{named('menu')}>{links('span', rng.randint(2, 8))}</div>",
                 lambda: f"<table><tr>{links('td', rng.randint(3, 7))}</tr></table>",
                 lambda: f"<div{telling('advert')}>{rng.choice(['{}', '<p>{}</p>', '<div><p>{}</p></div>', '<span>{}</span>', '<p>{}</p><p>{}</p>']).replace('{}', text)}</div>",
-                lambda: f"<div{named('notice')}>{rng.choice(['{}', '<p>{}</p><button>OK</button>']).format(notice)}</div>",
+                lambda: f"<div{named('notice')}>{rng.choice(['{} ', '<p>{}</p>', '<div><p>{}</p></div>']).format(notice)}{asks}</div>",
+                lambda: f"<div{plain()}>{rng.choice(['{} ', '<p>{}</p>']).format(notice)}{asks}</div>",
+                lambda: f"<{rng.choice(['div', 'section'])}{telling('comment')}>{posts}</div>",
+                lambda: f"<div{telling('advert')}>{inner.format(telling('content'), text)}</div>",
                 lambda: f"<div{telling('notice')}><p>{text}</p></div>",
                 lambda: f"<aside{plain()}><h3>{phrase(1, 3)}</h3>{rng.choice(['<p>' + text + '</p>', '<ul>' + links('li', 4) + '</ul>'])}</aside>",
                 lambda: f"<{rng.choice(['div', 'section'])}{named('social')}><h3>{also}</h3><ul>{links('li', rng.randint(2, 5))}</ul></div>",
@@ -516,15 +581,18 @@ def labelled_pages(n: int = 1200, seed: int = 11) -> list[list[Node]]:
 def main_text(page: str, model: TreeModel) -> str:
     """The kept runs of text in page order, joined by line ends."""
     nodes = parse(page)
-    keep: list[tuple[int, str]] = []
+    pieces: list[tuple[tuple[int, int, bool], str]] = []
     dropped: set[int] = set()
     chances = model.marginals(nodes)
     for k, node in enumerate(nodes):
         if node.tag in NEVER or node.hidden or node.parent in dropped:
             dropped.add(k)
-        elif node.runs and chances[k] >= 0.5:
-            keep += node.runs
-    return "\n".join(text for _, text in sorted(keep))
+        kept = k not in dropped and chances[k] >= 0.5
+        pieces += [(place, text if kept else "") for place, text in node.runs]
+    lines: dict[int, list[str]] = {}
+    for (line, _, space), text in sorted(pieces):
+        lines.setdefault(line, []).append(" " * space + text)
+    return "\n".join(t for parts in lines.values() if (t := _SPACE.sub(" ", "".join(parts)).strip()))
 
 
 def extract_text(pages: DataFrame, model: TreeModel | None = None, *, html_column: str = "html") -> tuple[DataFrame, str]:

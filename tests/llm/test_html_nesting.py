@@ -7,7 +7,7 @@ import pytest
 from hetweave.llm import html_text, queries
 
 
-@pytest.mark.parametrize("page", ["<div></p>" * 32_000, "<div>" * 3000 + "<body>" * 32_000, "<div>" * 30_000 + "<li>x" * 10_000, "<ul><li>" * 20_000 + "<dd>" * 10_000, "<tr><div>" * 20_000])
+@pytest.mark.parametrize("page", ["<div></p>" * 32_000, "<div>" * 3000 + "<body>" * 32_000, "<div>" * 30_000 + "<li>x" * 10_000, "<ul><li>" * 20_000 + "<dd>" * 10_000, "<tr><div>" * 20_000, "<span class=ad>" * 20_000 + "<div></span>" * 20_000, "<p><ins id=ads>" * 20_000])
 def test_deep_pages_take_time_in_proportion(page):
     def seconds(text):
         began = time.process_time()
@@ -48,3 +48,39 @@ def test_an_articles_own_header():
     assert html_text.main_text(plain, model) == f"Title of it\n{body}"
     assert html_text.main_text(page, model) == f"Title of it\nBy the lake\n{body}"
     assert html_text.main_text(f"<body><header><h1>My Site</h1><p>Daily</p></header><main><h1>Title</h1>{text}</main></body>", model) == f"Title\n{body}"
+
+
+TEXT = "The river rose in the night, and the town woke to water in its streets. " * 8
+PROSE, BODY = f"<p>{TEXT}</p>", TEXT.strip()
+LIST = "<ul><li><a href=x>Smith on floods</a></li><li><a href=y>Jones on rivers</a></li></ul>"
+COOKIES = "We use cookies to make this site better for you."
+ORDINARY = {
+    "list of an article": (f"<main><h1>Title</h1>{PROSE}<h1>Sources</h1><p>These were read for it, in order.</p>{LIST}</main>", f"Title\n{BODY}\nSources\nThese were read for it, in order.\nSmith on floods\nJones on rivers"),
+    "list under a heading": (f"<nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Title</h1>{PROSE}<h2>Further reading</h2>{LIST}</article>", f"Title\n{BODY}\nFurther reading\nSmith on floods\nJones on rivers"),
+    "related list": (f"<article><h1>Title</h1>{PROSE}{PROSE}<div><h3>Related</h3>{LIST}</div></article>", f"Title\n{BODY}\n{BODY}"),
+    "plain menu": (f"<div>{LIST}</div><div><h1>Title</h1>{PROSE}{PROSE}</div>", f"Title\n{BODY}\n{BODY}"),
+    "named comments": (f"<article><h1>Title</h1>{PROSE}</article><div id='disqus_thread'><div class=post><p>I read it with joy, and my father did too.</p></div></div>", f"Title\n{BODY}"),
+    "advert between": (f"<article><h1>Title</h1>{PROSE}<ins class='adsbygoogle'>Buy boots</ins>{PROSE}</article>", f"Title\n{BODY}\n{BODY}"),
+    "advert in a line": (f"<article><h1>Title</h1><p>{BODY} <span class='advert'>Buy <span>boots</span> now</span> {BODY}</p></article>", f"Title\n{BODY} {BODY}"),
+    "span in a line": (f"<article><h1>Title</h1><p>{BODY} <span class='x'>It was <b>wa</b>ter</span>, {BODY}</p></article>", f"Title\n{BODY} It was water, {BODY}"),
+    "notice before": (f"<div>{COOKIES} <button>Accept</button></div><article><h1>Title</h1>{PROSE}{PROSE}</article>", f"Title\n{BODY}\n{BODY}"),
+    "notice after": (f"<article><h1>Title</h1>{PROSE}{PROSE}</article><div>{COOKIES} <a href=/p>More</a> <button>Got it</button></div>", f"Title\n{BODY}\n{BODY}"),
+}
+
+
+def test_ordinary_markup():
+    """Lists of an article stay; adverts in lines, comments under inner names and nameless notices go."""
+    model = html_text.train(html_text.labelled_pages())
+    got = {k: html_text.main_text(f"<html><body>{page}</body></html>", model) for k, (page, _) in ORDINARY.items()}
+    assert got == {k: text for k, (_, text) in ORDINARY.items()}
+
+
+def test_inline_nodes():
+    """Inline elements that tell of adverts end where their own end tag or their block does."""
+
+    def shape(page):
+        return [(v.tag, v.parent, [(place[0], place[2], t) for place, t in v.runs]) for v in html_text.parse(page)]
+
+    assert shape("<p>a<ins class=ad>b<ins>c</ins>d</ins> e</p>f") == [("html", -1, [(1, False, "f")]), ("p", 0, [(0, False, "a"), (0, True, "e")]), ("ins", 1, [(0, False, "bcd")])]
+    assert shape("<p>a <span id=ads>b</p>c</span>d") == [("html", -1, [(1, False, "cd")]), ("p", 0, [(0, False, "a")]), ("span", 1, [(0, True, "b")])]
+    assert shape("<span class=ad><div>a</span>b</div>c</span>d") == [("html", -1, [(1, False, "d")]), ("span", 0, [(1, False, "c")]), ("div", 1, [(0, False, "ab")])]

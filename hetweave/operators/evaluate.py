@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hetweave.lineage import cut
 from hetweave.network import Network
-from hetweave.operators import channels, cover, labels, metapath, partition, preserve, quotient, ranking
+from hetweave.operators import channels, cover, labels, metapath, partition, preserve, quotient, ranking, selection
 
 
 class Prepared:
@@ -97,6 +97,51 @@ def evaluate_grid(prepared: Prepared, pairs: Iterable[tuple[float, float]], *, d
     return cut(found.join(F.broadcast(cells), "cell").select(*measures, *cells.columns[1:]))  # a row for each cell
 
 
+def guard_covers(prepared: Prepared, tau_term: float, tau_attr: float) -> dict[str, tuple[DataFrame, float | None, float | None]]:
+    """The 2 x 2 of guards as settings: (mapping of all main types, term threshold, attribute threshold); None is off."""
+    taus = {"structure": (None, None), "term": (tau_term, None), "attribute": (None, tau_attr), "both": (tau_term, tau_attr)}
+    by_type = [cover.component_covers(prepared.partition.where(F.col("ntype") == t), prepared.terms.get(t), prepared.features(t), tau_term, tau_attr) for t in prepared.net.config.main_types]
+    return {name: (reduce(DataFrame.unionByName, [c[name] for c in by_type]), *of) for name, of in taus.items()}
+
+
+def evaluate_settings(prepared: Prepared, settings: dict[str, tuple[DataFrame, float | None, float | None]], queries: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """What each named setting of the guards reduces, what it preserves and its risk; and the measures by path.
+
+    settings gives (mapping (ntype, nid, cluster_id) of all main types, tau_term, tau_attr); a
+    threshold that is None means that guard is off. A row has configuration, term_guard,
+    attribute_guard, tau_term, tau_attr, {full,main,target}_nodes and reduced_*, edges,
+    reduced_edges, {full,main,target}_node_ratio and edge_ratio (0 where there was nothing), the
+    figures of evaluate_mappings(), r_sem, the largest share of an error or ranking budget that is
+    used, and feasible (r_sem up to 1). Main nodes are of all main types, target nodes of the
+    target type, full ones also of the types that stay as they are; edges before are raw rows,
+    repeats included. All settings are measured in one plan. Serves the ablation over both guards,
+    the sensitivity to one threshold and controls on other networks.
+    """
+    net, spark = prepared.net, prepared.net.nodes.sparkSession
+    rows = [m.select("ntype", "nid", "cluster_id").withColumn("cell", F.lit(k)) for k, (m, _, _) in enumerate(settings.values())]
+    mappings = cut(reduce(DataFrame.unionByName, rows))
+    by_path, measured = evaluate_mappings(prepared, mappings, queries, **options)
+    target = F.col("ntype") == net.config.target
+    by_type = mappings.groupBy("cell", "ntype").agg(F.count("*").alias("n"), F.count_distinct("cluster_id").alias("c"))
+    sizes = by_type.groupBy("cell").agg(F.sum("n").alias("main_nodes"), F.sum("c").alias("reduced_main_nodes"), F.sum(F.when(target, F.col("n")).otherwise(0)).alias("target_nodes"), F.sum(F.when(target, F.col("c")).otherwise(0)).alias("reduced_target_nodes"))
+    still = net.nodes.where(~F.col("ntype").isin(*net.config.main_types)).agg(F.count("*").alias("still"))
+    before = net.links.agg(F.count("*").alias("edges"))
+    of = mappings.select("cell", "nid", "cluster_id")
+    cells = F.broadcast(spark.createDataFrame([(k, name, int(t is not None), int(a is not None), t, a) for k, (name, (_, t, a)) in enumerate(settings.items())], "cell int, configuration string, term_guard int, attribute_guard int, tau_term double, tau_attr double"))  # a row for each setting
+    ends = prepared.matrices.select("ltype", "src", "dst").join(cells.select("cell")).join(of.toDF("cell", "src", "cs"), ["cell", "src"], "left").join(of.toDF("cell", "dst", "cd"), ["cell", "dst"], "left")
+    after = ends.select("cell", "ltype", F.coalesce("cs", "src").alias("src"), F.coalesce("cd", "dst").alias("dst")).distinct().groupBy("cell").agg(F.count("*").alias("reduced_edges"))
+    found = cells.join(sizes, "cell", "left").join(after, "cell", "left").join(measured, "cell", "left").join(still).join(before)
+    found = found.na.fill(0, ["main_nodes", "reduced_main_nodes", "target_nodes", "reduced_target_nodes", "reduced_edges"])
+    found = found.withColumns({"full_nodes": F.col("main_nodes") + F.col("still"), "reduced_full_nodes": F.col("reduced_main_nodes") + F.col("still")})
+
+    def saved(now: str, was: str) -> Column:
+        return F.when(F.col(was) > 0, 1 - F.col(now) / F.col(was)).otherwise(0.0)
+
+    ratios = {f"{x}_node_ratio": saved(f"reduced_{x}_nodes", f"{x}_nodes") for x in ("full", "main", "target")} | {"edge_ratio": saved("reduced_edges", "edges")}
+    found = selection.semantic_risk(found.withColumns(ratios)).withColumnRenamed("risk", "r_sem").withColumn("feasible", (F.col("r_sem") <= selection.FEASIBLE).cast("int"))
+    return found.drop("cell", "still"), by_path.join(cells.select("cell", "configuration"), "cell").drop("cell")
+
+
 def predict_preservation(scores: dict[str, DataFrame], own: DataFrame, ks: Iterable[int]) -> DataFrame:
     """Neighbour-vote measures of each setting and k, with deltas to the setting named original."""
     rows = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hetweave.plans import analytics, evaluation, reduction, selection, similarity  # noqa: F401  they register their queries
+from hetweave.plans import analytics, evaluation, guards, reduction, selection, similarity  # noqa: F401  they register their queries
 from hetweave.plans.registry import ORACLES, QUERIES, Query
 
 __all__ = ["ORACLES", "QUERIES", "Query"]

@@ -109,8 +109,22 @@ def kind_pairs(original: DataFrame, reduced: DataFrame, kinds: DataFrame) -> Dat
 KEYS = ("cell", "path", "method", "u")
 
 
+def score_groups(pairs: DataFrame) -> DataFrame:
+    """(cell, path, method, u, a, b, m) of kind_pairs(): targets of one query kind with the same two scores count together.
+
+    Measures see scores only, and scores tie often, so what is sorted is far less than the pairs.
+    """
+    return pairs.groupBy(*KEYS, "a", "b").agg(F.sum("m").alias("m"))
+
+
+def reach(groups: DataFrame, k: int) -> DataFrame:
+    """(cell, path, method, u, least_a, least_b, scored_a, scored_b) of placed(): the lowest score of each ranking that the first k + 1 may hold."""
+    least = [F.min(F.when((F.col(c) != 0) & (F.col(f"before_{c}") <= k), F.col(c))).alias(f"least_{c}") for c in "ab"]
+    return groups.groupBy(*KEYS).agg(*least, *[F.max(f"scored_{c}").alias(f"scored_{c}") for c in "ab"])
+
+
 def placed(pairs: DataFrame) -> DataFrame:
-    """pairs with, for each of a and b: before_x, items that score more, ties_x, items of the same score, and scored_x."""
+    """score_groups() with, for each of a and b: before_x, items that score more, ties_x, items of the same score, and scored_x."""
     w = Window.partitionBy(*KEYS)
     for c in "ab":
         order = w.orderBy(F.col(c).desc())
@@ -185,32 +199,33 @@ def kind_measures(rows: DataFrame, n_targets: int, k: int, keep_self: bool) -> D
     return found.select(*KEYS, "mae", "p95", "p99", "maxe", "t", ranking.two_sided_p(F.col("t"), n).alias("p"), "tie_overlap", "ndcg")
 
 
-def first_ids(rows: DataFrame, column: str, asked: DataFrame, members: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+def first_ids(pairs: DataFrame, ends: DataFrame, column: str, asked: DataFrame, members: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """(cell, path, method, u, j, rank): the first k + 1 targets of each query kind, by score and then id.
 
-    Only kinds whose tie group begins in time, and of those the first by id, are looked up, with
-    their first members. Where fewer score, the targets of least id follow.
+    pairs are kind_pairs(), ends what reach() says of them. Only kinds whose tie group begins in
+    time, and of those the first by id, are looked up, with their first members. Where fewer
+    score, the targets of least id follow.
     """
-    near = rows.where((F.col(column) != 0) & (F.col(f"before_{column}") <= k)).select(*KEYS, "v", F.col(column).alias("score"))
+    near = pairs.join(ends, list(KEYS)).where(F.col(column) >= F.col(f"least_{column}")).select(*KEYS, "v", F.col(column).alias("score"))
     w = Window.partitionBy(*KEYS)
     near = near.withColumn("r", F.row_number().over(w.orderBy(F.col("score").desc(), "v"))).where(F.col("r") <= k + 1).drop("r")
     few = members.withColumn("r", F.row_number().over(Window.partitionBy("cell", "path", "kind").orderBy("nid"))).where(F.col("r") <= k + 1)
     found = near.join(few.select("cell", "path", F.col("kind").alias("v"), F.col("nid").alias("j")), ["cell", "path", "v"]).select(*KEYS, "j", "score")
-    scored = rows.groupBy(*KEYS).agg(F.max(f"scored_{column}").alias("scored"))
-    short = asked.join(scored, list(KEYS), "left").where(f"coalesce(scored, 0) <= {k}").select(*KEYS)
+    short = asked.join(ends.select(*KEYS, F.col(f"scored_{column}").alias("scored")), list(KEYS), "left").where(f"coalesce(scored, 0) <= {k}").select(*KEYS)
     least = F.broadcast(targets.select(F.col("nid").alias("j")).orderBy("j").limit(2 * k + 3))  # 2k + 3 rows sent
     zeros = short.join(least).join(found.select(*KEYS, "j"), [*KEYS, "j"], "left_anti").withColumn("score", F.lit(0.0))
     return found.unionByName(zeros).withColumn("rank", F.row_number().over(w.orderBy(F.col("score").desc(), "j"))).where(F.col("rank") <= k + 1).select(*KEYS, "j", "rank")
 
 
-def overlap_by_query(rows: DataFrame, asked: DataFrame, members: DataFrame, targets: DataFrame, n_targets: int, k: int) -> DataFrame:
+def overlap_by_query(pairs: DataFrame, groups: DataFrame, asked: DataFrame, members: DataFrame, targets: DataFrame, n_targets: int, k: int) -> DataFrame:
     """(cell, path, method, i, overlap): share of the first k other targets that both rankings name."""
     k = min(k, n_targets - 1)
     queries = members.where("asked > 0").select("cell", "path", F.col("kind").alias("u"), F.col("nid").alias("i"))
     queries = queries.join(asked, ["cell", "path", "u"])
     if k <= 0:
         return queries.select("cell", "path", "method", "i", F.lit(1.0).alias("overlap"))
-    a, b = (first_ids(rows, c, asked, members, targets, k).withColumnRenamed("rank", f"r{c}") for c in "ab")
+    ends = cut(reach(groups, k))
+    a, b = (first_ids(pairs, ends, c, asked, members, targets, k).withColumnRenamed("rank", f"r{c}") for c in "ab")
     lists = cut(a.join(b, [*KEYS, "j"], "full"))
     own = lists.select(*KEYS, F.col("j").alias("i"), F.col("ra").alias("sa"), F.col("rb").alias("sb"))
     both = lists.where("ra is not null and rb is not null")
@@ -240,13 +255,14 @@ def preserved(half: dict[str, DataFrame], links: DataFrame, paths: dict[str, tup
     clusters = mappings.join(targets, "nid", "left_semi").select("cell", F.col("cluster_id").alias("src")).distinct()
     small = small.join(clusters, ["cell", "src"], "left_semi")
     reduced = half_scores(small, asked.select("cell", "path", F.col("cluster_id").alias("src")).distinct(), "cell", "path")
-    pairs = cut(placed(kind_pairs(original, reduced, kinds)))
+    pairs = cut(kind_pairs(original, reduced, kinds))
+    groups = cut(placed(score_groups(pairs)))
     n = targets.count()
     methods = F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method")
     every = asked.select("cell", "path", F.col("kind").alias("u"), "asked", methods)
     defaults = {"mae": 0.0, "p95": 0.0, "p99": 0.0, "maxe": 0.0, "p": 1.0, "tie_overlap": 1.0, "ndcg": 1.0}
-    by_kind = every.join(kind_measures(pairs, n, k, keep_self), list(KEYS), "left").na.fill(defaults)
+    by_kind = every.join(kind_measures(groups, n, k, keep_self), list(KEYS), "left").na.fill(defaults)
     share = lambda c: (F.sum(F.col("asked") * F.col(c)) / F.sum("asked")).alias(c)
     means = by_kind.groupBy("cell", "path", "method").agg(*[share(c) for c in MEASURES if c != "overlap"], F.max("maxe").alias("maxe"))
-    overlaps = overlap_by_query(pairs, every.select(*KEYS), members, targets, n, k).groupBy("cell", "path", "method").agg(F.avg("overlap").alias("overlap"))
+    overlaps = overlap_by_query(pairs, groups, every.select(*KEYS), members, targets, n, k).groupBy("cell", "path", "method").agg(F.avg("overlap").alias("overlap"))
     return means.join(overlaps, ["cell", "path", "method"]).select("cell", "path", "method", *MEASURES, "maxe")

@@ -143,6 +143,38 @@ def release_checks(spark: SparkSession, expected: dict[str, int], found: dict[st
     return rows.select("check", "expected", "found", F.coalesce(F.col("expected") == F.col("found"), F.lit(False)).alias("ok"))
 
 
+#: Slack of comparisons between released figures: a fixed value.
+RELEASE_SLACK = 1e-12
+
+
+def result_checks(rows: DataFrame, *, shares: tuple[str, ...], baselines: tuple[str, ...], shrunk: dict[str, str], name: str = "configuration", risk: str = "r_sem", flag: str = "feasible") -> DataFrame:
+    """(check, rows, failures, ok) of a table of evaluated settings, before it is released.
+
+    within_budget: rows whose risk is above 1, or missing. flag_states_risk: rows whose flag says
+    otherwise than their risk. shares_in_bounds: figures of shares that are missing or outside 0
+    to 1. equal_baselines: columns of baselines that differ between rows, or are missing from
+    some. not_larger: figures after (keys of shrunk) above those before. named_once: rows beyond
+    a name's first. All in one pass of sums; a table without rows fails nothing.
+    """
+    slack = F.lit(RELEASE_SLACK)
+    low = F.coalesce(F.col(risk) <= 1 + slack, F.lit(False))
+    count = lambda bad: F.coalesce(F.sum(bad.cast("long")), F.lit(0))
+    total = lambda parts: reduce(lambda a, b: a + b, parts, F.lit(0))
+    outside = lambda c: F.coalesce((F.col(c) < -slack) | (F.col(c) > 1 + slack) | F.isnan(F.col(c).cast("double")), F.lit(True))
+    differs = lambda c: F.coalesce((F.max(c) - F.min(c) > slack) | (F.count(c) < F.count("*")), F.lit(False)).cast("long")
+    checks = {
+        "within_budget": count(~low),
+        "flag_states_risk": count(~F.coalesce(F.col(flag).cast("int") == low.cast("int"), F.lit(False))),
+        "shares_in_bounds": total([count(outside(c)) for c in shares]),
+        "equal_baselines": total([differs(c) for c in baselines]),
+        "not_larger": total([count(F.coalesce(F.col(now) > F.col(was), F.lit(True))) for now, was in shrunk.items()]),
+        "named_once": F.count("*") - F.count_distinct(name),
+    }
+    one = rows.agg(F.count("*").alias("rows"), *[c.alias(k) for k, c in checks.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).cast("long").alias("failures")) for k in checks]))
+    return one.select("rows", each.alias("c")).select("c.check", "rows", "c.failures", (F.col("c.failures") == 0).alias("ok"))
+
+
 def require(checks: dict[str, DataFrame]) -> None:
     """Raise ValueError naming the checks that found rows; each is a table of what is wrong."""
     if failed := [name for name, rows in checks.items() if not rows.isEmpty()]:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hetweave.operators import cover
 from hetweave.operators.channels import TERM_MEASURES
@@ -49,3 +50,22 @@ def test_cover_with_equal_nodes(spark, measure, small):
     for tau_term, tau_attr in ((0.4, 0.6), (0.0, 0.0)):
         got = {r.nid: r.cluster_id for r in cover.guarded_cover(part, terms, feats, tau_term, tau_attr, measure, small=small).collect()}
         assert got == plain(rows, tau_term, tau_attr, measure), (tau_term, tau_attr)
+
+
+@pytest.mark.parametrize("measure", TERM_MEASURES)
+def test_points_and_pairs_give_one_cover(spark, measure, monkeypatch):
+    """A class covered from its points draws no pairs and is what its pairs give; odd vectors go by pairs."""
+    rng = random.Random(11)
+    rows = [(k, k % 2, frozenset(rng.sample("abcdefgh", rng.randint(0, 3))), (rng.random(), rng.random(), rng.choice([0.0, 1.0]))) for k in rng.sample(range(200), 70)]
+    part = spark.createDataFrame([("t", r[0], r[1]) for r in rows], "ntype string, nid long, class_id long")
+    terms = spark.createDataFrame([(r[0], t) for r in rows for t in r[2]], "nid long, term string")
+    feats = spark.createDataFrame([(r[0], list(r[3])) for r in rows], "nid long, feat array<double>")
+    clusters = lambda f, small: {r.nid: r.cluster_id for r in cover.guarded_cover(part, terms, f, 0.4, 0.9, measure, small=small).collect()}
+    by_pairs = clusters(feats, 3)
+    odd = feats.unionByName(spark.createDataFrame([(rows[0][0], None)], "nid long, feat array<double>")).where(f"nid <> {rows[0][0]} or feat is null")
+    longer = feats.withColumn("feat", F.when(F.col("nid") == rows[0][0], F.concat("feat", F.array(F.lit(0.0)))).otherwise(F.col("feat")))
+    assert clusters(longer, 10**6) == by_pairs
+    without = clusters(odd, 3)
+    monkeypatch.setattr(cover, "passing_pairs", None)  # not called
+    assert clusters(feats, 10**6) == by_pairs == plain(rows, 0.4, 0.9, measure)
+    assert clusters(odd, 10**6) == without

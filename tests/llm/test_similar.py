@@ -53,3 +53,13 @@ def test_drop_similar(spark, near_rows, none):
     assert out.columns == docs.columns and {r.p for r in out.collect()} == {"mine"}
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted({c for _, c in plain_groups(near_rows)})
     assert similar.drop_similar(none).count() == 0
+
+
+def test_sketches_join_before_blocks(spark):
+    """A key of several blocks sends its rows to each of them, but the join with sketches has one row for each of the key's."""
+    points = spark.createDataFrame([(p, bytes([p % 3] * 8)) for p in range(30)], "p long, marks binary")
+    open_ = spark.createDataFrame([(1, p, 3 * similar.BLOCK, p) for p in range(30)], "key long, p long, n long, c long")
+    pairs = similar._candidates(open_, points, 0.8, best=False)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # the join is below: it comes first
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 == b % 3}

@@ -242,3 +242,39 @@ def test_tasks(spark, net, tmp_path, tmp_path_factory):
     assert read(out, "selected").first().semantic_threshold == 0.4
     again = main(["reselect", "--results", f"{out}/grid", "--out", str(tmp_path / "out"), "--budget-scales", "0.5,2"])
     assert read(again, "sensitivity").count() == 2
+
+
+@pytest.mark.parametrize("method", ["pathsim", "hetesim"])
+def test_tiles_of_blocks_equal_whole_products(spark, monkeypatch, method):
+    """Many blocks, cut terms, hubs and ties: the scores of a dense product, and the nearest few of each row."""
+    monkeypatch.setattr(metapath, "BLOCK", 5)
+    monkeypatch.setattr(metapath, "TERMS", 7)
+    rng = np.random.default_rng(3)
+    m = rng.integers(0, 3, (23, 9)) * (rng.random((23, 9)) < 0.4)
+    m[:, 0] = 1
+    m[4] = m[11] = m[12] = m[20]
+    half = spark.createDataFrame([(int(i), int(d), float(m[i, d])) for i, d in zip(*np.nonzero(m), strict=True)], "src long, dst long, w double")
+    dots, n = m @ m.T, (m * m).sum(axis=1)
+    want = 2 * dots / (n[:, None] + n[None, :]) if method == "pathsim" else dots / np.sqrt(n[:, None] * n[None, :])
+    got = np.zeros((23, 23))
+    rows = metapath.similarity(method, half).collect()
+    for r in rows:
+        got[r.i, r.j] = r.score
+    assert len(rows) == (dots > 0).sum() and got == pytest.approx(want)
+    some = spark.createDataFrame([(3,), (20,)], "q long")
+    asked = {(r.i, r.j): r.score for r in metapath.similarity(method, half, some).collect()}
+    assert asked == pytest.approx({(i, j): want[i, j] for i in (3, 20) for j in range(23) if want[i, j]})
+    few = metapath.similarity(method, half, best=4)
+    assert few.count() < len(rows)
+    best = {i: [] for i in range(23)}
+    for r in sorted(few.collect(), key=lambda r: (-round(r.score, 9), r.j)):
+        best[r.i].append(r.j)
+    assert all(best[i][:4] == sorted((j for j in range(23) if j != i), key=lambda j: (-round(want[i, j], 9), j))[:4] for i in range(23))
+
+
+def test_links_move_and_products_do_not(spark):
+    """500 rows that all share 40 columns: their 10 million terms are never rows."""
+    half = spark.range(20_000).selectExpr("id % 500 as src", "id div 500 as dst", "1.0D as w")
+    out = metapath.pathsim(half)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[0] and "FlatMapGroupsInPandas" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.where("score = 1").count() == 250_000

@@ -35,3 +35,32 @@ def test_cluster_space_equals_expanded_pairs(spark, seed, k, keep_self):
                 want = ranking.average(each).first()
                 for m in (*ranking.MEASURES, "maxe"):
                     assert got[cell, path, method][m] == pytest.approx(want[m], abs=1e-8), (cell, path, method, m)
+
+
+def test_measures_of_clusters_equal_expanded_pairs(spark):
+    """Scores of clusters are not given out, with zeros, ties, a cluster of one and few that score: rows are those of expanded pairs."""
+    rng = np.random.default_rng(5)
+    n, of = 17, [0, 0, 0, 3, 4, 4, 4, 4, 8, 8, 8, 8, 8, 8, 14, 14, 16]
+    levels = [0, 0, 0, 0.2, 0.5, 0.5, 1.0]
+    a = rng.choice(levels, (n, n))
+    a[2], a[5, 6:] = 0, 0
+    heads = sorted(set(of))
+    b = {(i, j): float(rng.choice(levels)) for i in heads for j in heads}
+    b |= {(3, j): 0.0 for j in heads} | {(16, j): 0.0 for j in heads if j != 14}
+    frame = lambda s: spark.createDataFrame([(i, j, float(x)) for (i, j), x in s.items() if x], "i long, j long, score double")
+    original, small = frame({(i, j): a[i, j] for i in range(n) for j in range(n)}), frame(b)
+    mapping = spark.createDataFrame(list(enumerate(of)), "nid long, cluster_id long")
+    targets = mapping.select("nid")
+    reduced = metapath.expand(small, mapping)
+    for k, keep_self in ((3, False), (10, True)):
+        want = {r.i: r for r in ranking.preservation(original, reduced, targets.toDF("q"), targets, k=k, keep_self=keep_self).collect()}
+        got = {r.i: r for r in preserve.cluster_measures(original, small, mapping, k, keep_self=keep_self).collect()}
+        share = {r.i: r[f"top{k}"] for r in preserve.cluster_overlaps(original, small, mapping, (k,)).collect()}
+        assert set(got) == set(want) == set(share)
+        for i, r in want.items():
+            assert [got[i][c] for c in ("mae", "p95", "p99", "maxe", "p", "tie_overlap", "ndcg")] == pytest.approx([r[c] for c in ("mae", "p95", "p99", "maxe", "p", "tie_overlap", "ndcg")], abs=1e-9)
+            assert share[i] == pytest.approx(r.overlap)
+    rows = preserve.cluster_groups(original, small, mapping).agg(F.sum("m")).first()[0]
+    assert rows == sum(1 for i in range(n) for j in range(n) if i != j and (a[i, j] or b[of[i], of[j]]))
+    nearest = [(r.i, r.j) for r in ranking.top_k(reduced.where("i <> j"), 2).orderBy("i", "rank").collect()]
+    assert [(r.i, r.j) for r in preserve.cluster_tops(small, mapping, 2, zeros=False).orderBy("i", "rank").collect()] == nearest

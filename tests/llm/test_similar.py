@@ -63,3 +63,25 @@ def test_sketches_join_before_blocks(spark):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")  # the join is below: it comes first
     assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 == b % 3}
+
+
+def test_crowd_apart_draws_up_no_pairs(spark, monkeypatch):
+    """Sixty texts that nearly link with each other: no step writes more pairs than there are texts."""
+    rng = random.Random(5)
+    base = sentence(rng, 430).split(" ")
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for at in rng.sample(range(5, 425), 6):
+            w[at] = f"new{rng.randrange(10**9)}"
+        rows.append((k, " ".join(w), "en", "s0", 1))
+    asked, verified = [], similar.verified
+
+    def counted(pairs, *args):
+        asked.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(similar, "verified", counted)
+    got = similar.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert max(asked) <= len(rows)
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == plain_groups(rows)

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hetweave.operators import audit, channels
+from hetweave.operators import audit, channels, tiles
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +54,28 @@ def test_representatives_are_not_sorted(spark, members):
     best = min((-round(a, 9), i, j) for a, i, j, d in pairs if d == "accepted")
     least = min((round(a, 9), i, j) for a, i, j, d in pairs if d == "attribute_only_reject")
     assert {r.decision: (r.i, r.j) for r in found.collect()} == {"accepted": best[1:], "attribute_only_reject": least[1:]}
+
+
+@pytest.mark.parametrize("block", [None, 7])
+def test_all_pairs_in_strips(spark, monkeypatch, block):
+    """The nearest few, ties to the least id, and sums of distances, with strips of a row or two; copies are at distance 0."""
+    monkeypatch.setattr(tiles, "STRIP", 40)
+    rng = random.Random(8)
+    vecs = {k: [rng.choice([-1.0, 0.0, 1.0]), rng.choice([1.0, 2.0]), 1e4 + rng.random() * (k % 3)] for k in rng.sample(range(99), 30)}
+    df = spark.createDataFrame([(k, k % 4, v) for k, v in vecs.items()], "nid long, cluster int, vec array<double>")
+    x = {k: np.array(v[:2]) / np.linalg.norm(v[:2]) for k, v in vecs.items()}
+    near = tiles.nearest_cosines(df.withColumn("vec", F.slice("vec", 1, 2)), 4, block=block).collect()
+    for i in vecs:
+        want = sorted((-round(float(x[i] @ x[j]), 9), j) for j in vecs if j != i)[:4]
+        assert sorted((-r.score, r.j) for r in near if r.i == i)[:4] == want
+    got = {(r.i, r.cj): (r.s, r.n) for r in tiles.distance_sums(df, block).collect()}
+    for i in vecs:
+        for c in range(4):
+            others = [j for j in vecs if j % 4 == c and j != i]
+            total = sum(float(np.linalg.norm(np.array(vecs[i]) - np.array(vecs[j]))) for j in others)
+            assert got.get((i, c), (0.0, 0)) == (pytest.approx(total, rel=1e-12), len(others))
+
+
+def test_points_go_to_few_blocks():
+    """Each point is sent to every block, so these grow large before they grow many."""
+    assert [tiles.blocks_of(n) for n in (0, 1, 1025, 100_000, 300_000)] == [1, 1, 2, 8, 19]

@@ -64,3 +64,37 @@ def test_measures_of_clusters_equal_expanded_pairs(spark):
     assert rows == sum(1 for i in range(n) for j in range(n) if i != j and (a[i, j] or b[of[i], of[j]]))
     nearest = [(r.i, r.j) for r in ranking.top_k(reduced.where("i <> j"), 2).orderBy("i", "rank").collect()]
     assert [(r.i, r.j) for r in preserve.cluster_tops(small, mapping, 2, zeros=False).orderBy("i", "rank").collect()] == nearest
+
+
+def _written(spark):
+    """Rows that all shuffles so far have written."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteRecords()
+    return total
+
+
+def test_pairs_of_kinds_are_no_rows(spark):
+    """600 targets with rows of their own that all share a middle, in four blocks: 360,000 pairs, and shuffles of far less."""
+    rng = np.random.default_rng(3)
+    n = 600
+    w = np.stack([np.ones(n), rng.permutation(n) + 1.0], axis=1)
+    links = spark.createDataFrame([("to", i, 10_000 + j, float(w[i, j])) for i in range(n) for j in range(2)], "ltype string, src long, dst long, w double")
+    targets = spark.range(n).toDF("nid")
+    mappings = targets.select(F.lit(0).alias("cell"), "nid", (F.col("nid") - F.col("nid") % 2).alias("cluster_id"))
+    before = _written(spark)
+    got = {r.method: r for r in preserve.preserved({"TM": links.drop("ltype")}, links, {"TM": ("to",)}, mappings, targets, targets.toDF("q"), k=5, block=150).collect()}
+    assert n < _written(spark) - before < n * n / 8
+    small = w[0::2] + w[1::2]
+
+    def scores(x, method):
+        dots, size = x @ x.T, (x * x).sum(axis=1)
+        return np.floor((2 * dots / (size[:, None] + size) if method == "pathsim" else dots / np.sqrt(size[:, None] * size)) * 1e9 + 0.5) / 1e9
+
+    for method in metapath.SIMILARITIES:
+        d = np.abs(scores(w, method) - np.kron(scores(small, method), np.ones((2, 2))))
+        np.fill_diagonal(d, 0)
+        assert got[method].mae == pytest.approx(d.mean(), abs=1e-8)
+        assert got[method].p95 == pytest.approx(np.quantile(d, 0.95, axis=1).mean(), abs=1e-8)
+        assert got[method].maxe == pytest.approx(d.max(), abs=1e-8)

@@ -89,21 +89,36 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.bias + x @ self.weights + pairs / 2, -30, 30).astype(np.float64)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, rank: int = 4, epochs: int = 25, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> FactorisationMachine:
+class PackedRows:
+    """Rows of features as the executors packed them, made dense only where they are asked for."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        self.packed = packed
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), N_FEATURES), np.float32)
+        for k, row in enumerate(rows.tolist()):
+            where, values = np.frombuffer(self.packed[row], "<i4").reshape(2, -1)
+            x[k, where] = values.view("<f4")
+        return x
+
+
+def fit(x: np.ndarray | PackedRows, y: np.ndarray, *, rank: int = 4, epochs: int = 25, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> FactorisationMachine:
     """Adam on the logistic loss, in a fixed order; the statistics are centred and scaled.
 
+    Rows are taken 128 at a time, so the driver never holds them all as dense numbers.
     Without rows, or with one class only, the score is the share of label 1 (0.5 without rows).
     """
     rng = np.random.default_rng(seed)
     mean, scale = np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32)
     share = (y.sum() + 0.5) / (len(y) + 1)
     if len(y):
-        mean[N_WORDS:] = x[:, N_WORDS:].mean(axis=0)
-        scale[N_WORDS:] = 1 / np.maximum(x[:, N_WORDS:].std(axis=0), 0.02)
+        tail = np.concatenate([x[np.arange(k, min(k + 128, len(y)))][:, N_WORDS:] for k in range(0, len(y), 128)])
+        mean[N_WORDS:] = tail.mean(axis=0)
+        scale[N_WORDS:] = 1 / np.maximum(tail.std(axis=0), 0.02)
     model = FactorisationMachine(float(np.log(share / (1 - share))), np.zeros(N_FEATURES, np.float32), np.zeros((N_FEATURES, rank), np.float32), mean, scale)
     if len(set(y.tolist())) < 2:
         return model
-    x = (x - mean) * scale
     theta = [np.full(1, model.bias, np.float32), model.weights, rng.normal(0, 0.02, (N_FEATURES, rank)).astype(np.float32)]
     first, second = [np.zeros_like(p) for p in theta], [np.zeros_like(p) for p in theta]
     step = 0
@@ -111,7 +126,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, rank: int = 4, epochs: int = 25, rate:
         order = rng.permutation(len(y))
         for k in range(0, len(y), 128):
             rows = order[k : k + 128]
-            xs, step = x[rows], step + 1
+            xs, step = (x[rows] - mean) * scale, step + 1
             b, w, v = theta
             inner, squares = xs @ v, xs**2
             z = b[0] + xs @ w + ((inner**2).sum(axis=1) - squares @ (v**2).sum(axis=1)) / 2
@@ -147,11 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     kind = T.StructType([*rows.select("i", "y").schema.fields, T.StructField("x", T.BinaryType())])
     got = sorted(((str(r.i), r.y, bytes(r.x)) for r in rows.mapInArrow(run, kind).collect()), key=lambda r: r[0])
     got = list({r[0]: r for r in got}.values())  # repeated rows of an id count once
-    x, y = np.zeros((len(got), N_FEATURES), np.float32), np.array([r[1] for r in got], np.float32)
-    for k, (_, _, packed) in enumerate(got):
-        where, values = np.frombuffer(packed, "<i4").reshape(2, -1)
-        x[k, where] = values.view("<f4")
-    return fit(x, y, **options)
+    return fit(PackedRows([r[2] for r in got]), np.array([r[1] for r in got], np.float32), **options)
 
 
 def _featured(whole: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

@@ -161,6 +161,23 @@ def test_quality(marked, wide, none):
     assert quality.keep_good(docs, model).columns == docs.columns
 
 
+def test_quality_fit_takes_packed_rows():
+    """Packed rows give the model of dense ones, and no more of them are dense at once than a step takes."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((300, quality.N_FEATURES)) * (rng.random((300, quality.N_FEATURES)) < 0.05)).astype(np.float32)
+    y = (rng.random(300) < 0.5).astype(np.float32)
+    rows = quality.PackedRows([np.concatenate((where := np.flatnonzero(r).astype("<i4"), r[where].view("<i4"))).tobytes() for r in x])
+    asked = []
+
+    class Watched:
+        def __getitem__(self, rows_):
+            asked.append(len(rows_))
+            return rows[rows_]
+
+    a, b = quality.fit(x, y, epochs=2), quality.fit(Watched(), y, epochs=2)
+    assert max(asked) <= 128 and np.array_equal(a.score(x), b.score(x))
+
+
 def test_pairs_in_linear_time():
     rng = np.random.default_rng(0)
     n = quality.N_FEATURES

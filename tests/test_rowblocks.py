@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_preserve import _written
 
 from hetweave.operators import metapath, preserve, ranking, rowblocks
@@ -63,3 +64,17 @@ def test_pairs_of_queries_are_no_rows(spark, tmp_path):
         before = _written(spark)
         assert len(query(spark, str(tmp_path)).collect()) == many
         assert _written(spark) - before < 0.8 * pairs, query.__name__
+
+
+def test_clusters_with_equal_reduced_rows_are_one_kind(spark, monkeypatch):
+    """200 targets that all stay alone, of four rows: four kinds are measured, not 200."""
+    seen = []
+    real = preserve.block_measures
+    monkeypatch.setattr(preserve, "block_measures", lambda rows, *args: seen.append(rows.count()) or real(rows, *args))
+    n = 200
+    links = spark.createDataFrame([("to", i, 1000 + i % 4, 1.0) for i in range(n)] + [("to", i, 2000, 2.0) for i in range(n)], "ltype string, src long, dst long, w double")
+    targets = spark.range(n).toDF("nid")
+    mappings = targets.select(F.lit(0).alias("cell"), "nid", F.col("nid").alias("cluster_id"))
+    found = preserve.preserved({"TM": links.drop("ltype")}, links, {"TM": ("to",)}, mappings, targets, targets.toDF("q"), k=3).collect()
+    assert seen == [4]
+    assert all(r.mae == 0 and r.maxe == 0 and r.overlap == r.tie_overlap == r.ndcg == 1 for r in found) and len(found) == 2
